@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut  # noqa: F401
+
 #: A word is a run of anything but space and the control characters 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -17,18 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that all executors share and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session that has none gets
-    a temporary one; elsewhere Spark's own error says that it is missing.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None and sc.master.startswith("local["):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="burdenkit-checkpoint-"))
-    return df.checkpoint()
-
-
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty. One pass, without an array of words."""
     marks = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x"), _SPACES, "")

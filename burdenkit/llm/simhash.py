@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import cut, join_skewed, table
 
 FLIP = 1
@@ -185,29 +186,6 @@ def fingerprint_links(prints: DataFrame, masks: list[list[int]], radius: int, wi
     return variants.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Connected components of links (a, b): node, root (the smallest node reachable), nodes with links only.
-
-    Alternates large-star and small-star contraction, which needs a number of rounds that grows with the
-    logarithm of the component, however long its paths are; every round is cut, so nothing is recomputed.
-    """
-    now, before = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()), None
-    while True:
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if state == before or not state["n"]:
-            break
-        before = state
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
-        # now each row points from a smaller to a larger node; small-star: the larger node's smaller neighbours
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(lowest, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").union(lowest.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        now = cut(small.distinct())
-    return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-
-
 def _node(side: str, width: int) -> Column:
     return F.concat(*[F.lpad(F.hex(f"{side}{k}"), 16, "0") for k in range(width)])
 
