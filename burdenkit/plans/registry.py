@@ -20,8 +20,3 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return add
-
-
-def load() -> None:
-    """Import the modules that register queries."""
-    from . import bin_queries, genotype_queries, interval_queries, knowledge_queries, source_queries, test_queries  # noqa: F401
