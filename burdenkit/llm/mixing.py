@@ -123,8 +123,8 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.
     info = spark.createDataFrame([(s, i, sizes[s], target[s]) for i, s in enumerate(order)], "_s string, src int, source_size long, target double")
     sized = sized.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
-    # offsets in the source's stream: within buckets of about 20,000 rows, and of buckets by the small table of their sums
-    buckets = max(1, sum(r["rows"] for r in stats) // 20_000)
+    # offsets in the source's stream: within buckets of about 4,000 rows, and of buckets by the small table of their sums
+    buckets = max(1, sum(r["rows"] for r in stats) // 4_000)
     sized = sized.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
     sums = sized.groupBy("src", "_bucket").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
