@@ -139,7 +139,7 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.
 
     last = F.col("_at") + F.col("size")
     spread = placed.filter("size > 0").select("src", "_at", "size", F.explode(F.sequence(F.floor(F.col("_at") / block), F.floor((last - 1) / block))).alias("block"))
-    met = spread.join(times, ["src", "block"])
+    met = spread.join(times.hint("merge"), ["src", "block"])  # drawn from a range, its size is estimated far too low
     begin = F.greatest(F.col("_at"), F.col("block") * block)
     words = F.least(last, (F.col("block") + 1) * block) - begin
     piece = F.struct((begin - F.col("_at")).alias("start"), words.alias("words"), F.col("_times").alias("times"))
