@@ -99,7 +99,7 @@ def ld_summary(spark, d):
 _SCORES = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, value / 40 AS value FROM events"
 _STATE = "SELECT user_id, r + r // 17 AS pos, value, value >= 0.7 AS high FROM sc"
 _FRESH = "SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(high) OVER w = high THEN 0 ELSE 1 END AS fresh FROM stt WINDOW w AS (PARTITION BY user_id ORDER BY pos)"
-_RUNS = "SELECT user_id, high, min(pos) AS start, max(pos) AS \"end\", round(sum(value), 2) AS total, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM fr) GROUP BY user_id, island, high"
+_RUNS = "SELECT user_id, high, min(pos) AS start, max(pos) AS \"end\", CAST(round(sum(value) * 4000) AS BIGINT) AS total, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM fr) GROUP BY user_id, island, high"
 
 
 def _runs(spark, d):
@@ -112,7 +112,7 @@ def _runs(spark, d):
 
 @query("seg_runs", sql("SELECT * FROM rns", sc=_SCORES, stt=_STATE, fr=_FRESH, rns=_RUNS))
 def seg_runs(spark, d):
-    return _runs(spark, d).select("user_id", "high", "start", "end", F.round("total", 2).alias("total"), "n")
+    return _runs(spark, d).select("user_id", "high", "start", "end", F.round(F.col("total") * 4000).cast("long").alias("total"), "n")
 
 
 @query("seg_merge")

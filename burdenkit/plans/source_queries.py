@@ -58,9 +58,9 @@ def src_vcf_calls(spark, d):
     return vcf.long_calls(vcf.variants(vcf_lines(spark, d)))
 
 
-@query("src_vcf_codec")
+@query("src_vcf_codec", "SELECT CASE WHEN p_partkey % 4 < 2 THEN 'gzip' WHEN p_partkey % 4 = 2 THEN 'bzip2' ELSE 'none' END AS codec, count(*) AS files FROM part GROUP BY 1")
 def src_vcf_codec(spark, d):
-    """Sizes of what the part and supplier names would be recognised as, were they files of the known extensions."""
+    """How many files of each compression there would be, were parts files with the known extensions in turn."""
     ext = F.element_at(F.array(*[F.lit(x) for x in ("gz", "z", "bz", "vcf")]), (F.col("p_partkey") % 4 + 1).cast("int"))
     kinds = F.create_map(*[F.lit(x) for e in ("gz", "z", "bz", "vcf") for x in (e, vcf.codec(f"x.{e}") or "none")])
     return v.read(spark, d, "part").groupBy(kinds[ext].alias("codec")).agg(F.count("*").alias("files"))
@@ -414,3 +414,14 @@ def join_vcf_merge(spark, d):
     own = x.select(file.alias("file"), "chr", "pos", "ref", F.when(F.col("locus_id") % 3 == 0, "G").otherwise("C").alias("alt"))
     both = x.filter("p_size % 2 = 0").select((1 - file).alias("file"), "chr", "pos", "ref", F.lit("C").alias("alt"))
     return vcf.merged(own.union(both).withColumn("sample", F.lit(0)).withColumn("call", F.lit("0/1")), fill_reference=True)
+
+
+@query("src_incremental_sources", "SELECT s_suppkey AS source, 'v' || s_nationkey AS version, md5(s_name || s_acctbal::INT) AS digest FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 = 0")
+def src_incremental_sources(spark, d):
+    """Sources to load again: every fifth is new and every seventh has other content than at the last load."""
+    from ..streaming.incremental import changed
+
+    k = F.col("s_suppkey")
+    now = v.read(spark, d, "supplier").select(k.alias("source"), F.concat(F.lit("v"), _s("s_nationkey")).alias("version"), F.md5(F.concat("s_name", _s(F.round("s_acctbal").cast("int"))).cast("binary")).alias("digest"))
+    before = now.filter("source % 5 <> 0").withColumn("digest", F.when(F.col("source") % 7 == 0, "old").otherwise(F.col("digest")))
+    return changed(now, before)
