@@ -11,8 +11,8 @@ MANIFEST = "source string, version string, digest string"
 
 def changed(now: DataFrame, before: DataFrame) -> DataFrame:
     """Sources of ``now`` (source, version, digest) that ``before`` hasn't with the same version and digest."""
-    same = " AND ".join(f"n.{c} <=> b.{c}" for c in ("source", "version", "digest"))
-    return now.alias("n").join(before.alias("b"), F.expr(same), "left_anti")
+    known = before.select(*[F.col(c).alias(f"_{c}") for c in ("source", "version", "digest")])
+    return now.join(known, F.expr("source <=> _source AND version <=> _version AND digest <=> _digest"), "left_anti")
 
 
 def manifests(spark: SparkSession, folder: str) -> DataFrame:
