@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count
+from .common import cut, table, word_count
 
 _LARGE = 900_000_000  # numpy draws without replacement up to here; larger ranges are split in proportion
 
@@ -113,6 +113,8 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.
     row per source is held on the driver.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    if not carry:  # narrow rows are written once; with texts, counting words again is cheaper than a copy of them
+        sized = cut(sized)
     stats = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     sizes = {r["source"]: r["size"] for r in stats}
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
