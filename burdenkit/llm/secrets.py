@@ -32,15 +32,21 @@ ENCODINGS = {
 _SPAN = "array<struct<start:int,end:int,kind:int,hit:string>>"
 
 
-def _located(hits: str, parts: str, kind: int) -> Column:
-    """Spans of ``hits`` (all matches) from the pieces between them: a running sum of lengths in code points."""
-    step = f"""aggregate(sequence(0, size({hits}) - 1),
-        named_struct('at', 0, 'spans', cast(array() as {_SPAN})),
+def _located(hits: str, parts: str, kind: int, chunk: int = 256) -> Column:
+    """Spans of ``hits`` (all matches) from the pieces between them: a running sum of lengths in code points.
+
+    Sums run within chunks, then over chunks: appending to one array of all spans would take quadratic time in
+    texts with very many matches.
+    """
+    within = f"""aggregate(sequence(c * {chunk}, least(size({hits}), c * {chunk} + {chunk}) - 1), named_struct('at', 0, 'spans', cast(array() as {_SPAN})),
         (a, i) -> named_struct(
             'at', a.at + length({parts}[i]) + length({hits}[i]),
-            'spans', array_append(a.spans, named_struct('start', a.at + length({parts}[i]), 'end', a.at + length({parts}[i]) + length({hits}[i]), 'kind', {kind}, 'hit', {hits}[i]))),
-        a -> a.spans)"""
-    return F.expr(f"CASE WHEN size({hits}) > 0 THEN {step} ELSE cast(array() as {_SPAN}) END")
+            'spans', array_append(a.spans, named_struct('start', a.at + length({parts}[i]), 'end', a.at + length({parts}[i]) + length({hits}[i]), 'kind', {kind}, 'hit', {hits}[i]))))"""
+    chunks = f"transform(sequence(0, cast((size({hits}) - 1) div {chunk} as int)), c -> {within})"
+    ahead = f"""aggregate({chunks}, named_struct('at', 0, 'out', cast(array() as array<struct<off:int,spans:{_SPAN}>>)),
+        (a, c) -> named_struct('at', a.at + c.at, 'out', array_append(a.out, named_struct('off', a.at, 'spans', c.spans))), a -> a.out)"""
+    moved = f"flatten(transform({ahead}, c -> transform(c.spans, s -> named_struct('start', s.start + c.off, 'end', s.end + c.off, 'kind', s.kind, 'hit', s.hit))))"
+    return F.expr(f"CASE WHEN size({hits}) > 0 THEN {moved} ELSE cast(array() as {_SPAN}) END")
 
 
 def _log10_lower(z: Column) -> Column:
