@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, word_count
+from .common import cut, table, word_count
 
 CAPACITIES = (512, 1024, 2048, 4096)
 
@@ -58,7 +58,7 @@ def pack(sized: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: f
     (null bin_id, bin_start and capacity). Null ids and repeated rows are packed like others.
     """
     most = max(capacities)
-    rows = sized.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
+    rows = cut(sized.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size")))
     shards = max(1, -(-rows.count() // shard_rows))
     pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / most)))
     cut_up = rows.withColumn("piece", F.explode(pieces)).withColumn("doc_start", F.col("piece") * most)
