@@ -28,6 +28,11 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def hash_share(key: str) -> Column:
+    """A number in [0, 1) from the key's hash, the same in every run."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
 def join_skewed(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, how: str = "inner", salts: int = 64) -> DataFrame:
     """Join ``rows`` with ``groups`` (one row per key, ``size`` = its number of rows) however skewed the keys are.
 

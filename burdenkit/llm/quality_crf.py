@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, hash_share, table
 
 _KIND = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 punctuation, 5 space, 6 beyond ASCII
 _KIND[[*range(97, 123)]], _KIND[[*range(65, 91)]], _KIND[[*range(48, 58)]] = 1, 2, 3
@@ -167,9 +167,14 @@ class LineCrf:
 
 
 def sample_ids(labels: DataFrame, label: str, learn, most: int) -> DataFrame:
-    """At most ``most`` labelled ids of either class for which ``learn`` holds, by the order of their hash."""
+    """At most ``most`` labelled ids of either class for which ``learn`` holds, those of the least hash.
+
+    Classes are counted first, so that a task passes on its share of about four times ``most``, however many tasks there are.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(learn & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
-    return known.filter("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).union(known.filter("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    parts = [known.filter((F.col("label") == k) & (hash_share("doc_id") < 4 * most / max(count.get(k, 0), 1))).orderBy(hash_share("doc_id"), "doc_id").limit(most) for k in (0, 1)]
+    return parts[0].union(parts[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 1500) -> LineCrf:
