@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, hash_share, table
 
 BITS = 16
 _CHUNK = 1 << 20
@@ -102,7 +102,10 @@ def train(docs: DataFrame, most: int = 400, pieces: int = 4, piece: int = 300) -
     Each gives its whole text and ``pieces`` stretches of about ``piece`` bytes. None without any such document.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # languages are counted first (a row each), so that few more rows than wanted reach a language's window, however many tasks there are
+    counts = known.groupBy("lang").agg(F.count("*").alias("_all"))
+    known = known.join(F.broadcast(counts), "lang").filter(hash_share("doc_id") < 4 * most / F.col("_all")).select("doc_id", "lang")
+    first = Window.partitionBy("lang").orderBy(hash_share("doc_id"), "doc_id")
     ids = known.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).drop("_n")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id")
 
