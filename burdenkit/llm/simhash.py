@@ -4,19 +4,21 @@ Two fingerprints within the radius differ, under at least one mask, in at most t
 variants that both emit (their masked bits with up to ``FLIP`` bits flipped) then meet half way. For 64
 bits and radius 3 three masks that each leave out a third of the bits suffice: three differing bits leave
 at most two in the rest of some mask. So a fingerprint emits 131 variants of 42 or 43 bits where whole
-balls of radius 1 and 2 would be 2081 variants, and no link is lost. Wider radii use more masks, drawn at
-random, and lose some pairs; ``verify`` then decides on the words themselves.
+balls of radius 1 and 2 would be 2081 variants, and no link is lost. ``near_copies`` decides on the words
+themselves: its candidates share one of their rarest shingles, and fingerprints only order them.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import cut, join_skewed, table
+from .common import cut, hash_share, join_skewed, table
 
 FLIP = 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -84,11 +86,6 @@ def masks_leaving_out(radius: int, bits: int = 64) -> list[list[int]]:
     return [[b for b in range(bits) if b % 3 != k] for k in range(3)]
 
 
-def random_masks(count: int, size: int, bits: int, seed: int = 42) -> list[list[int]]:
-    rng = np.random.default_rng(seed)
-    return [sorted(rng.choice(bits, size, replace=False).tolist()) for _ in range(count)]
-
-
 def _emit(masks: list[list[int]], width: int):
     """Fingerprint words in; key (hash of mask and variant) and the words out."""
     masked, flips, number = [], [], []
@@ -216,37 +213,160 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> Data
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _node_id(shingles: np.ndarray) -> int:
+    """A document's identity for near copies: the digest of its distinct shingles, which come sorted."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 7)
+
+
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """node and the sorted distinct shingles of each row of (doc_id, text)."""
+
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t or b"", words)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            sets = [np.unique(shingle_hashes(t or b"", words)) for t in batch.column(0).to_pylist()]
+            nodes = np.array([_node_id(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, shingles array<long>")
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, masks: int = 8, mask_bits: int = 28, radius: int = 34) -> DataFrame:
-    """doc_id and component_id over documents whose ``words``-word shingle sets have Jaccard ``similarity`` or more.
+def _common_shingles(docs: DataFrame, words: int, sample: int = 20_000, least: int = 4, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that ``least`` of about ``sample`` documents hold, sorted, and their counts.
+
+    They only order shingles (rare ones first); any list gives the same near copies.
+    """
+    some = docs.filter(hash_share("doc_id") < sample / max(docs.count(), 1))
+    counts = _shingle_sets(some, words).select(F.explode("shingles").alias("h")).groupBy("h").count().filter(F.col("count") >= least)
+    found = counts.orderBy(F.desc("count"), "h").limit(most).toPandas().to_numpy(np.int64).reshape(-1, 2)
+    h, by = found[:, 0].copy().view(np.uint64), found[:, 1].copy()
+    order = np.argsort(h)
+    return h[order], by[order]
+
 
-    128-bit fingerprints meet under random masks; the nearest links of each meeting within ``radius`` bits
-    are verified on the shingle sets. Wider ``mask_bits`` fit more documents, more ``masks`` find more pairs.
-    Equal fingerprints count as similar. Nulls as in ``simhash_components``.
+def _rare_first(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles in an order that is the same for all documents: by their count among the common ones, then by hash."""
+    known, count = common
+    by = np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        by = np.where(known[at] == shingles, count[at], 0)
+    return shingles[np.lexsort((shingles, by))]
+
+
+def _prefixes(docs: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, f0 (node), print (fingerprint of the distinct shingles), n (their number) and keys of every row.
+
+    Two sets of Jaccard ``similarity`` share at least that part of either, so their first common shingle is among
+    the first n - ceil(similarity n) + 1 of both. A node's keys come out once a task; its other rows have none.
     """
-    width = 2
-    prints = cut(fingerprints(docs, words, width))
-    links = cut(fingerprint_links(prints, random_masks(masks, mask_bits, 64 * width), radius, width))
-    first = prints.groupBy(*_words(width)).agg(F.min("doc_id").alias("doc_id"))
-    ends = links.select(*[F.col(f"a{k}").alias(f"f{k}") for k in range(width)]).union(links.select(*[F.col(f"b{k}").alias(f"f{k}") for k in range(width)])).distinct()
-    some = first.join(ends, _words(width), "left_semi").filter("doc_id IS NOT NULL")
-    sets = cut(_shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words).join(some, "doc_id").drop("doc_id"))
-
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("shingles").alias(name), *[F.col(f"f{k}").alias(f"{name}{k}") for k in range(width)])
-
-    pairs = links.join(side("a"), [f"a{k}" for k in range(width)]).join(side("b"), [f"b{k}" for k in range(width)])
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                shingles = np.unique(shingle_hashes(text or b"", words))
+                node, n = _node_id(shingles), len(shingles)
+                keys = np.empty(0, np.uint64)
+                if n and node not in seen:
+                    keys = _rare_first(shingles, common)[: n - math.ceil(similarity * n - 1e-9) + 1]
+                seen.add(node)
+                rows.append((node, fingerprint(shingles)[0], n, keys.view(np.int64)))
+            cols = [np.array([r[k] for r in rows], np.uint64).view(np.int64) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "f0", "print", "n", "keys"])
+
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, f0 long, print long, n long, keys array<long>")
+
+
+def _whole_keys(batches):
+    """Rows of longs sorted by their first column, as arrays that hold keys whole, with the starts and ends of these."""
+    rest = None
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+        rest = rows if rest is None else np.concatenate([rest, rows])
+        change = np.flatnonzero(rest[1:, 0] != rest[:-1, 0]) + 1
+        if len(change):  # the last key may go on in the next batch
+            yield rest[: change[-1]], np.concatenate(([0], change[:-1])), change
+            rest = rest[change[-1] :]
+    if rest is not None and len(rest):
+        yield rest, np.array([0]), np.array([len(rest)])
+
+
+def _may_be_alike(n: np.ndarray, at: np.ndarray, n0: int, at0: int, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes whose first common shingle stands at these places can reach ``similarity``."""
+    return np.minimum(n - at, n0 - at0) >= similarity / (1 + similarity) * (n + n0) - 1e-6
+
+
+def _key_forests(similarity: float):
+    """Rows key, node, print, n, place sorted by key and node in; those with a possible partner out.
+
+    Parent is the node that a minimum spanning forest of the possible pairs (Prim, by distance of fingerprints)
+    links them to, null at the roots. Memory is linear in the group.
+    """
+
+    def forest(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        prints, n, place = np.ascontiguousarray(g[:, 2]).view(np.uint64), g[:, 3], g[:, 4]
+        m = len(g)
+        best, parent, left, partner = np.full(m, 1000), np.full(m, -1), np.ones(m, bool), np.zeros(m, bool)
+        at = 0
+        for _ in range(m):
+            left[at] = False
+            may = _may_be_alike(n, place, n[at], place[at], similarity)
+            may[at] = False
+            partner[at] = may.any()
+            distance = np.where(left & may, np.bitwise_count(prints ^ prints[at]), 1000)
+            closer = distance < best
+            best[closer], parent[closer] = distance[closer], at
+            at = int(np.where(left, best, 10_000).argmin())
+        return partner, parent
+
+    def run(batches):
+        for rows, starts, ends in _whole_keys(batches):
+            fresh = np.ones(len(rows), bool)
+            fresh[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+            out = []
+            for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+                g = rows[a:b][fresh[a:b]]
+                if len(g) > 1:
+                    partner, parent = forest(g)
+                    if partner.any():
+                        out.append((g[partner], np.where(parent >= 0, g[parent, 1], 0)[partner], parent[partner] < 0))
+            if out:
+                g, parent, root = (np.concatenate(x) for x in zip(*out, strict=True))
+                cols = [pa.array(np.ascontiguousarray(g[:, k])) for k in (0, 1, 3, 4)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(parent, pa.int64(), mask=root)], names=["key", "node", "n", "place", "parent"])
+
+    return run
+
+
+def _alike(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links a0, b0 whose shingle sets have Jaccard ``similarity`` or more; ``nodes`` has doc_id and f0."""
+    ends = links.select(F.col("a0").alias("node")).union(links.select(F.col("b0").alias("node"))).distinct()
+    first = nodes.groupBy(F.col("f0").alias("node")).agg(F.min("doc_id").alias("doc_id")).join(ends, "node", "left_semi").select("doc_id")
+    some = docs.join(first, "doc_id", "left_semi").union(docs.filter("doc_id IS NULL"))
+    sets = cut(_shingle_sets(some, words).join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    pairs = links.join(sets.select(F.col("node").alias("a0"), F.col("shingles").alias("a")), "a0").join(sets.select(F.col("node").alias("b0"), F.col("shingles").alias("b")), "b0")
     shared = F.size(F.array_intersect("a", "b"))
-    alike = pairs.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select(links.columns)
-    return near_groups(prints, alike, width).select("doc_id", "component_id")
+    return pairs.filter(shared + 1e-9 >= similarity * (F.size("a") + F.size("b") - shared)).select("a0", "b0")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id over documents whose ``words``-word shingle sets have Jaccard ``similarity`` or more.
+
+    Documents of one set are one node. Nodes that share one of their rarest shingles meet; the nearest links of
+    each meeting are verified on the sets. Nulls as in ``simhash_components``.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = cut(_prefixes(docs, words, similarity, _common_shingles(docs, words)))
+    keys = rows.select(F.posexplode("keys").alias("place", "key"), F.col("f0").alias("node"), "print", "n").select("key", "node", "print", "n", F.col("place").cast("long").alias("place"))
+    met = cut(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_key_forests(similarity), "key long, node long, n long, place long, parent long"))
+    nodes = rows.select("doc_id", "f0")
+    links = cut(met.filter("parent IS NOT NULL").select(F.least("node", "parent").alias("a0"), F.greatest("node", "parent").alias("b0")).distinct())
+    alike = _alike(docs, nodes, links, words, similarity)
+    return near_groups(nodes, alike).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
