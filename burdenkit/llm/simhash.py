@@ -342,6 +342,35 @@ def _key_forests(similarity: float):
     return run
 
 
+def _between_pieces(similarity: float, most: int = 1 << 20):
+    """Rows key, node, n, place, root sorted by key in; all possible pairs of unlike roots out."""
+
+    def pairs(found: list[np.ndarray]):
+        out = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=["a0", "b0"])
+
+    def run(batches):
+        found, size = [], 0
+        for rows, starts, ends in _whole_keys(batches):
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                node, n, place, root = rows[a:b, 1:].T
+                if (root == root[0]).all():
+                    continue
+                for i in range(b - a - 1):
+                    may = (root[i + 1 :] != root[i]) & _may_be_alike(n[i + 1 :], place[i + 1 :], n[i], place[i], similarity)
+                    other = node[i + 1 :][may]
+                    if len(other):
+                        found.append(np.stack([np.full(len(other), node[i]), other], 1))
+                        size += len(other)
+                    if size >= most:
+                        yield pairs(found)
+                        found, size = [], 0
+        if found:
+            yield pairs(found)
+
+    return run
+
+
 def _alike(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
     """The links a0, b0 whose shingle sets have Jaccard ``similarity`` or more; ``nodes`` has doc_id and f0."""
     ends = links.select(F.col("a0").alias("node")).union(links.select(F.col("b0").alias("node"))).distinct()
@@ -357,7 +386,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     """doc_id and component_id over documents whose ``words``-word shingle sets have Jaccard ``similarity`` or more.
 
     Documents of one set are one node. Nodes that share one of their rarest shingles meet; the nearest links of
-    each meeting are verified on the sets. Nulls as in ``simhash_components``.
+    each meeting are verified on the sets, then all other possible pairs between the pieces that these links
+    leave. Nulls as in ``simhash_components``.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(_prefixes(docs, words, similarity, _common_shingles(docs, words)))
@@ -365,7 +395,13 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     met = cut(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_key_forests(similarity), "key long, node long, n long, place long, parent long"))
     nodes = rows.select("doc_id", "f0")
     links = cut(met.filter("parent IS NOT NULL").select(F.least("node", "parent").alias("a0"), F.greatest("node", "parent").alias("b0")).distinct())
-    alike = _alike(docs, nodes, links, words, similarity)
+    alike = cut(_alike(docs, nodes, links, words, similarity))
+    roots = components(alike.select(F.col("a0").alias("a"), F.col("b0").alias("b")))
+    pieces = met.select("key", "node", "n", "place").join(roots, "node", "left").select("key", "node", "n", "place", F.coalesce("root", "node").alias("root"))
+    between = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_between_pieces(similarity), "a0 long, b0 long").distinct()
+    rest = cut(between.join(links, ["a0", "b0"], "left_anti"))
+    if not rest.isEmpty():
+        alike = alike.union(_alike(docs, nodes, rest, words, similarity))
     return near_groups(nodes, alike).select("doc_id", "component_id")
 
 
