@@ -77,8 +77,8 @@ def _chains(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, (np.cumsum(count) - count)[order], count[order]
 
 
-def marginals(unary: np.ndarray, count: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Forward-backward over chains of two states: P(good) of each line, P of each pair of states (summed), log Z."""
+def marginals(unary: np.ndarray, count: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Forward-backward over chains of two states: P(good) of each line, P of each pair of states (summed by line ``weight``), log Z."""
     _, first, size = _chains(count)
     score = np.stack([np.zeros(len(unary)), unary], 1)
     alpha, beta = np.zeros_like(score), np.zeros_like(score)
@@ -105,16 +105,17 @@ def marginals(unary: np.ndarray, count: np.ndarray, trans: np.ndarray) -> tuple[
     pairs = np.zeros((2, 2))
     for i in (0, 1):
         for j in (0, 1):
-            pairs[i, j] = np.exp(alpha[here, i] + trans[i, j] + score[here + 1, j] + beta[here + 1, j] - z[here]).sum()
+            pairs[i, j] = np.exp(alpha[here, i] + trans[i, j] + score[here + 1, j] + beta[here + 1, j] - z[here]) @ (np.ones(len(here)) if weight is None else weight[here])
     return good, pairs, z, float(log_z.sum())
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Newton's method for a logistic curve; x has a column of ones."""
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 50, weight: np.ndarray | None = None) -> np.ndarray:
+    """Newton's method for a logistic curve of weighted rows; x has a column of ones."""
     w = np.zeros(x.shape[1])
+    c = np.ones(len(x)) if weight is None else weight * (len(x) / weight.sum())
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x / len(x) + penalty * np.eye(len(w)), x.T @ (y - p) / len(x) - penalty * w)
+        step = np.linalg.solve((x * (c * (p * (1 - p) + 1e-6))[:, None]).T @ x / len(x) + penalty * np.eye(len(w)), x.T @ (c * (y - p)) / len(x) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -130,9 +131,15 @@ class LineCrf:
     def _unary(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.w[:-1] + self.w[-1]
 
-    def fit(self, x: np.ndarray, count: np.ndarray, label: np.ndarray, length: np.ndarray, rounds: int = 120, penalty: float = 1e-3, span: int = 64) -> LineCrf:
-        """Adam on the chains' log likelihood; chains of over ``span`` lines are cut for training. Lines weigh alike."""
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
+    def fit(self, x: np.ndarray, count: np.ndarray, label: np.ndarray, length: np.ndarray, rounds: int = 120, penalty: float = 1e-3, span: int = 64, weight: np.ndarray | None = None) -> LineCrf:
+        """Adam on the chains' log likelihood; chains of over ``span`` lines are cut for training.
+
+        Lines weigh as their documents do, alike without ``weight``.
+        """
+        each = np.repeat(np.ones(len(count)) if weight is None else weight, count)
+        each = each * (len(each) / each.sum())
+        self.mean = np.average(x, 0, each)
+        self.scale = np.sqrt(np.average((x - self.mean) ** 2, 0, each)) + 1e-3
         z = np.concatenate([(x - self.mean) / self.scale, np.ones((len(x), 1))], 1)
         chain = np.concatenate([np.array([span] * (n // span) + [n % span] * (n % span > 0)) for n in count.tolist()])
         y = np.repeat(label, count).astype(np.float64)
@@ -140,18 +147,18 @@ class LineCrf:
         inner[np.cumsum(chain) - 1] = False
         here = np.flatnonzero(inner)
         seen = np.zeros((2, 2))
-        np.add.at(seen, (y[here].astype(int), y[here + 1].astype(int)), 1)
+        np.add.at(seen, (y[here].astype(int), y[here + 1].astype(int)), each[here])
         theta = np.zeros(z.shape[1] + 4)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for k in range(1, rounds + 1):
             self.w, self.trans = theta[:-4], theta[-4:].reshape(2, 2)
-            good, pairs, _, _ = marginals(z @ self.w, chain, self.trans)
-            grad = np.concatenate([(y - good) @ z, (seen - pairs).reshape(-1)]) / len(y) - penalty * theta
+            good, pairs, _, _ = marginals(z @ self.w, chain, self.trans, each)
+            grad = np.concatenate([(each * (y - good)) @ z, (seen - pairs).reshape(-1)]) / len(y) - penalty * theta
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta = theta + 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         self.w, self.trans = theta[:-4], theta[-4:].reshape(2, 2)
         raw = self.raw(x, count, length)
-        self.curve = _logistic(np.stack([np.ones(len(raw)), raw], 1), label.astype(np.float64))
+        self.curve = _logistic(np.stack([np.ones(len(raw)), raw], 1), label.astype(np.float64), weight=weight)
         return self
 
     def raw(self, x: np.ndarray, count: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -167,16 +174,23 @@ class LineCrf:
 
 
 def sample_ids(labels: DataFrame, label: str, learn, most: int) -> DataFrame:
-    """At most ``most`` labelled ids of either class for which ``learn`` holds, those of the least hash.
+    """doc_id, label, of: at most ``most`` labelled ids of either class for which ``learn`` holds, those of the least hash.
 
+    ``of`` is the number that the class has; weights of ``of`` by sampled rows (``class_weights``) keep the table's shares.
     Classes are counted first, so that a task passes on its share of about four times ``most``, however many tasks there are.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(learn & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
     count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    parts = [known.filter((F.col("label") == k) & (hash_share("doc_id") < 4 * most / max(count.get(k, 0), 1))).orderBy(hash_share("doc_id"), "doc_id").limit(most) for k in (0, 1)]
+    parts = [known.filter((F.col("label") == k) & (hash_share("doc_id") < 4 * most / max(count.get(k, 0), 1))).orderBy(hash_share("doc_id"), "doc_id").limit(most).withColumn("of", F.lit(count.get(k, 0)).cast("long")) for k in (0, 1)]
     return parts[0].union(parts[1])
 
 
+def class_weights(label: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Weight of each sampled row: its class's number of rows in the table by that in the sample."""
+    sampled = np.bincount(label.astype(np.int64), minlength=2)
+    return of / sampled[label.astype(np.int64)]
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = 1500) -> LineCrf:
     """Learn from at most ``most`` documents of either quality whose crc32 remainder by 3 is not 1.
 
@@ -187,19 +201,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1500) -> LineCrf:
 
     def features(batches):
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            for text, label, of in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), batch.column("of").to_pylist(), strict=True):
                 x, length, _ = line_features([text or b""])
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()]), pa.array([length.astype(np.float32).tobytes()]), pa.array([label], pa.int32())], names=["x", "length", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()]), pa.array([length.astype(np.float32).tobytes()]), pa.array([label], pa.int32()), pa.array([of], pa.int64())], names=["x", "length", "label", "of"])
 
-    got = rows.select("text", "label").mapInArrow(features, "x binary, length binary, label int").collect()
-    label = np.array([r["label"] for r in got])
+    got = rows.select("text", "label", "of").mapInArrow(features, "x binary, length binary, label int, of long").collect()
+    label, of = np.array([r["label"] for r in got]), np.array([r["of"] for r in got])
     model = LineCrf(len(FEATURES))
     if len(set(label.tolist())) < 2:
         model.curve = np.zeros(2)
         return model
     length = [np.frombuffer(r["length"], np.float32) for r in got]
     x = np.concatenate([np.frombuffer(r["x"], np.float32) for r in got]).reshape(-1, len(FEATURES)).astype(np.float64)
-    return model.fit(x, np.array([len(n) for n in length]), label, np.concatenate(length).astype(np.float64))
+    return model.fit(x, np.array([len(n) for n in length]), label, np.concatenate(length).astype(np.float64), weight=class_weights(label, of))
 
 
 def scored(docs: DataFrame, model: LineCrf, text_col: str = "text") -> DataFrame:

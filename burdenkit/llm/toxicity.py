@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
-from .quality_crf import _logistic, sample_ids
+from .quality_crf import _logistic, class_weights, sample_ids
 
 #: Characters read as others, in pairs.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ⅼ": "l"}
@@ -90,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 5000, words: int = 500
     documents and a lower confidence bound of the log odds above 1. Without toxic documents all score 0.
     """
     ids = sample_ids(labels, "toxic", crc_mod(F.col("doc_id"), 5) != 0, most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("label", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("label", "text", "of")
 
     def vocabulary(batches):
         import re
@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 5000, words: int = 500
     n = {r["label"]: r["count"] for r in ids.groupBy("label").count().collect()}
     if not n.get(1) or not n.get(0):
         return Lexicon({}, curve=None)
-    seen = rows.mapInArrow(vocabulary, "label int, word string").groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    seen = rows.select("label", "text").mapInArrow(vocabulary, "label int, word string").groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (n[1] - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (n[0] - F.col("clean") + 0.5))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     top = seen.filter(F.col("toxic") >= support).select("word", odds.alias("odds"), (odds - 1.64 * error).alias("low")).filter("low > 1").orderBy(F.desc("low"), "word").limit(words).collect()
@@ -112,12 +112,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 5000, words: int = 500
     def features(batches):
         for batch in batches:
             x = np.array([lexicon.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in x.T)], names=["label", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in x.T), batch.column(2)], names=["label", "a", "b", "c", "of"])
 
-    got = rows.mapInArrow(features, "label int, a double, b double, c double").toPandas().to_numpy(float)
+    got = rows.mapInArrow(features, "label int, a double, b double, c double, of long").toPandas().to_numpy(float)
     if not len(got):
         return Lexicon({}, curve=None)
-    lexicon.curve = _logistic(np.concatenate([np.ones((len(got), 1)), got[:, 1:]], 1), got[:, 0])
+    lexicon.curve = _logistic(np.concatenate([np.ones((len(got), 1)), got[:, 1:4]], 1), got[:, 0], weight=class_weights(got[:, 0], got[:, 4]))
     return lexicon
 
 
