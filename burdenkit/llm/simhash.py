@@ -233,11 +233,11 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _common_shingles(docs: DataFrame, words: int, sample: int = 20_000, least: int = 4, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that ``least`` of about ``sample`` documents hold, sorted, and their counts.
+    """Shingles that ``least`` of about ``sample`` documents (a sixteenth at most) hold, sorted, and their counts.
 
     They only order shingles (rare ones first); any list gives the same near copies.
     """
-    some = docs.filter(hash_share("doc_id") < sample / max(docs.count(), 1))
+    some = docs.filter(hash_share("doc_id") < min(sample / max(docs.count(), 1), 1 / 16))
     counts = _shingle_sets(some, words).select(F.explode("shingles").alias("h")).groupBy("h").count().filter(F.col("count") >= least)
     found = counts.orderBy(F.desc("count"), "h").limit(most).toPandas().to_numpy(np.int64).reshape(-1, 2)
     h, by = found[:, 0].copy().view(np.uint64), found[:, 1].copy()
@@ -375,7 +375,11 @@ def _alike(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int, simi
     """The links a0, b0 whose shingle sets have Jaccard ``similarity`` or more; ``nodes`` has doc_id and f0."""
     ends = links.select(F.col("a0").alias("node")).union(links.select(F.col("b0").alias("node"))).distinct()
     first = nodes.groupBy(F.col("f0").alias("node")).agg(F.min("doc_id").alias("doc_id")).join(ends, "node", "left_semi").select("doc_id")
-    some = docs.join(first, "doc_id", "left_semi").union(docs.filter("doc_id IS NULL"))
+    first = cut(first.filter("doc_id IS NOT NULL"))
+    parts, part = first.count() // 1_000_000 + 1, F.xxhash64("doc_id")
+    some = docs.filter("doc_id IS NULL")
+    for k in range(parts):  # texts are read again for each million ids rather than shuffled
+        some = some.union(docs.filter(F.pmod(part, F.lit(parts)) == k).join(F.broadcast(first.filter(F.pmod(part, F.lit(parts)) == k)), "doc_id", "left_semi"))
     sets = cut(_shingle_sets(some, words).join(ends, "node", "left_semi").dropDuplicates(["node"]))
     pairs = links.join(sets.select(F.col("node").alias("a0"), F.col("shingles").alias("a")), "a0").join(sets.select(F.col("node").alias("b0"), F.col("shingles").alias("b")), "b0")
     shared = F.size(F.array_intersect("a", "b"))
@@ -390,10 +394,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     leave. Nulls as in ``simhash_components``.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(_prefixes(docs, words, similarity, _common_shingles(docs, words)))
+    rows = _prefixes(docs, words, similarity, _common_shingles(docs, words))
     keys = rows.select(F.posexplode("keys").alias("place", "key"), F.col("f0").alias("node"), "print", "n").select("key", "node", "print", "n", F.col("place").cast("long").alias("place"))
     met = cut(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_key_forests(similarity), "key long, node long, n long, place long, parent long"))
-    nodes = rows.select("doc_id", "f0")
+    nodes = cut(rows.select("doc_id", "f0"))
     links = cut(met.filter("parent IS NOT NULL").select(F.least("node", "parent").alias("a0"), F.greatest("node", "parent").alias("b0")).distinct())
     alike = cut(_alike(docs, nodes, links, words, similarity))
     roots = components(alike.select(F.col("a0").alias("a"), F.col("b0").alias("b")))
