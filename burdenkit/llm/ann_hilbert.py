@@ -46,7 +46,7 @@ def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _curve_keys(dim: int, curves: int, axes: int, bits: int, seed: int):
+def _curve_keys(dim: int, kind: str, curves: int, axes: int, bits: int, seed: int):
     """id and vector in; curve, key, id and vector out, a row per curve."""
 
     def run(batches):
@@ -57,7 +57,7 @@ def _curve_keys(dim: int, curves: int, axes: int, bits: int, seed: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dim)
+            vectors = np.frombuffer(b"".join(batch.column(1).to_pylist()), kind).astype(np.float64).reshape(-1, dim)
             unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
             for c, (basis, shift) in enumerate(frames):
                 even = 1 / (1 + np.exp(-1.702 * (unit @ basis)))  # about uniform for isotropic vectors
@@ -67,28 +67,30 @@ def _curve_keys(dim: int, curves: int, axes: int, bits: int, seed: int):
     return run
 
 
-def _best(k: int):
+def _best(k: int, kind: str):
     """Top ``k`` of a block for the queries whose windows touch it; products first, then exact cosines of the best."""
 
     def run(key: tuple, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(block):
             return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "entry": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        v = np.frombuffer(b"".join(block["vec"]), np.float64).reshape(len(block), -1)
+        v = np.frombuffer(b"".join(block["vec"]), kind).astype(np.float64).reshape(len(block), -1)
         ranks, entries = block["rank"].to_numpy(), block["entry"].to_numpy()
         norms = np.linalg.norm(v, axis=1)
         unit = v / norms[:, None]
         ids, found, scores = [], [], []
         for at in range(0, len(queries), 512):
             part = queries.iloc[at : at + 512]
-            q = np.frombuffer(b"".join(part["vec"]), np.float64).reshape(len(part), -1)
+            q = np.frombuffer(b"".join(part["vec"]), kind).astype(np.float64).reshape(len(part), -1)
             near = (q / np.linalg.norm(q, axis=1)[:, None]) @ unit.T
             low, high = part["low"].to_numpy(), part["high"].to_numpy()
             near[(ranks[None, :] < low[:, None]) | (ranks[None, :] > high[:, None])] = -np.inf
             take = min(k + 4, near.shape[1])
-            best = np.argpartition(-near, take - 1, axis=1)[:, :take]
-            for i, (query, own) in enumerate(zip(part["query_id"].tolist(), best, strict=True)):
-                own = own[np.isfinite(near[i, own])]
+            least = -np.partition(-near, take - 1, axis=1)[:, take - 1]
+            for i, query in enumerate(part["query_id"].tolist()):
+                own = np.flatnonzero((near[i] >= least[i] - 1e-12) & np.isfinite(near[i]))  # with all that tie with the last
                 exact = (v[own] * q[i]).sum(1) / (norms[own] * np.linalg.norm(q[i]))
+                first = np.lexsort((entries[own], -exact))[: k + 4]
+                own, exact = own[first], exact[first]
                 ids += [query] * len(own)
                 found += entries[own].tolist()
                 scores += exact.tolist()
@@ -104,7 +106,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     Vectors without direction need such shares; for clustered ones a small share and a large ``least`` do.
     Null ids, null, empty or zero vectors and vectors with null or non-finite components take no part, nor do those
     of another length than most (ties: the shorter). Rows that repeat an id are separate candidates; a query
-    is never its own neighbour, nor is a row of the same id. Ties go to the smaller id.
+    is never its own neighbour, nor is a row of the same id. Ties go to the smaller id. Vectors of any magnitude
+    keep their cosine; other columns take no part, whatever their names; an empty table gives an empty result.
     """
     v = F.col(vec_col).cast("array<double>")
     usable = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), is_query.alias("q")).filter("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(v, x -> x <> 0)")
@@ -113,7 +116,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     if dims is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = dims["d"]
-    pack_bytes = _packer()
+    kind = "<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
+    pack_bytes = _packer(kind)
     packed = usable.filter(F.size("v") == dim).mapInArrow(pack_bytes, "id long, vec binary, q boolean")
     # equal vectors are one entry with their k + 1 smallest ids, enough for any query
     order = Window.partitionBy("vec").orderBy("id")
@@ -121,7 +125,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     entries = cut(first.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min("id").alias("entry")))
     total = entries.count()
     half = max(least, math.ceil(window * total)) // 2
-    keyed = entries.select("entry", "vec").mapInArrow(_curve_keys(dim, curves, axes, bits, seed), "curve int, key long, entry long, vec binary")
+    keyed = entries.select("entry", "vec").mapInArrow(_curve_keys(dim, kind, curves, axes, bits, seed), "curve int, key long, entry long, vec binary")
     parts = max(1, -(-total * curves // 20_000))
     sorted_ = cut(keyed.repartitionByRange(parts, "curve", "key", "entry").sortWithinPartitions("curve", "key", "entry").withColumn("_place", F.monotonically_increasing_id()))
     part = F.shiftright("_place", 33).cast("int")
@@ -142,7 +146,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     copies = max(1, -(-(2 * half + block) // (50 * 4000)))
     queries = queries.withColumn("near_block", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor(F.col("high") / block)))).withColumn("copy", F.pmod(F.xxhash64("query_id"), F.lit(copies)).cast("int"))
     blocks = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    found = queries.groupBy("on_curve", "near_block", "copy").cogroup(blocks.groupBy("curve", "block", "copy")).applyInPandas(_best(k + 1), "query_id long, entry long, score double")
+    found = queries.groupBy("on_curve", "near_block", "copy").cogroup(blocks.groupBy("curve", "block", "copy")).applyInPandas(_best(k + 1, kind), "query_id long, entry long, score double")
     merged = found.groupBy("query_id", "entry").agg(F.max("score").alias("score"))
     best = merged.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "entry"))).filter(F.col("n") <= 2 * k + 6)
     ids = best.join(entries.select("entry", "ids"), "entry").select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
@@ -150,18 +154,23 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     return ids.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _packer():
+def _packer(kind: str):
+    """Vectors as bytes, scaled by a power of two (which changes no cosine) so that the largest component is about 1."""
+
     def run(batches):
         for batch in batches:
             lists = batch.column(1)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             width = len(flat) // max(1, batch.num_rows)
             rows = flat.reshape(batch.num_rows, width) if batch.num_rows else flat.reshape(0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows + 0.0], pa.binary()), batch.column(2)], names=["id", "vec", "q"])
+            if rows.size:
+                rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(1))[1][:, None])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in (rows + 0.0).astype(kind)], pa.binary()), batch.column(2)], names=["id", "vec", "q"])
 
     return run
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nearest`` over ``embeddings`` for ids divisible by 50; nulls, ties and odd rows as there."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))

@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it a name that no column of ``df`` has (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty. One pass, without an array of words."""
     marks = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x"), _SPACES, "")

@@ -12,10 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_skewed, table
+from .common import cut, join_skewed, table, unused
 
 
 class RadixTrie:
@@ -158,33 +158,38 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Which row of each group of equal texts stays.
 
     ``keep``: "min" or "max" identifier. Returns per input row: doc_id, keep_id, group_size, kept and
-    text_sha256; other columns take no part. Null texts count as empty; a null id stays only in a
-    group without other ids. Of rows that repeat both id and text exactly one is kept. An empty table
-    gives an empty result.
+    text_sha256; other columns take no part, whatever their names. Null texts count as empty, and texts of
+    any length are compared whole; a null id stays only in a group without other ids. Of rows that repeat
+    both id and text exactly one is kept. An empty table gives an empty result.
     """
     owners = cut(text_owners(docs, id_col, text_col, keep).select(F.lower(F.hex("sha")).alias("text_sha256"), F.col("len").alias("_len"), F.col("best").alias("keep_id"), F.col("rows").alias("group_size")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("_len"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
-    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("doc_id")))
-    out = join_skewed(rows, owners, ["text_sha256", "_len"], "group_size", "doc_id")
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    # of rows that repeat the identifier that stays, the first; summed on the map side, so a large group is no large task
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")) if keep == "min" else F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", "_row"))
+    stays = rows.groupBy("text_sha256", "_len").agg(best["_row"].alias("_stays"))
+    owners = cut(owners.join(stays, ["text_sha256", "_len"]))
+    out = join_skewed(rows, owners, ["text_sha256", "_len"], "group_size", "_row")
+    return out.select("doc_id", "keep_id", "group_size", (F.col("_row") == F.col("_stays")).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
     """``docs`` (with doc_id and text) without the rows whose text another row owns; all columns as before.
 
-    The texts travel once: the owner tasks return the rows that stay. Nulls as in ``exact_duplicates``.
+    The texts travel once: the owner tasks return the rows that stay. Nulls, ties, repeats, long texts and empty
+    tables as in ``exact_duplicates``; other columns may have any names.
     """
-    carry = tuple(c for c in docs.columns if c != "text")
-    marked = docs.withColumn("_null", F.col("text").isNull())
-    owned = text_owners(marked, keep=keep, carry=(*carry, "_null"), with_text=True)
+    carry, null = tuple(c for c in docs.columns if c != "text"), unused(docs, "no_text")
+    marked = docs.withColumn(null, F.col("text").isNull())
+    owned = text_owners(marked, keep=keep, carry=(*carry, null), with_text=True)
     text = F.when(~F.col(f"p{len(carry)}"), F.col("text").cast("string"))
     at = {c: F.col(f"p{i}") for i, c in enumerate(carry)}
     return owned.select(*[(text if c == "text" else at[c]).alias(c) for c in docs.columns])
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``exact_duplicates`` over ``documents``, the largest doc_id staying; nulls, ties and odd rows as there."""
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 

@@ -7,20 +7,17 @@ temperature and the probability below which a prediction is rejected.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash_share, table
+from .common import crc_mod, cut, hash_share, table
 
 BITS = 16
 _CHUNK = 1 << 20
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123], _FOLD[65:91], _FOLD[128:] = np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def buckets(text: bytes) -> np.ndarray:
@@ -96,14 +93,17 @@ def fit(langs: list[str], samples: list[tuple[np.ndarray, np.ndarray, int]], dim
     return model
 
 
-def train(docs: DataFrame, most: int = 400, pieces: int = 4, piece: int = 300) -> LanguageModel | None:
+def train(docs: DataFrame, most: int = 400, pieces: int = 4, piece: int = 300, total: int = 20_000) -> LanguageModel | None:
     """Learn from at most ``most`` documents a language (by the order of their ids' hash) whose crc32 remainder by 3 is not 1.
 
-    Each gives its whole text and ``pieces`` stretches of about ``piece`` bytes. None without any such document.
+    With over ``total`` / ``most`` languages each gives at most its share of ``total`` (one at least). A document gives
+    its whole text and ``pieces`` stretches of about ``piece`` bytes. None without any such document.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1))
     # languages are counted first (a row each), so that few more rows than wanted reach a language's window, however many tasks there are
     counts = known.groupBy("lang").agg(F.count("*").alias("_all"))
+    counts = cut(counts)
+    most = max(1, min(most, total // max(1, counts.count())))
     known = known.join(F.broadcast(counts), "lang").filter(hash_share("doc_id") < 4 * most / F.col("_all")).select("doc_id", "lang")
     first = Window.partitionBy("lang").orderBy(hash_share("doc_id"), "doc_id")
     ids = known.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).drop("_n")
@@ -130,15 +130,18 @@ def train(docs: DataFrame, most: int = 400, pieces: int = 4, piece: int = 300) -
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """doc_id, lang_pred, score and accepted of each row.
 
-    ``und`` with score 0 for null texts, texts without letters and where nothing was learned; otherwise the
-    likeliest learned language, its calibrated probability, and whether that is above the rejection level.
+    ``und`` with score 0 for null and empty texts, texts without letters (numbers such as a superscript two are
+    none) and where nothing was learned; otherwise the likeliest learned language (ties: the first by name),
+    its calibrated probability, and whether that is above the rejection level. Long texts are read whole, in
+    chunks. Null ids and repeated rows come out as they are; other columns take no part, whatever their names;
+    an empty table gives an empty result.
     """
 
     def run(batches):
         for batch in batches:
             lang, score, ok = [], [], []
             for text in batch.column(1).to_pylist():
-                if model is None or text is None or not _LETTER.search(text):
+                if model is None or text is None or not any(map(str.isalpha, text)):
                     lang.append("und"), score.append(0.0), ok.append(False)
                     continue
                 p = model.probabilities(model.raw(text.encode()))
@@ -150,5 +153,6 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``identify`` over ``documents`` with a model of those not held out; nulls and odd rows as there."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs)).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")

@@ -1,6 +1,6 @@
 """Substring deduplication by hashing lines.
 
-A unit is a line, cut further behind the ends of sentences so that passages pasted into the middle of a
+A unit is a line, or a line cut further behind the ends of sentences, so that passages pasted into the middle of a
 line still align. Units are normalised and hashed; digests are grouped over the corpus; the occurrence
 that ranks first stays and the others are removed, with their offsets in the original text.
 """
@@ -14,57 +14,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_skewed, table
+from .common import cut, join_skewed, table, unused
 
-#: Tiles any text: each character belongs to one unit.
-UNIT = r"[^\n.!?]+[.!?]*\n?|[.!?]+\n?|\n"
-_TILE = re.compile(UNIT)
+#: Both tile any text: each character belongs to one unit.
+UNITS = {"sentence": r"[^\n.!?]+[.!?]*\n?|[.!?]+\n?|\n", "line": r"[^\n]+\n?|\n"}
 
 
-def _units(min_words: int):
+def _units(min_words: int, unit: str):
+    tile = re.compile(UNITS[unit])
+
     def run(batches):
         for batch in batches:
             docs, units, starts, ends, digests = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = 0
-                for k, unit in enumerate(_TILE.findall(text)):
-                    words = unit.lower().encode().split()
+                for k, piece in enumerate(tile.findall(text)):
+                    words = piece.lower().encode().split()
                     if len(words) >= min_words:
-                        docs.append(doc), units.append(k), starts.append(at), ends.append(at + len(unit))
+                        docs.append(doc), units.append(k), starts.append(at), ends.append(at + len(piece))
                         digests.append(hashlib.md5(b" ".join(words), usedforsecurity=False).digest())
-                    at += len(unit)
+                    at += len(piece)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(units, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "unit", "start", "end", "digest"])
 
     return run
 
 
-def repeated_units(docs: DataFrame, min_words: int = 6) -> DataFrame:
+def repeated_units(docs: DataFrame, min_words: int = 6, unit: str = "sentence") -> DataFrame:
     """The removed units: doc_id, unit, start, end, keep_doc_id, keep_unit, digest.
 
-    Units of fewer than ``min_words`` words are left alone. The first in order of doc_id (nulls last) and
-    unit stays; rows that repeat a doc_id rank together, so what stays in one stays in all of them. Start
-    and end are code points of the original text, the end exclusive. Null texts have no units.
+    ``unit``: "sentence" or "line". Units of fewer than ``min_words`` words are left alone; 1 takes in all that have
+    a word. The first in order of doc_id (nulls last) and unit stays; rows that repeat a doc_id (or have none) rank
+    together, so what stays in one stays in all of them. Start and end are code points of the original text, the
+    end exclusive. Null and empty texts have no units; long texts are read whole. Other columns take no part,
+    whatever their names; an empty table gives an empty result.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), "text").filter("text IS NOT NULL")
-    units = rows.mapInArrow(_units(min_words), "doc_id long, unit int, start long, end long, digest binary")
-    first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
+    units = rows.mapInArrow(_units(min_words, unit), "doc_id long, unit int, start long, end long, digest binary")
+    first = units.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "unit")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     groups = cut(first)
-    met = join_skewed(units, groups, ["digest"], "_n", "doc_id").filter("doc_id <> _first.doc_id OR unit <> _first.unit")
-    name = [F.when(F.col(c) < 2**63 - 1, F.col(c)).alias(a) for c, a in (("doc_id", "doc_id"), ("_first.doc_id", "keep_doc_id"))]
-    return met.select(name[0], "unit", "start", "end", name[1], F.col("_first.unit").alias("keep_unit"), F.lower(F.hex("digest")).alias("digest"))
-
-
-def without_repeats(docs: DataFrame, min_words: int = 6) -> DataFrame:
-    """``docs`` with their repeated units cut out of the text; columns as before. Null ids keep their text."""
-    gone = repeated_units(docs, min_words).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_gone"))
-    met = docs.join(gone, docs["doc_id"].cast("long") == gone["_doc"], "left")
-    ahead = F.expr("transform(_gone, (g, i) -> substring(text, if(i = 0, 0, _gone[i - 1].end) + 1, g.start - if(i = 0, 0, _gone[i - 1].end)))")
-    rest = F.expr("substring(text, element_at(_gone, -1).end + 1)")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.concat(F.array_join(ahead, ""), rest))
+    met = join_skewed(units, groups, ["digest"], "_n", "doc_id").filter("NOT doc_id <=> _first.doc_id OR unit <> _first.unit")
+    return met.select("doc_id", "unit", "start", "end", F.col("_first.doc_id").alias("keep_doc_id"), F.col("_first.unit").alias("keep_unit"), F.lower(F.hex("digest")).alias("digest"))
+
+
+def without_repeats(docs: DataFrame, min_words: int = 6, unit: str = "sentence") -> DataFrame:
+    """``docs`` with their repeated units cut out of the text; columns as before, whatever their names.
+
+    Null ids keep their text; repeated ids lose the same spans; see ``repeated_units`` for the rest.
+    """
+    doc, gone = unused(docs, "gone_from"), unused(docs, "gone_spans")
+    found = repeated_units(docs, min_words, unit).filter("doc_id IS NOT NULL")
+    spans = found.groupBy(F.col("doc_id").alias(doc)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(gone))
+    met = docs.join(spans, docs["doc_id"].cast("long") == F.col(doc), "left")
+    ahead = F.expr(f"transform(`{gone}`, (g, i) -> substring(text, if(i = 0, 0, `{gone}`[i - 1].end) + 1, g.start - if(i = 0, 0, `{gone}`[i - 1].end)))")
+    rest = F.expr(f"substring(text, element_at(`{gone}`, -1).end + 1)")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.concat(F.array_join(ahead, ""), rest))
     return met.select(*[(text if c == "text" else F.col(c)).alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repeated_units`` of ``documents``: sentences of six words or more; nulls, ties and odd rows as there."""
     return repeated_units(table(spark, sf_dir, "documents"))
 
 

@@ -14,9 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, word_count
-
-_LARGE = 900_000_000  # numpy draws without replacement up to here; larger ranges are split in proportion
+from .common import cut, table, unused, word_count
 
 
 def weights_for(sources: list[str | None], cycle: tuple[float, ...] = (3, 1, 2)) -> dict[str | None, float]:
@@ -43,22 +41,37 @@ def targets_for(sizes: dict[str | None, int], weights: dict[str | None, float],
     return target
 
 
-def _split(rng: np.random.Generator, counts: np.ndarray, draw: int) -> np.ndarray:
-    total = int(counts.sum())
-    if total >= _LARGE:
-        share = np.floor(counts * (draw / total)).astype(np.int64)
-        order = np.argsort(-(counts * (draw / total) - share), kind="stable")
-        share[order[: draw - int(share.sum())]] += 1
-        return share
-    return rng.multivariate_hypergeometric(counts, draw)
-
+def draw(rng: np.random.Generator, counts: np.ndarray, number: int) -> np.ndarray:
+    """How many of each kind are among ``number`` drawn at random, without replacement, from ``counts`` of each.
 
-def shard_counts(slots: np.ndarray, shards: int, size: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of one shard of ``size`` slots: each source's first slot number and its number of slots."""
+    Exact for counts of any size: if every one is taken by a coin of its own and the surplus or shortage (about a
+    root of the number) is then made good by a uniform draw, all sets of that size are equally likely.
+    """
+    total = int(counts.sum())
+    if 2 * number > total:
+        return counts - draw(rng, counts, total - number)
+    if number <= 32:
+        out = np.zeros_like(counts)
+        for k in range(number):
+            out[np.searchsorted(np.cumsum(counts - out), rng.integers(total - k), "right")] += 1
+        return out
+    part = rng.binomial(counts, number / total)
+    over = int(part.sum()) - number
+    return part - draw(rng, part, over) if over > 0 else part + draw(rng, counts - part, -over)
+
+
+def shard_counts(slots: np.ndarray, shards: int, size: int, shard: int, seed: int, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of one shard of ``size`` slots: each source's first slot number and its number of slots.
+
+    ``known`` keeps the halves drawn so far, of use to a task with many shards.
+    """
+    known = {} if known is None else known
     low, high, counts, first = 0, shards, slots.astype(np.int64), np.zeros(len(slots), np.int64)
     while high - low > 1:
         mid = (low + high) // 2
-        left = _split(np.random.default_rng([seed, low, high]), counts, min((mid - low) * size, int(counts.sum())))
+        if (low, high) not in known:
+            known[low, high] = draw(np.random.default_rng([seed, low, high]), counts, min((mid - low) * size, int(counts.sum())))
+        left = known[low, high]
         if shard < mid:
             high, counts = mid, left
         else:
@@ -88,10 +101,10 @@ def permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 def _draws(slots: list[int], blocks: list[int], shards: int, size: int, seed: int):
     def run(batches):
-        count = np.array(slots, np.int64)
+        count, known = np.array(slots, np.int64), {}
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                first, own = shard_counts(count, shards, size, shard, seed)
+                first, own = shard_counts(count, shards, size, shard, seed, known)
                 src = np.repeat(np.arange(len(own)), own)
                 block = np.empty(len(src), np.int64)
                 at = 0
@@ -106,15 +119,15 @@ def _draws(slots: list[int], blocks: list[int], shards: int, size: int, seed: in
 def mix(docs: DataFrame, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 32, shard_slots: int = 4096, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
     """What the mix takes of each row: doc_id, source, size, source_size, target, taken, pieces (and ``carry``).
 
-    ``size``: words (null text: 0). ``pieces``: of the taken blocks, structs of first word, words and times.
-    A source of n blocks takes round(target / (size / n)) slots, at most ``most`` (a whole number here) times n,
-    so no row is taken more than ``most`` times. Null sources are a source of their own; sources without
-    words and empty tables take nothing. Rows that repeat share their place among them in any order. One
-    row per source is held on the driver.
+    ``size``: words (null and empty text: 0; long texts count whole). ``pieces``: of the taken blocks, structs of
+    first word, words and times. A source of n blocks takes round(target / (size / n)) slots, at most ``most`` (a
+    whole number here) times n, so no row is taken more than ``most`` times. Null sources are a source of their own;
+    sources without words and empty tables take nothing. Null ids are ids like others; rows that repeat share
+    their place among them in any order. Other columns take no part, whatever their names. One row per source
+    is held on the driver.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
-    if not carry:  # narrow rows are written once; with texts, counting words again is cheaper than a copy of them
-        sized = cut(sized)
+    # narrow rows are written once
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]))
     stats = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     sizes = {r["source"]: r["size"] for r in stats}
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
@@ -122,12 +135,12 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.
     blocks = [-(-sizes[s] // block) for s in order]
     slots = [min(int(most) * n, round(target[s] * n / sizes[s])) if n else 0 for s, n in zip(order, blocks, strict=True)]
     spark = docs.sparkSession
-    info = spark.createDataFrame([(s, i, sizes[s], target[s]) for i, s in enumerate(order)], "_s string, src int, source_size long, target double")
+    rows = {r["source"]: r["rows"] for r in stats}
+    info = spark.createDataFrame([(s, i, sizes[s], target[s], rows[s] // 1000 + 1) for i, s in enumerate(order)], "_s string, src int, source_size long, target double, _buckets long")
     sized = sized.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
-    # offsets in the source's stream: within buckets of about 4,000 rows, and of buckets by the small table of their sums
-    buckets = max(1, sum(r["rows"] for r in stats) // 4_000)
-    sized = sized.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
+    # offsets in the source's stream: within buckets of about 1,000 of its rows, and of buckets by the small table of their sums
+    sized = sized.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "size"), "_buckets"))
     sums = sized.groupBy("src", "_bucket").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("src", "_bucket", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
@@ -175,32 +188,39 @@ def _rewrite(epoch: int):
     return of
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix as documents: per document and pass, the words that the mix takes; columns as in ``docs``.
+def mixed_documents(docs: DataFrame, most: float = 2.0, **how) -> DataFrame:
+    """The mix as documents: per document and pass (``most`` at most), the words that the mix takes; columns as in ``docs``.
 
     A document whose blocks are all taken comes out unchanged; others keep the taken runs of words, one
-    run per line, and n_chars (if there) follows. Second passes repeat the doc_id. Rows of no words leave.
+    run per line, and n_chars (if there) follows. Later passes repeat the doc_id. Rows of no words leave.
+    Nulls, repeats and empty tables as in ``mix``; other columns may have any names. The mix is planned on
+    narrow rows; texts are shuffled once, to meet their pieces by id and hash (and, among equal rows, number).
     """
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    taken = mix(docs, carry=rest, **how).filter("taken > 0")
-    schema = "epoch int, text string"
+    key, copy, found, one = (unused(docs, x) for x in ("text_hash", "copy_number", "found", "one_pass"))
+    hashed = docs.withColumn(key, F.xxhash64("text"))
+    taken = mix(hashed, most=most, carry=(key,), **how).filter("taken > 0")
+    # of rows alike in id and text, each takes one of the lists of pieces
+    lists = taken.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col(key).alias("_hash")).agg(F.sort_array(F.collect_list("pieces")).alias("_lists"))
+    left = docs.select(F.struct(*docs.columns).alias("_row")).select("_row", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("_row.doc_id").isNull().alias("_none"), F.xxhash64("_row.text").alias("_hash"))
+    same = Window.partitionBy("_id", "_none", "_hash").orderBy("_id")
+    met = left.join(lists, ["_id", "_none", "_hash"]).withColumn("_copy", F.row_number().over(same)).filter(F.col("_copy") <= F.size("_lists"))
+    names = [c for c in docs.columns if c not in ("text", "n_chars")]
+    pieces = F.get("_lists", F.col("_copy") - 1)
+    read = met.select(*[F.col("_row")[c].alias(c) for c in names], F.col("_row.text").alias(key), pieces.alias(copy))
 
     def cut_text(batches):
-        ways = {1: _rewrite(1), 2: _rewrite(2)}
+        ways = {e: _rewrite(e) for e in range(1, int(most) + 1)}
         for batch in batches:
-            found = [[{"epoch": e, "text": x} for e, f in ways.items() if (x := f(text, pieces)) is not None] for text, pieces in zip(batch.column("_text").to_pylist(), batch.column("_pieces").to_pylist(), strict=True)]
-            kept = batch.drop_columns(["_text", "_pieces"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.list_(pa.struct([("epoch", pa.int32()), ("text", pa.string())])))], names=[*kept.schema.names, "_found"])
+            rows = zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
+            texts = [[x for e in range(1, max(p["times"] for p in pieces) + 1) if (x := ways[e](text, pieces)) is not None] for text, pieces in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.list_(pa.string()))], names=[*batch.schema.names[:-2], found])
 
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    read = taken.select(*others, F.col("text").alias("_text"), F.col("pieces").alias("_pieces"))
-    out = ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in others) + f", _found array<struct<{schema.replace(' int', ':int').replace(' string', ':string')}>>"
-    done = read.mapInArrow(cut_text, out).select(*others, F.explode("_found").alias("_one"))
-    done = done.withColumn("text", F.col("_one.text"))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    out = "".join(f"`{c}` {read.schema[c].dataType.simpleString()}, " for c in names) + f"`{found}` array<string>"
+    done = read.mapInArrow(cut_text, out).withColumn(one, F.explode(found))
+    as_text = {"text": F.col(one), "n_chars": F.length(one).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return done.select(*[(as_text[c] if c in as_text else F.col(c)).alias(c) for c in docs.columns])
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix`` over ``documents``: words taken of each; nulls, ties and odd rows as there."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -53,12 +53,14 @@ def pack(sized: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: f
     """Pack rows (doc_id, size) into bins: a row per piece with its bin, capacity and places.
 
     Documents longer than the largest capacity are cut into full pieces, each a bin of its own, and a rest.
-    Rests are dealt by hash to shards of about ``shard_rows`` rows and packed there. Returns doc_id, size,
-    piece, doc_start, tokens, bin_id, bin_start, capacity. Rows of no tokens come out once, without bin
-    (null bin_id, bin_start and capacity). Null ids and repeated rows are packed like others.
+    Rests are dealt by hash of id, size and row to shards of about ``shard_rows`` rows and packed there. Returns
+    doc_id, size, piece, doc_start, tokens, bin_id, bin_start, capacity. Rows of no tokens (null sizes too) come
+    out once, without bin (null bin_id, bin_start and capacity). Null ids and repeated rows are packed like
+    others; equal sizes go in order of doc_id. Other columns take no part, whatever their names; an empty table
+    gives an empty result.
     """
     most = max(capacities)
-    rows = cut(sized.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size")))
+    rows = cut(sized.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row")))
     shards = max(1, -(-rows.count() // shard_rows))
     pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / most)))
     cut_up = rows.withColumn("piece", F.explode(pieces)).withColumn("doc_start", F.col("piece") * most)
@@ -67,7 +69,7 @@ def pack(sized: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: f
     whole = cut_up.filter(F.col("tokens") == most).withColumn("bin_id", F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("."), F.col("piece").cast("string"), F.lit("."), F.hex(F.monotonically_increasing_id())))
     whole = whole.withColumn("bin_start", F.lit(0).cast("long")).withColumn("capacity", F.lit(most).cast("long")).select(cols)
     none = cut_up.filter("tokens = 0").withColumn("bin_id", F.lit(None).cast("string")).withColumn("bin_start", F.lit(None).cast("long")).withColumn("capacity", F.lit(None).cast("long")).select(cols)
-    rest = cut_up.filter((F.col("tokens") > 0) & (F.col("tokens") < most)).withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)))
+    rest = cut_up.filter((F.col("tokens") > 0) & (F.col("tokens") < most)).withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "row"), F.lit(shards)))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
@@ -79,9 +81,10 @@ def pack(sized: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: f
 
 
 def pack_documents(docs: DataFrame, **how) -> DataFrame:
-    """``pack`` with a document's words as its tokens (null text: none)."""
+    """``pack`` with a document's words as its tokens (null text: none); long texts count whole, odd rows as in ``pack``."""
     return pack(docs.select("doc_id", word_count(F.col("text")).alias("size")), **how)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pack_documents`` over ``documents``; nulls, ties and odd rows as in ``pack``."""
     return pack_documents(table(spark, sf_dir, "documents"))

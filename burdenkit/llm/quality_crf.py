@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash_share, table
+from .common import crc_mod, hash_share, table, unused
 
 _KIND = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 punctuation, 5 space, 6 beyond ASCII
 _KIND[[*range(97, 123)]], _KIND[[*range(65, 91)]], _KIND[[*range(48, 58)]] = 1, 2, 3
@@ -23,46 +23,82 @@ FEATURES = (*BASE, *(f"around_{x}" for x in BASE[2:]), "first", "last")
 _BATCH = 1 << 21
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and lengths of the lines of all texts, and each text's number of lines (empty lines count)."""
-    count = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+def _sums(data: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Sums over the lines of a piece of text, a row each, and whether the last line goes on behind it.
+
+    Columns: bytes, lower, upper, digit, mark, beyond ASCII, words, characters in words, words like the one before,
+    marks like the one before, code of the words, code of the words by their place.
+    """
+    open_ = not len(data) or data[-1] != 10
     ends = np.flatnonzero(data == 10)
+    if open_:
+        ends = np.append(ends, len(data))
     starts = np.concatenate(([0], ends[:-1] + 1))
-    length = (ends - starts).astype(np.float64)
-    n = np.maximum(length, 1)
-    kind = _KIND[data]
-
-    def total(x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x, starts, dtype=np.int64).astype(np.float64)
-
-    mark = kind == 4
-    space = kind == 5
+    lines, kind = len(starts), _KIND[data]
+    out = np.zeros((lines, 12))
+    out[:, 0] = ends - starts
+    if not len(data):
+        return out, open_
+    edge = np.minimum(starts, len(data) - 1)
+    for k, of in enumerate((1, 2, 3, 4, 6), 1):
+        out[:, k] = np.where(starts < len(data), np.add.reduceat(kind == of, edge, dtype=np.int64), 0)
+    mark, space = kind == 4, kind == 5
     begin = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     finish = np.flatnonzero(~space & np.concatenate((space[1:], [True])))
-    lines = len(starts)
     if len(begin):
         line = np.searchsorted(ends, begin)
-        words = np.bincount(line, minlength=lines).astype(np.float64)
         place = np.arange(len(data)) - np.repeat(np.concatenate(([0], begin)), np.diff(np.concatenate(([0], begin, [len(data)]))))
         with np.errstate(over="ignore"):
             code = np.where(space, 0, data).astype(np.uint64) * _POWER[np.minimum(place, 63)]
         code = np.add.reduceat(code, begin)
         again = np.zeros(len(begin))
         again[1:] = (code[1:] == code[:-1]) & (line[1:] == line[:-1])
-        again = np.bincount(line, again, lines)
-        chars = np.bincount(line, finish - begin + 1, lines)
-        whole = np.bincount(line, (code >> np.uint64(40)).astype(np.float64) * (1 + np.arange(len(code)) - np.searchsorted(line, line)), lines)
-    else:
-        words = again = chars = whole = np.zeros(lines)
+        short = (code >> np.uint64(40)).astype(np.float64)
+        out[:, 6], out[:, 7], out[:, 8] = np.bincount(line, minlength=lines), np.bincount(line, finish - begin + 1, lines), np.bincount(line, again, lines)
+        out[:, 10], out[:, 11] = np.bincount(line, short, lines), np.bincount(line, short * (1 + np.arange(len(code)) - np.searchsorted(line, line)), lines)
     twice = np.zeros(len(data), bool)
     twice[1:] = mark[1:] & (data[1:] == data[:-1])
+    out[:, 9] = np.where(starts < len(data), np.add.reduceat(twice, edge, dtype=np.int64), 0)
+    return out, open_
+
+
+def _pieces(text: bytes, size: int):
+    """A text in pieces of ``size`` bytes or fewer that end with lines, else words, where they can."""
+    at = 0
+    while at < len(text):
+        end = min(at + size, len(text))
+        if end < len(text):
+            line, word = text.rfind(b"\n", at, end), text.rfind(b" ", at, end)
+            end = (line if line >= at else word if word >= at else end - 1) + 1
+        yield text[at:end]
+        at = end
+
+
+def line_features(texts: list[bytes], size: int = _BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and lengths of the lines of all texts, and each text's number of lines (empty lines count).
+
+    Works on ``size`` bytes at a time: memory grows with the number of lines only. Longer lines are summed over
+    pieces that end with words; what repeats across such an end doesn't count.
+    """
+    count = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+    found, going = [], False
+    for piece in _pieces(b"\n".join(texts) + b"\n", size):
+        rows, open_ = _sums(np.frombuffer(piece, np.uint8))
+        if going:
+            last = found[-1]
+            rows[0, 11] += last[-1, 6] * rows[0, 10]  # its words stand behind those before
+            last[-1] += rows[0]
+            rows = rows[1:]
+        if len(rows):
+            found.append(rows)
+        going = open_
+    length, lower, upper, digit, mark, beyond, words, chars, again, twice, _, whole = np.concatenate(found).T
+    lines, n, w = len(length), np.maximum(length, 1), np.maximum(words, 1)
     doc = np.repeat(np.arange(len(texts)), count)
     by = np.lexsort((np.arange(lines), whole, doc))  # a line like an earlier one of its text
     seen = np.zeros(lines)
     seen[by[1:]] = (doc[by[1:]] == doc[by[:-1]]) & (whole[by[1:]] == whole[by[:-1]]) & (words[by[1:]] > 0)
-    w = np.maximum(words, 1)
-    base = np.stack([np.log1p(length) / 5, total(kind == 1) / n, total(kind == 2) / n, total(kind == 3) / n, total(mark) / n, total(kind == 6) / n, np.minimum(chars / w, 40) / 10, again / w, total(twice) / n, np.minimum(total(mark) / w, 5), seen], 1)
+    base = np.stack([np.log1p(length) / 5, lower / n, upper / n, digit / n, mark / n, beyond / n, np.minimum(chars / w, 40) / 10, again / w, twice / n, np.minimum(mark / w, 5), seen], 1)
     first, last = np.zeros(lines), np.zeros(lines)
     edge = np.cumsum(count)
     first[edge - count], last[edge - 1] = 1, 1
@@ -216,8 +252,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1500) -> LineCrf:
     return model.fit(x, np.array([len(n) for n in length]), label, np.concatenate(length).astype(np.float64), weight=class_weights(label, of))
 
 
-def scored(docs: DataFrame, model: LineCrf, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column quality_score (0 to 1). Null texts are scored as empty ones; whole texts are read."""
+def scored(docs: DataFrame, model: LineCrf, text_col: str = "text", name: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``name`` (0 to 1), which must be free; the other columns may have any names.
+
+    Null texts are scored as empty ones (one empty line); whole texts are read, long ones in pieces. Null ids,
+    repeated rows and ties are scored alike; an empty table gives an empty result.
+    """
+    if unused(docs, name) != name:
+        raise ValueError(f"there is a column {name}")
     cols = docs.columns
 
     def run(batches):
@@ -232,10 +274,10 @@ def scored(docs: DataFrame, model: LineCrf, text_col: str = "text") -> DataFrame
                 x, length, count = line_features(texts[at:end])
                 score[at:end] = model.score(x, count, length)
                 at = end
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], name])
 
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in cols) + "quality_score double"
-    return docs.select(*cols, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, schema)
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in cols) + f"`{name}` double"
+    return docs.select(*cols, F.col(text_col).cast("binary").alias(unused(docs, "text_bytes"))).mapInArrow(run, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, most: int = 1500) -> DataFrame:
@@ -245,9 +287,14 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = 1500) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = 1500) -> DataFrame:
-    """``docs`` without those that the classifier rejects (score below 0.5); columns as before."""
-    return scored(docs, train(docs, labels, most)).filter("quality_score >= 0.5").select(*docs.columns)
+    """``docs`` without those that the classifier rejects (score below 0.5); columns as before, whatever their names.
+
+    Nulls, repeats, long texts and empty tables as in ``scored``; without labels of both classes nothing is rejected.
+    """
+    name = unused(docs, "quality_score")
+    return scored(docs, train(docs, labels, most), name=name).filter(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``quality`` of ``documents`` by ``labels``; nulls, ties and odd rows as in ``scored``."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -1,15 +1,15 @@
 """Secret scan: fixed patterns plus a battery of randomness tests, in DataFrame functions only.
 
-Tokens of letters and digits get an inferred encoding. Three tests ask whether a token could be uniform
-over its alphabet (chi-squared, runs about the middle, lag-1 serial correlation). A token that passes all
-is held against ordinary text: chi-squared is far larger there, in proportion to the length, which gives
-the probability that text of that length looks as even. False discoveries are controlled over the whole
-corpus by encoding and length band (Benjamini-Hochberg on a histogram of bounded size).
+Tokens of letters and digits get an inferred encoding. Three tests (chi-squared evenness, runs about the middle,
+lag-1 serial correlation) are combined twice: by Fisher's rule into the probability that the token is uniform over
+its alphabet, and, each weighted by what text of that length shows in it, into the probability that text looks
+as random. False discoveries of the second are controlled over the whole corpus by encoding and length band
+(Benjamini-Hochberg on a histogram of bounded size).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -19,15 +19,17 @@ _C = "A-Za-z0-9+/_-"
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # the runs of AKIA[A-Z0-9]+ that have 16 characters
 HEX = r"[0-9a-f]{32,}"  # the runs of [0-9a-f]+ that have 32 characters
-#: A run of the token alphabet with a digit, 20 characters or more; starts only where a run starts, so time stays linear.
-TOKEN = rf"(?<![{_C}])(?=[{_C}]{{20}})[A-Za-z+/_-]*+[0-9][{_C}]*+"
+#: A run of the token alphabet. Of fewer than 12 characters not even one whose characters all differ and that is
+#: alone in its band gets below 0.01 as text, so shorter ones could never be discovered.
+TOKEN = rf"(?<![{_C}])[{_C}]{{12,}}+"
 KINDS = ("assign", "access", "hex", "random")
-#: Encodings: pattern, alphabet, and by how much text exceeds evenness a character (alphabet size x index of coincidence - 1).
+#: Encodings: pattern, alphabet, and what text shows: how much it exceeds evenness a character (alphabet size x index
+#: of coincidence - 1), and its runs and serial statistics less those of random tokens, by the root of the length.
 ENCODINGS = {
-    "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.7),
-    "base32": (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.1),
-    "base36": (r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 1.4),
-    "base64": (r"^", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.2),
+    "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.7, 0.05, -0.05),
+    "base32": (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.1, 0.05, -0.09),
+    "base36": (r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 1.4, 0.06, -0.09),
+    "base64": (r"^", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.2, 0.08, -0.05),
 }
 _SPAN = "array<struct<start:int,end:int,kind:int,hit:string>>"
 
@@ -60,7 +62,12 @@ def _log10_lower(z: Column) -> Column:
 
 
 def battery(tokens: DataFrame, hit: str = "hit", level: float = 3.0) -> DataFrame:
-    """Adds encoding, n, z_even, z_runs, z_serial, random (passes all tests at 10^-level) and log_p (as text)."""
+    """Adds encoding, n, z_even, z_runs, z_serial, log_uniform, random and log_p of each token.
+
+    log_uniform: log10 of Fisher's combined probability of the three tests for a uniform token; random: it is above
+    10^-level. log_p: log10 of the probability as text, from the three statistics less what text shows, weighted
+    by that difference (the best weights for normal statistics).
+    """
     kind = F.lit("base64")
     for name in ("base36", "base32", "hex"):
         kind = F.when(F.col(hit).rlike(ENCODINGS[name][0]), name).otherwise(kind)
@@ -89,10 +96,14 @@ def battery(tokens: DataFrame, hit: str = "hit", level: float = 3.0) -> DataFram
     spread = cross * (cross - F.col("n")) / (F.col("n") * F.col("n") * (F.col("n") - 1))
     d = d.withColumn("z_even", even).withColumn("z_runs", F.when(spread > 0, (F.col("_runs") - 1 - cross / F.col("n")) / F.sqrt(spread)).otherwise(99.0))
     d = d.withColumn("z_serial", F.when(F.col("_var") > 0, F.col("_cov") / F.col("_var") * F.sqrt("n")).otherwise(99.0))
-    passes = (_log10_lower(-F.col("z_even")) > -level) & (_log10_lower(-F.abs("z_runs")) > -level) & (_log10_lower(-F.abs("z_serial")) > -level)
-    excess = F.col("n") * of(2)
-    as_text = (F.col("_chi2") - df - excess) / F.sqrt(2 * (df + 2 * excess))
-    out = d.withColumn("random", passes).withColumn("log_p", F.least(F.lit(0.0), _log10_lower(as_text)))
+    half = -2.302585092994046 * (_log10_lower(-F.col("z_even")) + _log10_lower(-F.abs("z_runs")) + _log10_lower(-F.abs("z_serial")) + 2 * 0.30102999566398120)
+    half = F.greatest(half, F.lit(0.0))
+    uniform = (F.log(1 + half + half * half / 2) - half) / 2.302585092994046  # the chi-squared tail with six degrees of freedom
+    excess, root = F.col("n") * of(2), F.sqrt("n")
+    spread_text = F.sqrt(2 * (df + 2 * excess))
+    pulls = [(excess / spread_text, (F.col("_chi2") - df - excess) / spread_text), (root * of(3), F.col("z_runs") - root * of(3)), (-root * of(4), root * of(4) - F.col("z_serial"))]
+    as_text = sum(w * z for w, z in pulls) / F.sqrt(sum(w * w for w, _ in pulls))
+    out = d.withColumn("log_uniform", uniform).withColumn("random", uniform > -level).withColumn("log_p", F.least(F.lit(0.0), _log10_lower(as_text)))
     return out.drop("_plain", "_alphabet", "_a", "_chi2", "_v", "_high", "_n1", "_mean", "_runs", "_var", "_cov")
 
 
@@ -102,8 +113,6 @@ def discoveries(tokens: DataFrame, rate: float = 0.01, bins: int = 20, most: int
     Bins are twentieths of -log10 p up to ``most``, so there are at most 4 x 20 x 401 of them.
     """
     counts = tokens.groupBy("encoding", "band", "bin").agg(F.count("*").alias("k"))
-    from pyspark.sql import Window
-
     down = Window.partitionBy("encoding", "band").orderBy(F.desc("bin"))
     whole = Window.partitionBy("encoding", "band")
     ranked = counts.withColumn("found", F.sum("k").over(down)).withColumn("m", F.sum("k").over(whole))
@@ -111,12 +120,25 @@ def discoveries(tokens: DataFrame, rate: float = 0.01, bins: int = 20, most: int
     return kept.groupBy("encoding", "band").agg(F.min("bin").alias("least_bin"))
 
 
+def _uncovered(d: DataFrame) -> DataFrame:
+    """The tokens (_row, start, end, kind, hit) that no base span overlaps, by one sort of a text's spans."""
+    some = d.filter(F.size("_tokens") > 0)
+    free = some.filter(F.size("_base") == 0).select("_row", F.explode("_tokens").alias("t")).select("_row", "t.*")
+    both = some.filter(F.size("_base") > 0).select("_row", F.explode(F.expr("concat(_tokens, transform(_base, b -> named_struct('start', b.start, 'end', b.end, 'kind', b.kind, 'hit', cast(NULL AS string))))")).alias("t")).select("_row", "t.*")
+    base, ahead, back = F.col("kind") < 3, Window.unboundedPreceding, -1
+    before = F.max(F.when(base, F.col("end"))).over(Window.partitionBy("_row").orderBy("start", "kind").rowsBetween(ahead, back))
+    behind = F.min(F.when(base, F.col("start"))).over(Window.partitionBy("_row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(ahead, back))
+    alone = both.withColumn("_before", before).withColumn("_behind", behind).filter("kind = 3 AND coalesce(_before <= start, true) AND coalesce(_behind >= end, true)")
+    return free.union(alone.select(*free.columns))
+
+
 def secret_spans(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     """doc_id and spans (structs start, end, kind number; by start, then kind) of each row's text.
 
-    Starts and ends are code points, the end exclusive. Null texts count as empty. Base spans (assign,
-    access, hex) always stay; random spans are added where no base span covers the token. The texts are
-    read once; rows that repeat come out repeatedly; an empty table gives an empty result.
+    Starts and ends are code points, the end exclusive. Null texts count as empty; long texts are read whole, and
+    very many spans take linear time. Base spans (assign, access, hex) always stay; random spans are added where
+    no base span touches the token. The texts are read once; null ids and rows that repeat come out as they are;
+    other columns take no part, whatever their names; an empty table gives an empty result.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": TOKEN}
@@ -128,9 +150,8 @@ def secret_spans(docs: DataFrame, rate: float = 0.01) -> DataFrame:
         d = d.withColumn(f"_s_{name}", _located(f"_m_{name}", f"_p_{name}", k))
     long_enough = F.filter("_s_assign", lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2)) >= 8)
     d = d.select("doc_id", F.concat(long_enough, F.col("_s_access"), F.col("_s_hex")).alias("_base"), F.col("_s_random").alias("_tokens"))
-    covered = "filter(_tokens, t -> NOT exists(_base, b -> b.start < t.end AND t.start < b.end))"
-    d = cut(d.select("doc_id", F.expr("transform(_base, b -> named_struct('start', b.start, 'end', b.end, 'kind', b.kind))").alias("_base"), F.expr(covered).alias("_tokens")).withColumn("_row", F.monotonically_increasing_id()))
-    tests = battery(d.filter(F.size("_tokens") > 0).select("_row", F.explode("_tokens").alias("_t")).select("_row", "_t.start", "_t.end", "_t.kind", F.col("_t.hit").alias("hit")))
+    d = cut(d.select("doc_id", F.expr("transform(_base, b -> named_struct('start', b.start, 'end', b.end, 'kind', b.kind))").alias("_base"), "_tokens").withColumn("_row", F.monotonically_increasing_id()))
+    tests = battery(_uncovered(d))
     tests = tests.withColumn("band", F.floor(F.log2("n")).cast("int")).withColumn("bin", F.least(F.lit(400), F.floor(-F.col("log_p") * 20)).cast("int"))
     tests = cut(tests.select("_row", "start", "end", "kind", "encoding", "band", "bin", "random"))
     found = tests.join(F.broadcast(discoveries(tests, rate)), ["encoding", "band"]).filter(F.col("random") & (F.col("bin") >= F.col("least_bin")))
@@ -146,6 +167,7 @@ def _joined(column: str) -> Column:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``secret_spans`` of ``documents`` as counts, digest and text; nulls, ties and odd rows as there."""
     found = secret_spans(table(spark, sf_dir, "documents"))
     number = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select("doc_id", *number, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))

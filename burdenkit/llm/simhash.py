@@ -1,11 +1,11 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two fingerprints within the radius differ, under at least one mask, in at most twice ``FLIP`` bits; the
-variants that both emit (their masked bits with up to ``FLIP`` bits flipped) then meet half way. For 64
-bits and radius 3 three masks that each leave out a third of the bits suffice: three differing bits leave
-at most two in the rest of some mask. So a fingerprint emits 131 variants of 42 or 43 bits where whole
-balls of radius 1 and 2 would be 2081 variants, and no link is lost. ``near_copies`` decides on the words
-themselves: its candidates share one of their rarest shingles, and fingerprints only order them.
+Every fingerprint emits its ball of half the radius: the bits under a mask, and these with any one bit
+flipped. Two fingerprints that differ there in at most two bits share a variant, meet in the task that owns
+it, and are verified. ``simhash_components`` (radius 3) uses three masks that each leave out a third of the
+64 bits: of three differing bits at most two are left under some mask, so no link is lost with 131 variants
+where whole balls of one and two flips would be 2081. ``near_copies`` decides by Jaccard on word shingles;
+it has as many masks as its recall asks for, on 192-bit fingerprints of the distinct shingles.
 """
 
 from __future__ import annotations
@@ -14,13 +14,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import cut, hash_share, join_skewed, table
+from .common import cut, join_skewed, table, unused
 
-FLIP = 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,335 +85,299 @@ def masks_leaving_out(radius: int, bits: int = 64) -> list[list[int]]:
     return [[b for b in range(bits) if b % 3 != k] for k in range(3)]
 
 
+def masks_for(similarity: float, recall: float, nodes: int, width: int = 3, seed: int = 42) -> tuple[list[list[int]], int]:
+    """Random masks with which a pair of Jaccard ``similarity`` meets with probability ``recall``, and a radius of all bits.
+
+    A bit differs with probability arccos(cosine) / pi; of the number of bits that differ follows how likely at most
+    two of them lie under a mask. Masks get longer with the logarithm of the number of fingerprints, so that
+    unlike ones meet by chance equally rarely in tables of all sizes. The radius is four deviations above the
+    mean distance of such a pair.
+    """
+    size, bits = max(26, math.ceil(math.log2(max(nodes, 1))) + 9), 64 * width
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    apart = [math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(bits + 1)]
+    missed = [1 - sum(math.comb(d, k) * math.comb(bits - d, size - k) for k in range(3)) / math.comb(bits, size) for d in range(bits + 1)]
+    count = 1
+    while sum(a * m**count for a, m in zip(apart, missed, strict=True)) > 1 - recall:
+        count += 1
+    rng = np.random.default_rng(seed)
+    masks = [np.sort(rng.choice(bits, size, replace=False)).tolist() for _ in range(count)]
+    return masks, math.floor(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
+
+
 def _emit(masks: list[list[int]], width: int):
-    """Fingerprint words in; key (hash of mask and variant) and the words out."""
-    masked, flips, number = [], [], []
-    for k, bits in enumerate(masks):
-        flip = np.zeros((1 + len(bits), width), np.uint64)
-        for i, b in enumerate(bits):
-            flip[i + 1, b // 64] = np.uint64(1) << np.uint64(b % 64)
-        masked.append(np.broadcast_to(flip[1:].sum(0, dtype=np.uint64), flip.shape))
-        flips.append(flip)
-        number.append(np.full(len(flip), k + 1, np.uint64))
-    mask, flip, start = np.concatenate(masked), np.concatenate(flips), _mix(np.concatenate(number))
+    """node and fingerprint words in; key, node and words out, a row for each variant of each mask."""
+    span = max(map(len, masks))
+    place = [np.int64(1) << np.arange(len(m), dtype=np.int64) for m in masks]
+    flips = [np.concatenate((np.zeros(1, np.int64), p)) for p in place]
 
     def run(batches):
         for batch in batches:
-            prints = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1).view(np.uint64)
-            for at in range(0, len(prints), 512):
-                part = prints[at : at + 512]
-                key = np.broadcast_to(start, (len(part), len(start)))
-                for k in range(width):
-                    key = _mix(key ^ ((part[:, k, None] & mask[None, :, k]) ^ flip[None, :, k]))
-                again = np.repeat(part, len(start), axis=0).view(np.int64)  # a fingerprint's rows follow each other, which compresses well
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in again.T)], names=["key", *_words(width)])
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            for at in range(0, len(rows), 1024):
+                part = rows[at : at + 1024]
+                bits = np.unpackbits(np.ascontiguousarray(part[:, 1:]).view(np.uint8), axis=1, bitorder="little")
+                cells = [(bits[:, m] @ p)[:, None] ^ f for m, p, f in zip(masks, place, flips, strict=True)]
+                key = np.concatenate([(k << span) + c for k, c in enumerate(cells)], 1)
+                again = np.repeat(part, key.shape[1], axis=0)  # a fingerprint's rows follow each other, which compresses well
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), *(pa.array(np.ascontiguousarray(c)) for c in again.T)], names=["key", "node", *_words(width)])
 
     return run
 
 
-def _nearest_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A minimum spanning forest (Prim) of the fingerprints' distances, without links beyond ``radius``.
+def _runs(batches, most: int | None = None):
+    """Rows of longs sorted by their first column -> rows, starts, ends and which runs of a key are parts of a long one.
 
-    Its trees are exactly the components of all links within the radius, in one row of distances at a
-    time: memory is linear in the group and fewer links than members come out.
+    Without ``most`` every run is a whole key; else runs have ``most`` rows or fewer and parts share a row.
+    """
+    rest, going = None, None
+
+    def split(rows: np.ndarray, more: bool):
+        change = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+        starts, ends = np.concatenate(([0], change)), np.concatenate((change, [len(rows)]))
+        long = np.zeros(len(starts), bool)
+        if most is None:
+            return rows, starts, ends, long
+        long = (ends - starts > most) | (rows[starts, 0] == going if going is not None else False)
+        long[-1] |= more
+        parts = [(a, b, x) if b - a <= most else (k, min(k + most, b), True) for a, b, x in zip(starts.tolist(), ends.tolist(), long.tolist(), strict=True) for k in range(a, max(a + 1, b - 1), most - 1)]
+        return rows, *(np.array(c) for c in zip(*parts, strict=True))
+
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+        rest = rows if rest is None else np.concatenate([rest, rows])
+        change = np.flatnonzero(rest[1:, 0] != rest[:-1, 0])
+        if len(change):  # the last key may go on in the next batch
+            at = change[-1] + 1
+            yield split(rest[:at], False)
+            rest, going = rest[at:], None
+        if most is not None and len(rest) > 4 * most:
+            yield split(rest, True)
+            rest, going = rest[-1:], rest[0, 0]
+    if rest is not None and len(rest):
+        yield split(rest, False)
+
+
+def _forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which fingerprints have another within the radius, and each one's parent in a minimum spanning forest (Prim; -1: root).
+
+    Its trees are exactly the components of all links within the radius, in one row of distances at a time.
     """
     n = len(prints)
-    best, parent, left = np.full(n, 10_000), np.full(n, -1), np.ones(n, bool)
-    links, at = [], 0
-    for _ in range(n - 1):
+    best, parent, left, partner = np.full(n, 1000), np.full(n, -1), np.ones(n, bool), np.zeros(n, bool)
+    at = 0
+    for _ in range(n):
         left[at] = False
         distance = np.bitwise_count(prints ^ prints[at]).sum(1)
-        closer = left & (distance < best)
+        partner[at] = (distance <= radius).sum() > 1
+        closer = left & (distance <= radius) & (distance < best)
         best[closer], parent[closer] = distance[closer], at
-        at = int(np.where(left, best, 100_000).argmin())
-        if best[at] <= radius:
-            links.append((int(parent[at]), at))
-        else:
-            best[at] = 10_000
-    return links
+        at = int(np.where(left, best, 10_000).argmin())
+    return partner, parent
+
 
+def _meet(width: int, radius: int, most: int):
+    """Rows key, node and words sorted by key in; those with a partner within the radius out.
 
-def _meet(width: int, radius: int):
-    """Rows sorted by key in; links between the fingerprints that share a key and lie within ``radius`` out."""
-    names = [*(f"a{k}" for k in range(width)), *(f"b{k}" for k in range(width))]
+    ``parent`` is the node that a forest of the key's rows links them to, null at its roots; ``long`` marks the
+    rows of keys that were taken in parts, which come out all.
+    """
+    names = ["key", "node", *_words(width), "parent", "long"]
 
     def run(batches):
-        rest = np.empty((0, width + 1), np.uint64)
-
-        def links(rows: np.ndarray):
-            change = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
-            starts, ends = np.concatenate(([0], change)), np.concatenate((change, [len(rows)]))
-            size = ends - starts
-            two = starts[size == 2]
-            a, b = rows[two, 1:], rows[two + 1, 1:]
-            near = (np.bitwise_count(a ^ b).sum(1) <= radius) & (a != b).any(1)
-            found = [np.concatenate([a[near], b[near]], 1)]
-            for k in np.flatnonzero(size > 2):
-                prints = np.unique(rows[starts[k] : ends[k], 1:], axis=0)
-                if pairs := _nearest_links(prints, radius):
-                    i, j = np.array(pairs).T
-                    found.append(np.concatenate([prints[i], prints[j]], 1))
-            out = np.concatenate(found)
-            swap = np.array([tuple(x[:width]) > tuple(x[width:]) for x in out.tolist()], bool)
-            out[swap] = np.concatenate([out[swap, width:], out[swap, :width]], 1)
-            out = np.unique(out, axis=0).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=names)
+        for rows, starts, ends, long in _runs(batches, most):
+            size, out = ends - starts, []
+            two = np.flatnonzero((size == 2) & ~long)
+            a, b = rows[starts[two]], rows[starts[two] + 1]
+            near = np.bitwise_count(a[:, 2:].view(np.uint64) ^ b[:, 2:].view(np.uint64)).sum(1) <= radius
+            out.append((a[near], np.zeros(near.sum(), np.int64), np.ones(near.sum(), bool), False))
+            out.append((b[near], a[near, 1], np.zeros(near.sum(), bool), False))
+            for k in np.flatnonzero((size > 2) | long):
+                g = rows[starts[k] : ends[k]]
+                partner, parent = _forest(np.ascontiguousarray(g[:, 2:]).view(np.uint64), radius)
+                if (keep := partner | long[k]).any():
+                    out.append((g[keep], np.where(parent >= 0, g[parent, 1], 0)[keep], parent[keep] < 0, bool(long[k])))
+            if n := sum(len(x[0]) for x in out):
+                g, parent, root = (np.concatenate([x[k] for x in out]) for k in range(3))
+                many = np.repeat([x[3] for x in out], [len(x[0]) for x in out])
+                assert len(g) == n
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in g.T), pa.array(parent, pa.int64(), mask=root), pa.array(many)], names=names)
 
-        for batch in batches:
-            rows = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1).view(np.uint64)])
-            if not len(rows):
-                continue
-            change = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
-            cut_at = int(change[-1]) if len(change) else 0  # the last key may go on in the next batch
-            rest = rows[cut_at:]
-            if cut_at:
-                yield links(rows[:cut_at])
-        if len(rest):
-            yield links(rest)
+    return run
 
-    return run, ", ".join(f"{n} long" for n in names)
 
+def _between(radius: int, most: int = 1 << 20):
+    """Rows key, node, root and words sorted by key in; all pairs a, b within the radius that lie in unlike roots out."""
 
-def fingerprint_links(prints: DataFrame, masks: list[list[int]], radius: int, width: int = 1) -> DataFrame:
-    """Links a0.., b0.. between different fingerprints; they connect all that meet under a mask within ``radius``."""
-    cols = _words(width)
-    variants = prints.select(*cols).distinct().mapInArrow(_emit(masks, width), "key long, " + ", ".join(f"{c} long" for c in cols))
-    run, schema = _meet(width, radius)
-    return variants.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema).distinct()
+    def pairs(found: list[np.ndarray]):
+        out = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=["a", "b"])
 
+    def run(batches):
+        found, size = [], 0
+        for rows, starts, ends, _ in _runs(batches):
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                node, root, prints = rows[a:b, 1], rows[a:b, 2], np.ascontiguousarray(rows[a:b, 3:]).view(np.uint64)
+                _, piece, count = np.unique(root, return_inverse=True, return_counts=True)
+                left = np.ones(b - a, bool)
+                for i in np.flatnonzero(piece != count.argmax()):  # the largest piece's rows need no turn of their own
+                    left[i] = False
+                    other = node[left & (piece != piece[i]) & (np.bitwise_count(prints ^ prints[i]).sum(1) <= radius)]
+                    if len(other):
+                        found.append(np.stack([np.full(len(other), node[i]), other], 1))
+                        size += len(other)
+                    if size >= most:
+                        yield pairs(found)
+                        found, size = [], 0
+        if found:
+            yield pairs(found)
 
-def _node(side: str, width: int) -> Column:
-    return F.concat(*[F.lpad(F.hex(f"{side}{k}"), 16, "0") for k in range(width)])
+    return run
 
 
-def near_groups(prints: DataFrame, links: DataFrame, width: int = 1) -> DataFrame:
-    """Per row of ``prints`` (doc_id, f0..): doc_id, f0.., component_id, the smallest doc_id reachable over ``links``."""
-    cols = _words(width)
-    found = components(links.select(_node("a", width).alias("a"), _node("b", width).alias("b")))
-    each = prints.groupBy(*cols).agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).withColumn("node", _node("f", width))
-    named = each.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = cut(named)
-    top = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = cut(named.select(*cols, "rows", "root").join(top, "root").drop("root"))
-    return join_skewed(prints, groups, cols, "rows", "doc_id").drop("rows")
+def _named(width: int) -> str:
+    return ", ".join(f"{c} long" for c in ["key", "node", *_words(width)])
 
 
-def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row.
+def meetings(nodes: DataFrame, masks: list[list[int]], radius: int, width: int, most: int = 512) -> DataFrame:
+    """Of ``nodes`` (node, f0, ...; distinct): the rows of all variants that meet others, see ``_meet``.
 
-    Fingerprints at ``radius`` (up to 3) or fewer differing bits are linked, equal ones too; component_id is
-    the smallest doc_id reachable. Null and empty texts have fingerprint zero, linked like any other. Rows
-    with a null id share their fingerprint's component, which is null only if it has no other id. Repeated
-    rows come out repeatedly; other columns take no part; an empty table gives an empty result.
+    A forest takes in ``most`` rows of a variant; a longer one goes on in pieces that share a row.
     """
-    prints = cut(fingerprints(docs, words))
-    links = cut(fingerprint_links(prints, masks_leaving_out(radius), radius))
-    out = near_groups(prints, links)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // 50_000)
+    variants = nodes.repartition(parts, "node").mapInArrow(_emit(masks, width), _named(width))
+    met = variants.repartition("key").sortWithinPartitions("key", *_words(width)).mapInArrow(_meet(width, radius, most), _named(width) + ", parent long, long boolean")
+    return cut(met)
 
 
-def _node_id(shingles: np.ndarray) -> int:
-    """A document's identity for near copies: the digest of its distinct shingles, which come sorted."""
-    import xxhash
+def forest_links(met: DataFrame) -> DataFrame:
+    """The links a, b of the forests."""
+    return met.filter("parent IS NOT NULL").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b")).distinct()
 
-    return xxhash.xxh64_intdigest(shingles.tobytes(), 7)
 
+def links_between(met: DataFrame, alike: DataFrame, radius: int, width: int, block: int = 8192) -> DataFrame:
+    """All pairs a, b that meet within the radius and that the links ``alike`` don't connect yet.
 
-def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node and the sorted distinct shingles of each row of (doc_id, text)."""
+    Variants whose rows are all connected (every large group of true copies) end here. Rows of long variants
+    are dealt to pairs of blocks of about ``block`` rows, so that no task holds one whole.
+    """
+    pieces = met.select("key", "node", *_words(width)).distinct().join(components(alike), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = pieces.groupBy("key").agg(F.count("*").alias("_n"), F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b")
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    mine = F.pmod(F.xxhash64("node"), blocks)
+    pair = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j"))))
+    dealt = pieces.join(open_.select("key", "_n"), "key").withColumn("_pair", pair).select(F.xxhash64("key", "_pair.i", "_pair.j").alias("key"), "node", "root", *_words(width))
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_between(radius), "a long, b long").distinct()
 
-    def run(batches):
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t or b"", words)) for t in batch.column(0).to_pylist()]
-            nodes = np.array([_node_id(x) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, shingles array<long>")
+def with_components(rows: DataFrame, alike: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, node, ...) with component_id, the smallest doc_id reachable over links a, b of nodes."""
+    each = rows.groupBy("node").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_rows"))
+    named = cut(each.join(components(alike), "node", "left").withColumn("_root", F.coalesce("root", "node")).drop("root"))
+    top = cut(named.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count("*").alias("_nodes")))
+    groups = cut(join_skewed(named, top, ["_root"], "_nodes", "node").select("node", "_rows", "component_id"))
+    return join_skewed(rows, groups, ["node"], "_rows", "doc_id").drop("_rows")
 
 
-def _common_shingles(docs: DataFrame, words: int, sample: int = 20_000, least: int = 4, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that ``least`` of about ``sample`` documents (a sixteenth at most) hold, sorted, and their counts.
+def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row.
 
-    They only order shingles (rare ones first); any list gives the same near copies.
+    Fingerprints at ``radius`` (up to 3) or fewer differing bits are linked, equal ones too; component_id is
+    the smallest doc_id reachable. Null and empty texts have fingerprint zero, linked like any other; texts of
+    any length are read whole. Rows with a null id share their fingerprint's component, which is null only if it
+    has no other id. Repeated rows come out repeatedly; ties cannot arise; other columns take no part, whatever
+    their names; an empty table gives an empty result.
     """
-    some = docs.filter(hash_share("doc_id") < min(sample / max(docs.count(), 1), 1 / 16))
-    counts = _shingle_sets(some, words).select(F.explode("shingles").alias("h")).groupBy("h").count().filter(F.col("count") >= least)
-    found = counts.orderBy(F.desc("count"), "h").limit(most).toPandas().to_numpy(np.int64).reshape(-1, 2)
-    h, by = found[:, 0].copy().view(np.uint64), found[:, 1].copy()
-    order = np.argsort(h)
-    return h[order], by[order]
+    prints = cut(fingerprints(docs, words).withColumn("node", F.col("f0")))
+    met = meetings(prints.select("node", "f0").distinct(), masks_leaving_out(radius), radius, 1)
+    links = cut(forest_links(met))
+    if not (long := met.filter("long")).isEmpty():
+        links = cut(links.union(links_between(long, links, radius, 1)))
+    out = with_components(prints, links)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _rare_first(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The shingles in an order that is the same for all documents: by their count among the common ones, then by hash."""
-    known, count = common
-    by = np.zeros(len(shingles), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-        by = np.where(known[at] == shingles, count[at], 0)
-    return shingles[np.lexsort((shingles, by))]
+def _node_id(shingles: np.ndarray) -> int:
+    """A document's identity for near copies: the digest of its distinct shingles, which come sorted."""
+    import xxhash
 
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 7)
 
-def _prefixes(docs: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, f0 (node), print (fingerprint of the distinct shingles), n (their number) and keys of every row.
 
-    Two sets of Jaccard ``similarity`` share at least that part of either, so their first common shingle is among
-    the first n - ceil(similarity n) + 1 of both. A node's keys come out once a task; its other rows have none.
-    """
+def _signatures(docs: DataFrame, words: int, width: int) -> DataFrame:
+    """doc_id, node (digest of the distinct shingles) and their fingerprint f0, f1, ... of each row."""
 
     def run(batches):
-        seen = set()
         for batch in batches:
-            rows = []
+            found = []
             for text in batch.column(1).to_pylist():
                 shingles = np.unique(shingle_hashes(text or b"", words))
-                node, n = _node_id(shingles), len(shingles)
-                keys = np.empty(0, np.uint64)
-                if n and node not in seen:
-                    keys = _rare_first(shingles, common)[: n - math.ceil(similarity * n - 1e-9) + 1]
-                seen.add(node)
-                rows.append((node, fingerprint(shingles)[0], n, keys.view(np.int64)))
-            cols = [np.array([r[k] for r in rows], np.uint64).view(np.int64) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "f0", "print", "n", "keys"])
+                found.append((_node_id(shingles), *fingerprint(shingles, width)))
+            cols = np.array(found, np.uint64).reshape(-1, 1 + width).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in cols.T)], names=["doc_id", "node", *_words(width)])
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, f0 long, print long, n long, keys array<long>")
-
-
-def _whole_keys(batches):
-    """Rows of longs sorted by their first column, as arrays that hold keys whole, with the starts and ends of these."""
-    rest = None
-    for batch in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
-        rest = rows if rest is None else np.concatenate([rest, rows])
-        change = np.flatnonzero(rest[1:, 0] != rest[:-1, 0]) + 1
-        if len(change):  # the last key may go on in the next batch
-            yield rest[: change[-1]], np.concatenate(([0], change[:-1])), change
-            rest = rest[change[-1] :]
-    if rest is not None and len(rest):
-        yield rest, np.array([0]), np.array([len(rest)])
-
-
-def _may_be_alike(n: np.ndarray, at: np.ndarray, n0: int, at0: int, similarity: float) -> np.ndarray:
-    """Whether sets of these sizes whose first common shingle stands at these places can reach ``similarity``."""
-    return np.minimum(n - at, n0 - at0) >= similarity / (1 + similarity) * (n + n0) - 1e-6
-
+    return rows.mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{c} long" for c in _words(width)))
 
-def _key_forests(similarity: float):
-    """Rows key, node, print, n, place sorted by key and node in; those with a possible partner out.
 
-    Parent is the node that a minimum spanning forest of the possible pairs (Prim, by distance of fingerprints)
-    links them to, null at the roots. Memory is linear in the group.
-    """
-
-    def forest(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        prints, n, place = np.ascontiguousarray(g[:, 2]).view(np.uint64), g[:, 3], g[:, 4]
-        m = len(g)
-        best, parent, left, partner = np.full(m, 1000), np.full(m, -1), np.ones(m, bool), np.zeros(m, bool)
-        at = 0
-        for _ in range(m):
-            left[at] = False
-            may = _may_be_alike(n, place, n[at], place[at], similarity)
-            may[at] = False
-            partner[at] = may.any()
-            distance = np.where(left & may, np.bitwise_count(prints ^ prints[at]), 1000)
-            closer = distance < best
-            best[closer], parent[closer] = distance[closer], at
-            at = int(np.where(left, best, 10_000).argmin())
-        return partner, parent
+def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """node and the sorted distinct shingles of each row's text."""
 
     def run(batches):
-        for rows, starts, ends in _whole_keys(batches):
-            fresh = np.ones(len(rows), bool)
-            fresh[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
-            out = []
-            for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                g = rows[a:b][fresh[a:b]]
-                if len(g) > 1:
-                    partner, parent = forest(g)
-                    if partner.any():
-                        out.append((g[partner], np.where(parent >= 0, g[parent, 1], 0)[partner], parent[partner] < 0))
-            if out:
-                g, parent, root = (np.concatenate(x) for x in zip(*out, strict=True))
-                cols = [pa.array(np.ascontiguousarray(g[:, k])) for k in (0, 1, 3, 4)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(parent, pa.int64(), mask=root)], names=["key", "node", "n", "place", "parent"])
-
-    return run
-
-
-def _between_pieces(similarity: float, most: int = 1 << 20):
-    """Rows key, node, n, place, root sorted by key in; all possible pairs of unlike roots out."""
-
-    def pairs(found: list[np.ndarray]):
-        out = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=["a0", "b0"])
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t or b"", words)) for t in batch.column(0).to_pylist()]
+            nodes = np.array([_node_id(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    def run(batches):
-        found, size = [], 0
-        for rows, starts, ends in _whole_keys(batches):
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                node, n, place, root = rows[a:b, 1:].T
-                if (root == root[0]).all():
-                    continue
-                for i in range(b - a - 1):
-                    may = (root[i + 1 :] != root[i]) & _may_be_alike(n[i + 1 :], place[i + 1 :], n[i], place[i], similarity)
-                    other = node[i + 1 :][may]
-                    if len(other):
-                        found.append(np.stack([np.full(len(other), node[i]), other], 1))
-                        size += len(other)
-                    if size >= most:
-                        yield pairs(found)
-                        found, size = [], 0
-        if found:
-            yield pairs(found)
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, shingles array<long>")
 
-    return run
 
+def _alike(docs: DataFrame, rows: DataFrame, links: DataFrame, words: int, similarity: float, most: int = 1_000_000) -> DataFrame:
+    """The links a, b whose shingle sets have Jaccard ``similarity`` or more; ``rows`` has doc_id and node.
 
-def _alike(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links a0, b0 whose shingle sets have Jaccard ``similarity`` or more; ``nodes`` has doc_id and f0."""
-    ends = links.select(F.col("a0").alias("node")).union(links.select(F.col("b0").alias("node"))).distinct()
-    first = nodes.groupBy(F.col("f0").alias("node")).agg(F.min("doc_id").alias("doc_id")).join(ends, "node", "left_semi").select("doc_id")
-    first = cut(first.filter("doc_id IS NOT NULL"))
-    parts, part = first.count() // 1_000_000 + 1, F.xxhash64("doc_id")
-    some = docs.filter("doc_id IS NULL")
-    for k in range(parts):  # texts are read again for each million ids rather than shuffled
-        some = some.union(docs.filter(F.pmod(part, F.lit(parts)) == k).join(F.broadcast(first.filter(F.pmod(part, F.lit(parts)) == k)), "doc_id", "left_semi"))
+    One document of each linked node is read again: up to ``most`` ids are broadcast, more are joined by shuffling.
+    """
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    first = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(ends, "node", "left_semi").select("doc_id").filter("doc_id IS NOT NULL"))
+    some = docs.join(F.broadcast(first) if first.count() <= most else first, "doc_id", "left_semi").union(docs.filter("doc_id IS NULL"))
     sets = cut(_shingle_sets(some, words).join(ends, "node", "left_semi").dropDuplicates(["node"]))
-    pairs = links.join(sets.select(F.col("node").alias("a0"), F.col("shingles").alias("a")), "a0").join(sets.select(F.col("node").alias("b0"), F.col("shingles").alias("b")), "b0")
-    shared = F.size(F.array_intersect("a", "b"))
-    return pairs.filter(shared + 1e-9 >= similarity * (F.size("a") + F.size("b") - shared)).select("a0", "b0")
+    pairs = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.filter(shared + 1e-9 >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.9, width: int = 3) -> DataFrame:
     """doc_id and component_id over documents whose ``words``-word shingle sets have Jaccard ``similarity`` or more.
 
-    Documents of one set are one node. Nodes that share one of their rarest shingles meet; the nearest links of
-    each meeting are verified on the sets, then all other possible pairs between the pieces that these links
-    leave. Nulls as in ``simhash_components``.
+    Documents of one shingle set are one node (by a 64-bit digest). A pair at exactly ``similarity`` meets under one of
+    the masks with probability ``recall``, a closer one more often. Every meeting is verified on the sets: first
+    the links of its nearest forest, then all pairs between the pieces that these leave. Fewer words than
+    ``words`` are one shingle; null and empty texts are one group. Null ids, repeated rows, long texts, other
+    columns and empty tables as in ``simhash_components``.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = _prefixes(docs, words, similarity, _common_shingles(docs, words))
-    keys = rows.select(F.posexplode("keys").alias("place", "key"), F.col("f0").alias("node"), "print", "n").select("key", "node", "print", "n", F.col("place").cast("long").alias("place"))
-    met = cut(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_key_forests(similarity), "key long, node long, n long, place long, parent long"))
-    nodes = cut(rows.select("doc_id", "f0"))
-    links = cut(met.filter("parent IS NOT NULL").select(F.least("node", "parent").alias("a0"), F.greatest("node", "parent").alias("b0")).distinct())
-    alike = cut(_alike(docs, nodes, links, words, similarity))
-    roots = components(alike.select(F.col("a0").alias("a"), F.col("b0").alias("b")))
-    pieces = met.select("key", "node", "n", "place").join(roots, "node", "left").select("key", "node", "n", "place", F.coalesce("root", "node").alias("root"))
-    between = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_between_pieces(similarity), "a0 long, b0 long").distinct()
-    rest = cut(between.join(links, ["a0", "b0"], "left_anti"))
+    rows = cut(_signatures(docs, words, width))
+    nodes = cut(rows.select("node", *_words(width)).distinct())
+    masks, radius = masks_for(similarity, recall, nodes.count(), width)
+    met = meetings(nodes, masks, radius, width)
+    links = cut(forest_links(met))
+    alike = cut(_alike(docs, rows, links, words, similarity))
+    rest = cut(links_between(met, alike, radius, width).join(links, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        alike = alike.union(_alike(docs, nodes, rest, words, similarity))
-    return near_groups(nodes, alike).select("doc_id", "component_id")
+        alike = cut(alike.union(_alike(docs, rows, rest, words, similarity)))
+    return with_components(rows.select("doc_id", "node"), alike).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the smallest doc_id; columns as before."""
-    groups = near_copies(docs, **how)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti").select(*docs.columns)
+    """``docs`` with one document of each group of near copies, the smallest doc_id; columns as before, whatever their names.
+
+    Rows without id stay, and so do all rows that repeat the smallest id; see ``near_copies`` for the rest.
+    """
+    gone = unused(docs, "gone")
+    groups = near_copies(docs, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(groups, docs["doc_id"].cast("long") == F.col(gone), "left_anti").select(*docs.columns)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``simhash_components`` (three words, three bits) over ``documents``; nulls, ties and odd rows as there."""
     return simhash_components(table(spark, sf_dir, "documents"))
