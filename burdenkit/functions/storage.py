@@ -4,16 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that all executors share and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session that has none gets
-    a temporary one; elsewhere Spark's own error says that it is missing.
+    Only a local session that has none gets a temporary one; elsewhere a missing ``spark.checkpoint.dir`` is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None and sc.master.startswith("local["):
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="burdenkit-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system that Spark can write."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
