@@ -206,8 +206,11 @@ def _meet(width: int, radius: int, most: int):
     return run
 
 
-def _between(radius: int, most: int = 1 << 20):
-    """Rows key, node, root and words sorted by key in; all pairs a, b within the radius that lie in unlike roots out."""
+def _nearest_outside(radius: int, tries: int, most: int = 1 << 18):
+    """Rows key, node, root and words sorted by key in; pairs a, b within the radius that lie in unlike roots out.
+
+    Every node but those of a key's largest piece gives its ``tries`` nearest: their number is linear in the rows.
+    """
 
     def pairs(found: list[np.ndarray]):
         out = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
@@ -219,16 +222,16 @@ def _between(radius: int, most: int = 1 << 20):
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 node, root, prints = rows[a:b, 1], rows[a:b, 2], np.ascontiguousarray(rows[a:b, 3:]).view(np.uint64)
                 _, piece, count = np.unique(root, return_inverse=True, return_counts=True)
-                left = np.ones(b - a, bool)
-                for i in np.flatnonzero(piece != count.argmax()):  # the largest piece's rows need no turn of their own
-                    left[i] = False
-                    other = node[left & (piece != piece[i]) & (np.bitwise_count(prints ^ prints[i]).sum(1) <= radius)]
-                    if len(other):
-                        found.append(np.stack([np.full(len(other), node[i]), other], 1))
-                        size += len(other)
-                    if size >= most:
-                        yield pairs(found)
-                        found, size = [], 0
+                for i in np.flatnonzero(piece != count.argmax()):
+                    distance = np.where(piece != piece[i], np.bitwise_count(prints ^ prints[i]).sum(1), 1000)
+                    near = np.argsort(distance, kind="stable")[:tries]
+                    near = near[distance[near] <= radius]
+                    if len(near):
+                        found.append(np.stack([np.full(len(near), node[i]), node[near]], 1))
+                        size += len(near)
+                if size >= most:
+                    yield pairs(found)
+                    found, size = [], 0
         if found:
             yield pairs(found)
 
@@ -255,8 +258,8 @@ def forest_links(met: DataFrame) -> DataFrame:
     return met.filter("parent IS NOT NULL").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b")).distinct()
 
 
-def links_between(met: DataFrame, alike: DataFrame, radius: int, width: int, block: int = 8192) -> DataFrame:
-    """All pairs a, b that meet within the radius and that the links ``alike`` don't connect yet.
+def links_between(met: DataFrame, alike: DataFrame, radius: int, width: int, tries: int = 2, block: int = 8192) -> DataFrame:
+    """Pairs a, b that meet within the radius and that the links ``alike`` don't connect: each node's ``tries`` nearest of a variant.
 
     Variants whose rows are all connected (every large group of true copies) end here. Rows of long variants
     are dealt to pairs of blocks of about ``block`` rows, so that no task holds one whole.
@@ -267,7 +270,24 @@ def links_between(met: DataFrame, alike: DataFrame, radius: int, width: int, blo
     mine = F.pmod(F.xxhash64("node"), blocks)
     pair = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j"))))
     dealt = pieces.join(open_.select("key", "_n"), "key").withColumn("_pair", pair).select(F.xxhash64("key", "_pair.i", "_pair.j").alias("key"), "node", "root", *_words(width))
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_between(radius), "a long, b long").distinct()
+    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_nearest_outside(radius, tries), "a long, b long").distinct()
+
+
+def connected(met: DataFrame, links: DataFrame, verify, radius: int, width: int, **how) -> DataFrame:
+    """The links that ``verify`` lets pass: of ``links``, then of the nearest pairs between the pieces that these leave.
+
+    Rounds go on until one brings no new link, as in Boruvka's forests; where all pairs within the radius are links, no
+    connection is left out.
+    """
+    alike, tested = cut(verify(links)), links
+    while True:
+        more = cut(links_between(met, alike, radius, width, **how).join(tested, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            return alike
+        passed = cut(verify(more))
+        if passed.isEmpty():
+            return alike
+        alike, tested = cut(alike.union(passed)), cut(tested.union(more))
 
 
 def with_components(rows: DataFrame, alike: DataFrame) -> DataFrame:
@@ -292,7 +312,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> Data
     met = meetings(prints.select("node", "f0").distinct(), masks_leaving_out(radius), radius, 1)
     links = cut(forest_links(met))
     if not (long := met.filter("long")).isEmpty():
-        links = cut(links.union(links_between(long, links, radius, 1)))
+        links = connected(long, links, lambda x: x, radius, 1)
     out = with_components(prints, links)
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -350,8 +370,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     """doc_id and component_id over documents whose ``words``-word shingle sets have Jaccard ``similarity`` or more.
 
     Documents of one shingle set are one node (by a 64-bit digest). A pair at exactly ``similarity`` meets under one of
-    the masks with probability ``recall``, a closer one more often. Every meeting is verified on the sets: first
-    the links of its nearest forest, then all pairs between the pieces that these leave. Fewer words than
+    the masks with probability ``recall``, a closer one more often. Meetings are verified on the sets: first the
+    links of their nearest forests, then the nearest pairs between the pieces that these leave, until nothing new
+    is found. Fewer words than
     ``words`` are one shingle; null and empty texts are one group. Null ids, repeated rows, long texts, other
     columns and empty tables as in ``simhash_components``.
     """
@@ -360,11 +381,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     nodes = cut(rows.select("node", *_words(width)).distinct())
     masks, radius = masks_for(similarity, recall, nodes.count(), width)
     met = meetings(nodes, masks, radius, width)
-    links = cut(forest_links(met))
-    alike = cut(_alike(docs, rows, links, words, similarity))
-    rest = cut(links_between(met, alike, radius, width).join(links, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        alike = cut(alike.union(_alike(docs, rows, rest, words, similarity)))
+    alike = connected(met, cut(forest_links(met)), lambda links: _alike(docs, rows, links, words, similarity), radius, width)
     return with_components(rows.select("doc_id", "node"), alike).select("doc_id", "component_id")
 
 
