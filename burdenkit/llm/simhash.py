@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from .common import cut, join_skewed, table, unused
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_SALTS = np.random.default_rng(0).integers(0, 1 << 63, 64, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,7 +52,7 @@ def fingerprint(hashes: np.ndarray, width: int = 1) -> list[int]:
     """``width`` 64-bit words: a bit is 1 if it is set in over half the hashes (word 2 on: of rehashes)."""
     out = []
     for k in range(width):
-        h = hashes if not k else _mix(hashes + np.uint64(k) * _MIX)
+        h = hashes if not k else _mix(hashes ^ _SALTS[k])
         count = np.zeros(64, np.int64)
         for at in range(0, len(h), 1 << 15):
             part = h[at : at + (1 << 15)].astype("<u8")
@@ -90,23 +90,23 @@ def masks_for(similarity: float, recall: float, nodes: int, width: int = 3, seed
 
     A bit differs with probability arccos(cosine) / pi; of the number of bits that differ follows how likely at most
     two of them lie under a mask. Masks get longer with the logarithm of the number of fingerprints, so that
-    unlike ones meet by chance equally rarely in tables of all sizes. The radius is four deviations above the
-    mean distance of such a pair.
+    unlike ones meet by chance equally rarely in tables of all sizes. The radius, 2.5 deviations above the mean
+    distance of such a pair, keeps unlike ones from being verified; pairs beyond it count as missed.
     """
     size, bits = max(26, math.ceil(math.log2(max(nodes, 1))) + 9), 64 * width
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     apart = [math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(bits + 1)]
     missed = [1 - sum(math.comb(d, k) * math.comb(bits - d, size - k) for k in range(3)) / math.comb(bits, size) for d in range(bits + 1)]
-    count = 1
-    while sum(a * m**count for a, m in zip(apart, missed, strict=True)) > 1 - recall:
+    radius, count = math.floor(bits * p + 2.5 * math.sqrt(bits * p * (1 - p))), 1
+    while sum(a * (m**count if d <= radius else 1) for d, (a, m) in enumerate(zip(apart, missed, strict=True))) > 1 - recall:
         count += 1
     rng = np.random.default_rng(seed)
     masks = [np.sort(rng.choice(bits, size, replace=False)).tolist() for _ in range(count)]
-    return masks, math.floor(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
+    return masks, radius
 
 
-def _emit(masks: list[list[int]], width: int):
-    """node and fingerprint words in; key, node and words out, a row for each variant of each mask."""
+def _emit(masks: list[list[int]]):
+    """node and fingerprint words in; key and node out, a row for each variant of each mask."""
     span = max(map(len, masks))
     place = [np.int64(1) << np.arange(len(m), dtype=np.int64) for m in masks]
     flips = [np.concatenate((np.zeros(1, np.int64), p)) for p in place]
@@ -119,12 +119,29 @@ def _emit(masks: list[list[int]], width: int):
                 bits = np.unpackbits(np.ascontiguousarray(part[:, 1:]).view(np.uint8), axis=1, bitorder="little")
                 cells = [(bits[:, m] @ p)[:, None] ^ f for m, p, f in zip(masks, place, flips, strict=True)]
                 key = np.concatenate([(k << span) + c for k, c in enumerate(cells)], 1)
-                again = np.repeat(part, key.shape[1], axis=0)  # a fingerprint's rows follow each other, which compresses well
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), *(pa.array(np.ascontiguousarray(c)) for c in again.T)], names=["key", "node", *_words(width)])
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(part[:, 0], key.shape[1]))], names=["key", "node"])
 
     return run
 
 
+def _shared(batches):
+    """Rows key, node sorted by key in; those whose key another row has out."""
+    last, known = None, False  # the last row so far, and whether it has come out
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+        if not len(rows):
+            continue
+        like = np.concatenate(([False], rows[1:, 0] == rows[:-1, 0]))  # like the row before
+        keep = like.copy()
+        keep[:-1] |= like[1:]
+        if last is not None and last[0] == rows[0, 0]:
+            keep[0] = True
+            if not known:
+                rows, keep = np.concatenate([last[None], rows]), np.concatenate(([True], keep))
+        last, known = rows[-1], keep[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[keep].T], names=["key", "node"])
+
+
 def _runs(batches, most: int | None = None):
     """Rows of longs sorted by their first column -> rows, starts, ends and which runs of a key are parts of a long one.
 
@@ -158,8 +175,8 @@ def _runs(batches, most: int | None = None):
         yield split(rest, False)
 
 
-def _forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which fingerprints have another within the radius, and each one's parent in a minimum spanning forest (Prim; -1: root).
+def _forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which fingerprints have another within the radius, each one's parent in a minimum spanning forest (Prim; -1: root) and its distance.
 
     Its trees are exactly the components of all links within the radius, in one row of distances at a time.
     """
@@ -173,35 +190,35 @@ def _forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         closer = left & (distance <= radius) & (distance < best)
         best[closer], parent[closer] = distance[closer], at
         at = int(np.where(left, best, 10_000).argmin())
-    return partner, parent
+    return partner, parent, best
 
 
 def _meet(width: int, radius: int, most: int):
     """Rows key, node and words sorted by key in; those with a partner within the radius out.
 
-    ``parent`` is the node that a forest of the key's rows links them to, null at its roots; ``long`` marks the
-    rows of keys that were taken in parts, which come out all.
+    ``parent`` is the node that a forest of the key's rows links them to at distance ``apart``, null at its roots;
+    ``long`` marks the rows of keys that were taken in parts, which come out all.
     """
-    names = ["key", "node", *_words(width), "parent", "long"]
+    names = ["key", "node", *_words(width), "parent", "apart", "long"]
 
     def run(batches):
         for rows, starts, ends, long in _runs(batches, most):
             size, out = ends - starts, []
             two = np.flatnonzero((size == 2) & ~long)
             a, b = rows[starts[two]], rows[starts[two] + 1]
-            near = np.bitwise_count(a[:, 2:].view(np.uint64) ^ b[:, 2:].view(np.uint64)).sum(1) <= radius
-            out.append((a[near], np.zeros(near.sum(), np.int64), np.ones(near.sum(), bool), False))
-            out.append((b[near], a[near, 1], np.zeros(near.sum(), bool), False))
+            apart = np.bitwise_count(a[:, 2:].view(np.uint64) ^ b[:, 2:].view(np.uint64)).sum(1)
+            near = apart <= radius
+            out.append((a[near], np.zeros(near.sum(), np.int64), np.ones(near.sum(), bool), apart[near], False))
+            out.append((b[near], a[near, 1], np.zeros(near.sum(), bool), apart[near], False))
             for k in np.flatnonzero((size > 2) | long):
                 g = rows[starts[k] : ends[k]]
-                partner, parent = _forest(np.ascontiguousarray(g[:, 2:]).view(np.uint64), radius)
+                partner, parent, apart = _forest(np.ascontiguousarray(g[:, 2:]).view(np.uint64), radius)
                 if (keep := partner | long[k]).any():
-                    out.append((g[keep], np.where(parent >= 0, g[parent, 1], 0)[keep], parent[keep] < 0, bool(long[k])))
-            if n := sum(len(x[0]) for x in out):
-                g, parent, root = (np.concatenate([x[k] for x in out]) for k in range(3))
-                many = np.repeat([x[3] for x in out], [len(x[0]) for x in out])
-                assert len(g) == n
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in g.T), pa.array(parent, pa.int64(), mask=root), pa.array(many)], names=names)
+                    out.append((g[keep], np.where(parent >= 0, g[parent, 1], 0)[keep], parent[keep] < 0, apart[keep], bool(long[k])))
+            if sum(len(x[0]) for x in out):
+                g, parent, root, apart = (np.concatenate([x[k] for x in out]) for k in range(4))
+                many = np.repeat([x[4] for x in out], [len(x[0]) for x in out])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in g.T), pa.array(parent, pa.int64(), mask=root), pa.array(apart.astype(np.int32)), pa.array(many)], names=names)
 
     return run
 
@@ -245,12 +262,13 @@ def _named(width: int) -> str:
 def meetings(nodes: DataFrame, masks: list[list[int]], radius: int, width: int, most: int = 512) -> DataFrame:
     """Of ``nodes`` (node, f0, ...; distinct): the rows of all variants that meet others, see ``_meet``.
 
-    A forest takes in ``most`` rows of a variant; a longer one goes on in pieces that share a row.
+    Variants travel with the node alone; fingerprints join those that two nodes or more share. A forest takes in ``most`` rows of a variant; a longer one goes on in pieces that share a row.
     """
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // 50_000)
-    variants = nodes.repartition(parts, "node").mapInArrow(_emit(masks, width), _named(width))
-    met = variants.repartition("key").sortWithinPartitions("key", *_words(width)).mapInArrow(_meet(width, radius, most), _named(width) + ", parent long, long boolean")
-    return cut(met)
+    variants = nodes.repartition(parts, "node").mapInArrow(_emit(masks), "key long, node long")
+    shared = variants.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long").join(nodes, "node")
+    met = shared.select("key", "node", *_words(width)).repartition("key").sortWithinPartitions("key", *_words(width))
+    return cut(met.mapInArrow(_meet(width, radius, most), _named(width) + ", parent long, apart int, long boolean"))
 
 
 def forest_links(met: DataFrame) -> DataFrame:
@@ -264,22 +282,24 @@ def links_between(met: DataFrame, alike: DataFrame, radius: int, width: int, tri
     Variants whose rows are all connected (every large group of true copies) end here. Rows of long variants
     are dealt to pairs of blocks of about ``block`` rows, so that no task holds one whole.
     """
-    pieces = met.select("key", "node", *_words(width)).distinct().join(components(alike), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = pieces.groupBy("key").agg(F.count("*").alias("_n"), F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b")
+    cols = ["key", "node", "root", *_words(width)]
+    pieces = met.select("key", "node", *_words(width), "long").join(components(alike), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    long = pieces.filter("long").select(cols).distinct()
+    size = long.groupBy("key").agg(F.count("*").alias("_n"))
     blocks = F.ceil(F.col("_n") / block).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks)
     pair = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j"))))
-    dealt = pieces.join(open_.select("key", "_n"), "key").withColumn("_pair", pair).select(F.xxhash64("key", "_pair.i", "_pair.j").alias("key"), "node", "root", *_words(width))
-    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_nearest_outside(radius, tries), "a long, b long").distinct()
+    dealt = long.join(size, "key").withColumn("_pair", pair).withColumn("key", F.xxhash64("key", "_pair.i", "_pair.j")).select(cols)
+    rows = pieces.filter("NOT long").select(cols).union(dealt)
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_nearest_outside(radius, tries), "a long, b long").distinct()
 
 
-def connected(met: DataFrame, links: DataFrame, verify, radius: int, width: int, **how) -> DataFrame:
-    """The links that ``verify`` lets pass: of ``links``, then of the nearest pairs between the pieces that these leave.
+def rounds(met: DataFrame, alike: DataFrame, tested: DataFrame, verify, radius: int, width: int, **how) -> DataFrame:
+    """``alike`` and the links that ``verify`` lets pass of the nearest pairs between the pieces that it leaves.
 
     Rounds go on until one brings no new link, as in Boruvka's forests; where all pairs within the radius are links, no
     connection is left out.
     """
-    alike, tested = cut(verify(links)), links
     while True:
         more = cut(links_between(met, alike, radius, width, **how).join(tested, ["a", "b"], "left_anti"))
         if more.isEmpty():
@@ -290,6 +310,21 @@ def connected(met: DataFrame, links: DataFrame, verify, radius: int, width: int,
         alike, tested = cut(alike.union(passed)), cut(tested.union(more))
 
 
+def connected(met: DataFrame, verify, radius: int, width: int, **how) -> DataFrame:
+    """Links that ``verify`` lets pass: of each node's nearest, of the forests' others between the pieces, then of ``rounds``."""
+    near = F.min(F.struct("apart", "parent"))["parent"]
+    first = met.filter("parent IS NOT NULL").groupBy("node").agg(near.alias("parent"))
+    first = cut(first.select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b")).distinct())
+    alike = cut(verify(first))
+    roots = components(alike)
+    others = forest_links(met).join(first, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        others = others.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    others = cut(others.filter("_a <> _b").select("a", "b"))
+    alike = cut(alike.union(verify(others)))
+    return rounds(met, alike, cut(first.union(others)), verify, radius, width, **how)
+
+
 def with_components(rows: DataFrame, alike: DataFrame) -> DataFrame:
     """``rows`` (doc_id, node, ...) with component_id, the smallest doc_id reachable over links a, b of nodes."""
     each = rows.groupBy("node").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_rows"))
@@ -312,7 +347,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> Data
     met = meetings(prints.select("node", "f0").distinct(), masks_leaving_out(radius), radius, 1)
     links = cut(forest_links(met))
     if not (long := met.filter("long")).isEmpty():
-        links = connected(long, links, lambda x: x, radius, 1)
+        links = rounds(long, links, links, lambda x: x, radius, 1)
     out = with_components(prints, links)
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -381,7 +416,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     nodes = cut(rows.select("node", *_words(width)).distinct())
     masks, radius = masks_for(similarity, recall, nodes.count(), width)
     met = meetings(nodes, masks, radius, width)
-    alike = connected(met, cut(forest_links(met)), lambda links: _alike(docs, rows, links, words, similarity), radius, width)
+    alike = connected(met, lambda links: _alike(docs, rows, links, words, similarity), radius, width)
     return with_components(rows.select("doc_id", "node"), alike).select("doc_id", "component_id")
 
 
