@@ -106,7 +106,7 @@ def masks_for(similarity: float, recall: float, nodes: int, width: int = 3, seed
 
 
 def _emit(masks: list[list[int]]):
-    """node and fingerprint words in; key and node out, a row for each variant of each mask."""
+    """number and fingerprint words in; key and number out, a row for each variant of each mask."""
     span = max(map(len, masks))
     place = [np.int64(1) << np.arange(len(m), dtype=np.int64) for m in masks]
     flips = [np.concatenate((np.zeros(1, np.int64), p)) for p in place]
@@ -119,13 +119,13 @@ def _emit(masks: list[list[int]]):
                 bits = np.unpackbits(np.ascontiguousarray(part[:, 1:]).view(np.uint8), axis=1, bitorder="little")
                 cells = [(bits[:, m] @ p)[:, None] ^ f for m, p, f in zip(masks, place, flips, strict=True)]
                 key = np.concatenate([(k << span) + c for k, c in enumerate(cells)], 1)
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(part[:, 0], key.shape[1]))], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(part[:, 0], key.shape[1]))], names=["key", "number"])
 
     return run
 
 
 def _shared(batches):
-    """Rows key, node sorted by key in; those whose key another row has out."""
+    """Rows key, number sorted by key in; those whose key another row has out."""
     last, known = None, False  # the last row so far, and whether it has come out
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
@@ -139,7 +139,7 @@ def _shared(batches):
             if not known:
                 rows, keep = np.concatenate([last[None], rows]), np.concatenate(([True], keep))
         last, known = rows[-1], keep[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[keep].T], names=["key", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[keep].T], names=["key", "number"])
 
 
 def _runs(batches, most: int | None = None):
@@ -224,14 +224,14 @@ def _meet(width: int, radius: int, most: int):
 
 
 def _nearest_outside(radius: int, tries: int, most: int = 1 << 18):
-    """Rows key, node, root and words sorted by key in; pairs a, b within the radius that lie in unlike roots out.
+    """Rows key, node, root and words sorted by key in; node, other and their distance out, within the radius and in unlike roots.
 
     Every node but those of a key's largest piece gives its ``tries`` nearest: their number is linear in the rows.
     """
 
     def pairs(found: list[np.ndarray]):
-        out = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=["a", "b"])
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=["node", "other", "apart"])
 
     def run(batches):
         found, size = [], 0
@@ -244,7 +244,7 @@ def _nearest_outside(radius: int, tries: int, most: int = 1 << 18):
                     near = np.argsort(distance, kind="stable")[:tries]
                     near = near[distance[near] <= radius]
                     if len(near):
-                        found.append(np.stack([np.full(len(near), node[i]), node[near]], 1))
+                        found.append(np.stack([np.full(len(near), node[i]), node[near], distance[near].astype(np.int64)], 1))
                         size += len(near)
                 if size >= most:
                     yield pairs(found)
@@ -262,11 +262,13 @@ def _named(width: int) -> str:
 def meetings(nodes: DataFrame, masks: list[list[int]], radius: int, width: int, most: int = 512) -> DataFrame:
     """Of ``nodes`` (node, f0, ...; distinct): the rows of all variants that meet others, see ``_meet``.
 
-    Variants travel with the node alone; fingerprints join those that two nodes or more share. A forest takes in ``most`` rows of a variant; a longer one goes on in pieces that share a row.
+    Variants travel with the node's number alone; fingerprints join those that two nodes or more share. A forest takes in ``most`` rows of a variant; a longer one goes on in pieces that share a row.
     """
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // 50_000)
-    variants = nodes.repartition(parts, "node").mapInArrow(_emit(masks), "key long, node long")
-    shared = variants.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long").join(nodes, "node")
+    # numbers of nodes, written once, are short where digests don't compress
+    named = cut(nodes.repartition(parts, "node").withColumn("number", F.monotonically_increasing_id()))
+    variants = named.select("number", *_words(width)).mapInArrow(_emit(masks), "key long, number long")
+    shared = variants.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, number long").join(named, "number")
     met = shared.select("key", "node", *_words(width)).repartition("key").sortWithinPartitions("key", *_words(width))
     return cut(met.mapInArrow(_meet(width, radius, most), _named(width) + ", parent long, apart int, long boolean"))
 
@@ -276,8 +278,8 @@ def forest_links(met: DataFrame) -> DataFrame:
     return met.filter("parent IS NOT NULL").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b")).distinct()
 
 
-def links_between(met: DataFrame, alike: DataFrame, radius: int, width: int, tries: int = 2, block: int = 8192) -> DataFrame:
-    """Pairs a, b that meet within the radius and that the links ``alike`` don't connect: each node's ``tries`` nearest of a variant.
+def links_between(met: DataFrame, alike: DataFrame, tested: DataFrame, radius: int, width: int, tries: int = 4, block: int = 8192) -> DataFrame:
+    """Pairs a, b not ``tested`` that meet within the radius and that the links ``alike`` don't connect: ``tries`` a node, the nearest.
 
     Variants whose rows are all connected (every large group of true copies) end here. Rows of long variants
     are dealt to pairs of blocks of about ``block`` rows, so that no task holds one whole.
@@ -291,38 +293,46 @@ def links_between(met: DataFrame, alike: DataFrame, radius: int, width: int, tri
     pair = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j"))))
     dealt = long.join(size, "key").withColumn("_pair", pair).withColumn("key", F.xxhash64("key", "_pair.i", "_pair.j")).select(cols)
     rows = pieces.filter("NOT long").select(cols).union(dealt)
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_nearest_outside(radius, tries), "a long, b long").distinct()
+    found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_nearest_outside(radius, tries), "node long, other long, apart long")
+    a, b = F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
+    fresh = found.distinct().select("node", "other", "apart", a, b).join(tested, ["a", "b"], "left_anti")
+    best = fresh.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("apart", "other"))).alias("by"))
+    return best.select("node", F.explode(F.slice("by.other", 1, tries)).alias("other")).select(a, b).distinct()
 
 
-def rounds(met: DataFrame, alike: DataFrame, tested: DataFrame, verify, radius: int, width: int, **how) -> DataFrame:
+def rounds(met: DataFrame, alike: DataFrame, tested: DataFrame, verify, radius: int, width: int, least: float = 0.01, **how) -> DataFrame:
     """``alike`` and the links that ``verify`` lets pass of the nearest pairs between the pieces that it leaves.
 
-    Rounds go on until one brings no new link, as in Boruvka's forests; where all pairs within the radius are links, no
-    connection is left out.
+    As in Boruvka's forests, rounds go on until none has new pairs, or one in which ``least`` of the pairs or fewer pass:
+    the next ones lie farther apart. Where all pairs within the radius are links, no connection is left out.
     """
     while True:
-        more = cut(links_between(met, alike, radius, width, **how).join(tested, ["a", "b"], "left_anti"))
+        more = cut(links_between(met, alike, tested, radius, width, **how))
         if more.isEmpty():
             return alike
         passed = cut(verify(more))
-        if passed.isEmpty():
-            return alike
         alike, tested = cut(alike.union(passed)), cut(tested.union(more))
+        if passed.count() <= least * more.count():
+            return alike
 
 
-def connected(met: DataFrame, verify, radius: int, width: int, **how) -> DataFrame:
-    """Links that ``verify`` lets pass: of each node's nearest, of the forests' others between the pieces, then of ``rounds``."""
-    near = F.min(F.struct("apart", "parent"))["parent"]
-    first = met.filter("parent IS NOT NULL").groupBy("node").agg(near.alias("parent"))
-    first = cut(first.select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b")).distinct())
-    alike = cut(verify(first))
-    roots = components(alike)
-    others = forest_links(met).join(first, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        others = others.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
-    others = cut(others.filter("_a <> _b").select("a", "b"))
-    alike = cut(alike.union(verify(others)))
-    return rounds(met, alike, cut(first.union(others)), verify, radius, width, **how)
+def connected(met: DataFrame, verify, radius: int, width: int, tries: int = 4) -> DataFrame:
+    """Links that ``verify`` lets pass: of each node's nearest in all forests, of its ``tries`` nearest between pieces, then of ``rounds``."""
+    nearest = met.filter("parent IS NOT NULL").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("apart", "parent"))).alias("by"))
+    nearest = cut(nearest.select("node", F.slice("by.parent", 1, tries).alias("others")))
+    alike = tested = None
+    for k in (1, tries):
+        links = nearest.select("node", F.explode(F.slice("others", 1, k)).alias("other"))
+        links = links.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        if tested is not None:
+            roots = components(alike)
+            for side in ("a", "b"):
+                links = links.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+            links = links.filter("_a <> _b").select("a", "b").join(tested, ["a", "b"], "left_anti")
+        links = cut(links)
+        passed = verify(links)
+        alike, tested = (cut(passed), links) if tested is None else (cut(alike.union(passed)), cut(tested.union(links)))
+    return rounds(met, alike, tested, verify, radius, width)
 
 
 def with_components(rows: DataFrame, alike: DataFrame) -> DataFrame:
@@ -406,8 +416,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
 
     Documents of one shingle set are one node (by a 64-bit digest). A pair at exactly ``similarity`` meets under one of
     the masks with probability ``recall``, a closer one more often. Meetings are verified on the sets: first the
-    links of their nearest forests, then the nearest pairs between the pieces that these leave, until nothing new
-    is found. Fewer words than
+    links of their nearest forests, then the nearest pairs between the pieces that these leave, until hardly any
+    passes. Fewer words than
     ``words`` are one shingle; null and empty texts are one group. Null ids, repeated rows, long texts, other
     columns and empty tables as in ``simhash_components``.
     """
