@@ -300,7 +300,7 @@ def links_between(met: DataFrame, alike: DataFrame, tested: DataFrame, radius: i
     return best.select("node", F.explode(F.slice("by.other", 1, tries)).alias("other")).select(a, b).distinct()
 
 
-def rounds(met: DataFrame, alike: DataFrame, tested: DataFrame, verify, radius: int, width: int, least: float = 0.01, **how) -> DataFrame:
+def rounds(met: DataFrame, alike: DataFrame, tested: DataFrame, verify, radius: int, width: int, least: float = 0.02, **how) -> DataFrame:
     """``alike`` and the links that ``verify`` lets pass of the nearest pairs between the pieces that it leaves.
 
     As in Boruvka's forests, rounds go on until none has new pairs, or one in which ``least`` of the pairs or fewer pass:
@@ -317,22 +317,11 @@ def rounds(met: DataFrame, alike: DataFrame, tested: DataFrame, verify, radius:
 
 
 def connected(met: DataFrame, verify, radius: int, width: int, tries: int = 4) -> DataFrame:
-    """Links that ``verify`` lets pass: of each node's nearest in all forests, of its ``tries`` nearest between pieces, then of ``rounds``."""
+    """Links that ``verify`` lets pass: of each node's ``tries`` nearest in all forests, then of ``rounds``."""
     nearest = met.filter("parent IS NOT NULL").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("apart", "parent"))).alias("by"))
-    nearest = cut(nearest.select("node", F.slice("by.parent", 1, tries).alias("others")))
-    alike = tested = None
-    for k in (1, tries):
-        links = nearest.select("node", F.explode(F.slice("others", 1, k)).alias("other"))
-        links = links.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        if tested is not None:
-            roots = components(alike)
-            for side in ("a", "b"):
-                links = links.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
-            links = links.filter("_a <> _b").select("a", "b").join(tested, ["a", "b"], "left_anti")
-        links = cut(links)
-        passed = verify(links)
-        alike, tested = (cut(passed), links) if tested is None else (cut(alike.union(passed)), cut(tested.union(links)))
-    return rounds(met, alike, tested, verify, radius, width)
+    links = nearest.select("node", F.explode(F.slice("by.parent", 1, tries)).alias("other"))
+    links = cut(links.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    return rounds(met, cut(verify(links)), links, verify, radius, width)
 
 
 def with_components(rows: DataFrame, alike: DataFrame) -> DataFrame:
