@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,30 @@ def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder of any file system that Spark can write."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Parquet tables of a job that goes in rounds, below the shared folder.
+
+    A table replaces the one of its name, so rounds don't pile up on the disk. Unlike checkpoints, such tables
+    tell Spark their size (a small one is broadcast) and small files are read together by few tasks.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at, self.tables = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it again; the earlier table of the name goes."""
+        path = f"{self.at}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.tables[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing reads any more, and let the driver notice shuffles that nothing refers to:
+        Spark deletes their files when the references are collected."""
+        for name in names:
+            if path := self.tables.pop(name, None):
+                remove(self.spark, path)
+        self.spark._jvm.System.gc()

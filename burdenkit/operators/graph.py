@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut
+from ..functions.storage import Scratch, cut
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
@@ -55,9 +55,11 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): node, root (the smallest node reachable), nodes with links only.
 
     Alternates large-star and small-star contraction, which needs a number of rounds that grows with the
-    logarithm of the component, however long its paths are; every round is cut, so nothing is recomputed.
+    logarithm of the component, however long its paths are; every round is written, so nothing is recomputed,
+    and the one before removed.
     """
-    now, before = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()), None
+    rounds, before = Scratch(links.sparkSession), None
+    now = rounds.put("now", links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if state == before or not state["n"]:
@@ -70,7 +72,7 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         lowest = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(lowest, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").union(lowest.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        now = cut(small.distinct())
+        now = rounds.put("now", small.distinct())
     return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
