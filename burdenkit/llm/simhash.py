@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import Scratch
 from ..operators.graph import components
 from .common import cut, join_skewed, table, unused
 
@@ -306,12 +307,13 @@ def rounds(met: DataFrame, alike: DataFrame, tested: DataFrame, verify, radius:
     As in Boruvka's forests, rounds go on until none has new pairs, or one in which ``least`` of the pairs or fewer pass:
     the next ones lie farther apart. Where all pairs within the radius are links, no connection is left out.
     """
+    scratch = Scratch(met.sparkSession)
     while True:
-        more = cut(links_between(met, alike, tested, radius, width, **how))
+        more = scratch.put("more", links_between(met, alike, tested, radius, width, **how))
         if more.isEmpty():
             return alike
-        passed = cut(verify(more))
-        alike, tested = cut(alike.union(passed)), cut(tested.union(more))
+        passed = scratch.put("passed", verify(more))
+        alike, tested = scratch.put("alike", alike.union(passed)), scratch.put("tested", tested.union(more))
         if passed.count() <= least * more.count():
             return alike
 
@@ -320,8 +322,9 @@ def connected(met: DataFrame, verify, radius: int, width: int, tries: int = 4) -
     """Links that ``verify`` lets pass: of each node's ``tries`` nearest in all forests, then of ``rounds``."""
     nearest = met.filter("parent IS NOT NULL").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("apart", "parent"))).alias("by"))
     links = nearest.select("node", F.explode(F.slice("by.parent", 1, tries)).alias("other"))
-    links = cut(links.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-    return rounds(met, cut(verify(links)), links, verify, radius, width)
+    scratch = Scratch(met.sparkSession)
+    links = scratch.put("links", links.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    return rounds(met, scratch.put("alike", verify(links)), links, verify, radius, width)
 
 
 def with_components(rows: DataFrame, alike: DataFrame) -> DataFrame:
@@ -386,15 +389,15 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, shingles array<long>")
 
 
-def _alike(docs: DataFrame, rows: DataFrame, links: DataFrame, words: int, similarity: float, most: int = 1_000_000) -> DataFrame:
+def _alike(docs: DataFrame, rows: DataFrame, links: DataFrame, words: int, similarity: float, scratch: Scratch, most: int = 1_000_000) -> DataFrame:
     """The links a, b whose shingle sets have Jaccard ``similarity`` or more; ``rows`` has doc_id and node.
 
     One document of each linked node is read again: up to ``most`` ids are broadcast, more are joined by shuffling.
     """
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    first = cut(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(ends, "node", "left_semi").select("doc_id").filter("doc_id IS NOT NULL"))
+    first = scratch.put("first", rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(ends, "node", "left_semi").select("doc_id").filter("doc_id IS NOT NULL"))
     some = docs.join(F.broadcast(first) if first.count() <= most else first, "doc_id", "left_semi").union(docs.filter("doc_id IS NULL"))
-    sets = cut(_shingle_sets(some, words).join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    sets = scratch.put("sets", _shingle_sets(some, words).join(ends, "node", "left_semi").dropDuplicates(["node"]))
     pairs = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return pairs.filter(shared + 1e-9 >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -415,7 +418,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     nodes = cut(rows.select("node", *_words(width)).distinct())
     masks, radius = masks_for(similarity, recall, nodes.count(), width)
     met = meetings(nodes, masks, radius, width)
-    alike = connected(met, lambda links: _alike(docs, rows, links, words, similarity), radius, width)
+    scratch = Scratch(docs.sparkSession)
+    alike = connected(met, lambda links: _alike(docs, rows, links, words, similarity, scratch), radius, width)
+    scratch.drop("first", "sets")
     return with_components(rows.select("doc_id", "node"), alike).select("doc_id", "component_id")
 
 
