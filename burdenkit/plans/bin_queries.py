@@ -161,9 +161,9 @@ def agg_bin_freq(spark, d):
     return Cohort(spark, d).freqs().select("pheno", "kind", "bin", F.round("freq0", 6).alias("freq0"), F.round("freq1", 6).alias("freq1"))
 
 
-@query("sink_bin_freq", bsql("SELECT kind || ':' || bin AS name, round(freq0, 6) AS control_freq, round(freq1, 6) AS case_freq FROM bin_freqs WHERE pheno = 'main'"))
+@query("sink_bin_freq", bsql("SELECT pheno, kind || ':' || bin AS name, round(freq0, 6) AS control_freq, round(freq1, 6) AS case_freq FROM bin_freqs"))
 def sink_bin_freq(spark, d):
-    return Cohort(spark, d).freqs().filter("pheno = 'main'").select(F.concat_ws(":", "kind", "bin").alias("name"), F.round("freq0", 6).alias("control_freq"), F.round("freq1", 6).alias("case_freq"))
+    return Cohort(spark, d).freqs().select("pheno", F.concat_ws(":", "kind", "bin").alias("name"), F.round("freq0", 6).alias("control_freq"), F.round("freq1", 6).alias("case_freq"))
 
 
 @query("bin_expand_group", bsql("SELECT * FROM expanded"))
@@ -221,7 +221,7 @@ def agg_sample_burden(spark, d):
     return Cohort(spark, d).burdens().select("pheno", "kind", "bin", "sample_id", F.round("burden", 6).alias("burden"))
 
 
-_RANKED = "SELECT pheno, kind, bin, s.sample_id, is_case, coalesce(burden, 0) AS burden FROM (SELECT DISTINCT pheno, kind, bin FROM plain_burdens WHERE kind <> 'intergenic' AND pheno = 'main') JOIN status s USING (pheno) LEFT JOIN plain_burdens USING (pheno, kind, bin, sample_id)"
+_RANKED = "SELECT pheno, kind, bin, s.sample_id, is_case, coalesce(burden, 0) AS burden FROM (SELECT DISTINCT pheno, kind, bin FROM plain_burdens) JOIN status s USING (pheno) LEFT JOIN plain_burdens USING (pheno, kind, bin, sample_id)"
 _MID = "SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY pheno, kind, bin, burden) - 1) / 2.0 AS r FROM ranked WINDOW w AS (PARTITION BY pheno, kind, bin ORDER BY burden)"
 _TIES = "SELECT pheno, kind, bin, sum(t::DOUBLE ** 3 - t) AS ties FROM (SELECT pheno, kind, bin, burden, count(*) AS t FROM ranked GROUP BY ALL) GROUP BY ALL"
 _WZ = """SELECT pheno, kind, bin, w, CASE WHEN var > 0 THEN (w - m * (m + k + 1) / 2) / sqrt(var) END AS z FROM (
@@ -231,7 +231,7 @@ _WZ = """SELECT pheno, kind, bin, w, CASE WHEN var > 0 THEN (w - m * (m + k + 1)
 
 def _rank_sums(spark, d):
     c = Cohort(spark, d)
-    own = c.plain_burdens().filter("kind <> 'intergenic' AND pheno = 'main'")
+    own = c.plain_burdens()
     met = u.with_status(own, c.status)
     # bins whose carriers all lack a status keep their row: all samples tie at zero
     found = u.rank_sum(met, c.totals)
@@ -249,7 +249,7 @@ def win_midrank(spark, d):
     from pyspark.sql import Window
 
     c = Cohort(spark, d)
-    met = u.with_status(c.plain_burdens().filter("kind <> 'intergenic' AND pheno = 'main'"), c.status)
+    met = u.with_status(c.plain_burdens(), c.status)
     t = met.groupBy(*u.KEY, "burden").agg(F.count("*").alias("t"))
     carriers = t.groupBy(*u.KEY).agg(F.sum("t").alias("above"))
     below = F.coalesce(F.sum("t").over(Window.partitionBy(*u.KEY).orderBy("burden").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -261,7 +261,7 @@ def win_midrank(spark, d):
 @query("win_tie_groups", bsql("SELECT pheno, kind, bin, ties::BIGINT AS ties FROM ties", ranked=_RANKED, ties=_TIES))
 def win_tie_groups(spark, d):
     c = Cohort(spark, d)
-    own = c.plain_burdens().filter("kind <> 'intergenic' AND pheno = 'main'")
+    own = c.plain_burdens()
     t = u.with_status(own, c.status).groupBy(*u.KEY, "burden").agg(F.count("*").alias("t"))
     some = t.groupBy(*u.KEY).agg(F.sum("t").alias("above"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("s"))
     x = own.select(*u.KEY).distinct().join(some, u.KEY, "left").join(F.broadcast(c.totals), "pheno")
@@ -289,20 +289,20 @@ def test_linear(spark, d):
     return u.linear(_sufficient(spark, d)).select("pheno", "kind", "bin", "n", F.round("beta", 4).alias("beta"), F.round("t", 4).alias("t"))
 
 
-@query("topk_residual", bsql("SELECT pheno, kind, bin, round(abs(freq0 - freq1) / sqrt(2), 6) AS residual FROM bin_freqs WHERE freq0 >= 0 AND freq1 >= 0 AND pheno = 'main' ORDER BY abs(freq0 - freq1) / sqrt(2) DESC, kind, bin LIMIT 30"))
+@query("topk_residual", bsql("SELECT pheno, kind, bin, round(abs(freq0 - freq1) / sqrt(2), 6) AS residual FROM bin_freqs WHERE freq0 >= 0 AND freq1 >= 0 ORDER BY abs(freq0 - freq1) / sqrt(2) DESC, pheno, kind, bin LIMIT 30"))
 def topk_residual(spark, d):
-    x = Cohort(spark, d).freqs().filter("pheno = 'main'").withColumn("residual", u.residual(F.col("freq0"), F.col("freq1")))
-    return x.orderBy(F.desc("residual"), "kind", "bin").limit(30).select("pheno", "kind", "bin", F.round("residual", 6).alias("residual"))
+    x = Cohort(spark, d).freqs().withColumn("residual", u.residual(F.col("freq0"), F.col("freq1")))
+    return x.orderBy(F.desc("residual"), "pheno", "kind", "bin").limit(30).select("pheno", "kind", "bin", F.round("residual", 6).alias("residual"))
 
 
-_LOCUS_FREQ = "SELECT locus_id, CASE WHEN n0 > 0 THEN least(m0 / (2.0 * n0), 1 - m0 / (2.0 * n0)) ELSE -1 END AS f0, CASE WHEN n1 > 0 THEN least(m1 / (2.0 * n1), 1 - m1 / (2.0 * n1)) ELSE -1 END AS f1 FROM rare_loci WHERE pheno = 'main'"
+_LOCUS_FREQ = "SELECT pheno, locus_id, CASE WHEN n0 > 0 THEN least(m0 / (2.0 * n0), 1 - m0 / (2.0 * n0)) ELSE -1 END AS f0, CASE WHEN n1 > 0 THEN least(m1 / (2.0 * n1), 1 - m1 / (2.0 * n1)) ELSE -1 END AS f1 FROM rare_loci"
 
 
-@query("topk_residual_locus", sql("SELECT locus_id, round(CASE WHEN f0 < 0 OR f1 < 0 THEN -1 ELSE abs(f0 - f1) / sqrt(2) END, 6) AS residual FROM lf ORDER BY CASE WHEN f0 < 0 OR f1 < 0 THEN -1 ELSE abs(f0 - f1) / sqrt(2) END DESC, locus_id LIMIT 30", lf=_LOCUS_FREQ))
+@query("topk_residual_locus", sql("SELECT pheno, locus_id, round(CASE WHEN f0 < 0 OR f1 < 0 THEN -1 ELSE abs(f0 - f1) / sqrt(2) END, 6) AS residual FROM lf ORDER BY CASE WHEN f0 < 0 OR f1 < 0 THEN -1 ELSE abs(f0 - f1) / sqrt(2) END DESC, pheno, locus_id LIMIT 30", lf=_LOCUS_FREQ))
 def topk_residual_locus(spark, d):
-    x = ops.frequencies(Cohort(spark, d).rare.filter("pheno = 'main'"))
+    x = ops.frequencies(Cohort(spark, d).rare)
     r = u.residual(F.coalesce("maf0", F.lit(-1.0)), F.coalesce("maf1", F.lit(-1.0)))
-    return x.withColumn("residual", r).orderBy(F.desc("residual"), "locus_id").limit(30).select("locus_id", F.round("residual", 6).alias("residual"))
+    return x.withColumn("residual", r).orderBy(F.desc("residual"), "pheno", "locus_id").limit(30).select("pheno", "locus_id", F.round("residual", 6).alias("residual"))
 
 
 @query("corr_residual_pvalue", bsql("SELECT round(corr(abs(freq0 - freq1), abs(z)), 5) AS correlation, count(*) AS bins FROM wz JOIN bin_freqs USING (pheno, kind, bin) WHERE z IS NOT NULL AND freq0 >= 0 AND freq1 >= 0", ranked=_RANKED, mid=_MID, ties=_TIES, wz=_WZ))
@@ -327,12 +327,12 @@ def sink_bins(spark, d):
     return x.select("pheno", g.escaped(F.concat_ws(" ", "kind", "bin"), " ").alias("name"), "sample_id", F.round("burden", 6).alias("value"))
 
 
-@query("sink_bins_transposed", bsql("SELECT kind, bin, " + ", ".join(f"sum(burden) FILTER (nation = {k})::BIGINT AS n{k}" for k in range(25)) + " FROM plain_burdens JOIN samples USING (sample_id) WHERE pheno = 'main' GROUP BY ALL"))
+@query("sink_bins_transposed", bsql("SELECT pheno, kind, bin, " + ", ".join(f"sum(burden) FILTER (nation = {k})::BIGINT AS n{k}" for k in range(25)) + " FROM plain_burdens JOIN samples USING (sample_id) GROUP BY ALL"))
 def sink_bins_transposed(spark, d):
     """A row per bin and a column per sample; here samples are pooled by nation, which bounds the columns."""
-    x = Cohort(spark, d).plain_burdens().filter("pheno = 'main'").join(v.samples(spark, d).select("sample_id", "nation"), "sample_id")
-    wide = x.groupBy("kind", "bin").pivot("nation", list(range(25))).agg(F.sum("burden").cast("long"))
-    return wide.select("kind", "bin", *[F.col(str(k)).alias(f"n{k}") for k in range(25)])
+    x = Cohort(spark, d).plain_burdens().join(v.samples(spark, d).select("sample_id", "nation"), "sample_id")
+    wide = x.groupBy("pheno", "kind", "bin").pivot("nation", list(range(25))).agg(F.sum("burden").cast("long"))
+    return wide.select("pheno", "kind", "bin", *[F.col(str(k)).alias(f"n{k}") for k in range(25)])
 
 
 @query("sink_locus_report", bsql("""SELECT l.chr, l.pos, l.id, coalesce(genes, '') AS genes, coalesce(main_bins, '') AS main_bins FROM loci l
@@ -346,23 +346,22 @@ def sink_locus_report(spark, d):
     return x.select("chr", "pos", "id", F.coalesce("genes", F.lit("")).alias("genes"), F.coalesce("main_bins", F.lit("")).alias("main_bins"))
 
 
-@query("sink_genotype_matrix", sql("SELECT locus_id, " + ", ".join(f"coalesce(max(CASE WHEN sample_id = {k} THEN CASE WHEN dosage IS NULL THEN '?/?' ELSE CAST(dosage // 2 AS VARCHAR) || '/' || CAST(dosage % 2 AS VARCHAR) END END), '?/?') AS s{k}" for k in range(10)) + " FROM dosages GROUP BY locus_id"))
+@query("sink_genotype_matrix", sql("SELECT locus_id, sample_id, coalesce(max(CAST(dosage // 2 AS VARCHAR) || '/' || CAST(dosage % 2 AS VARCHAR)), '?/?') AS bits FROM dosages GROUP BY ALL"))
 def sink_genotype_matrix(spark, d):
-    """Genotype bits by locus for ten named samples; the long form carries all."""
-    x = ops.dosages(v.calls(spark, d))
-    bits = F.when(F.col("dosage").isNull(), "?/?").otherwise(F.concat_ws("/", F.floor(F.col("dosage") / 2).cast("string"), (F.col("dosage") % 2).cast("string")))
-    wide = x.withColumn("bits", bits).groupBy("locus_id").pivot("sample_id", list(range(10))).agg(F.max("bits"))
-    return wide.select("locus_id", *[F.coalesce(str(k), F.lit("?/?")).alias(f"s{k}") for k in range(10)])
+    """Genotype bits of all samples in long form, a row per called locus and sample; pairs without a call are ?/?."""
+    bits = F.concat(F.floor(F.col("dosage") / 2).cast("string"), F.lit("/"), (F.col("dosage") % 2).cast("string"))
+    return ops.dosages(v.calls(spark, d)).groupBy("locus_id", "sample_id").agg(F.coalesce(F.max(bits), F.lit("?/?")).alias("bits"))
 
 
-@query("sink_allele_freq", bsql("""SELECT locus_id, round(CASE WHEN n0 > 0 THEN m0 / (2.0 * n0) ELSE -1 END, 6) AS control_nmaf, round(CASE WHEN n1 > 0 THEN m1 / (2.0 * n1) ELSE -1 END, 6) AS case_nmaf,
-  locus_id IN (SELECT locus_id FROM rare_loci WHERE pheno = 'main') AS rare, coalesce(bins, 0) AS bins FROM wide LEFT JOIN (SELECT locus_id, count(*) AS bins FROM bins WHERE pheno = 'main' GROUP BY 1) USING (locus_id) WHERE pheno = 'main'"""))
+@query("sink_allele_freq", bsql("""SELECT w.pheno, w.locus_id, round(CASE WHEN n0 > 0 THEN m0 / (2.0 * n0) ELSE -1 END, 6) AS control_nmaf, round(CASE WHEN n1 > 0 THEN m1 / (2.0 * n1) ELSE -1 END, 6) AS case_nmaf,
+  r.locus_id IS NOT NULL AS rare, coalesce(bins, 0) AS bins FROM wide w LEFT JOIN (SELECT DISTINCT pheno, locus_id FROM rare_loci) r ON r.pheno = w.pheno AND r.locus_id = w.locus_id
+  LEFT JOIN (SELECT pheno, locus_id, count(*) AS bins FROM bins GROUP BY ALL) b ON b.pheno = w.pheno AND b.locus_id = w.locus_id"""))
 def sink_allele_freq(spark, d):
     c = Cohort(spark, d)
-    per = c.bins().filter("pheno = 'main'").groupBy("locus_id").agg(F.count("*").alias("bins"))
+    per = c.bins().groupBy("pheno", "locus_id").agg(F.count("*").alias("bins"))
     f = [F.round(F.when(F.col(f"n{k}") > 0, F.col(f"m{k}") / (2 * F.col(f"n{k}"))).otherwise(-1.0), 6) for k in (0, 1)]
     rare = (F.col("c0") + F.col("c1") > 0) & (F.col("n0") + F.col("n1") > 0) & ops.is_rare()
-    return c.counts.filter("pheno = 'main'").join(per, "locus_id", "left").select("locus_id", f[0].alias("control_nmaf"), f[1].alias("case_nmaf"), rare.alias("rare"), F.coalesce("bins", F.lit(0)).alias("bins"))
+    return c.counts.join(per, ["pheno", "locus_id"], "left").select("pheno", "locus_id", f[0].alias("control_nmaf"), f[1].alias("case_nmaf"), rare.alias("rare"), F.coalesce("bins", F.lit(0)).alias("bins"))
 
 
 @query("sink_summary", bsql("SELECT s.*, k1 AS cases, k0 AS controls, 1 + CAST(kind = 'group' AS BIGINT) * ((SELECT count(DISTINCT region_id) FROM group_regions g WHERE g.group_id::VARCHAR = bin) - 1) AS genes FROM sizes s JOIN totals USING (pheno) WHERE kind <> 'intergenic'"))

@@ -13,7 +13,7 @@ from .views import sql
 _L = {
     "snp": "SELECT DISTINCT 'CEU' AS pop, chr, locus_id AS rs, pos FROM loci",
     "idx": "SELECT pop, chr, rs, pos, dense_rank() OVER (PARTITION BY pop, chr ORDER BY pos) - 1 AS i FROM snp",
-    "pair": "SELECT i.pop, i.chr, i.i AS a, i.i + 1 + l_linenumber % 5 AS b, CASE WHEN l_quantity > 40 THEN -1 ELSE 1 - l_discount * 5 END AS dp, CASE WHEN l_quantity > 40 THEN -1 ELSE 1 - l_tax * 6 END AS rsq FROM lineitem JOIN idx i ON l_partkey = rs WHERE l_linenumber <= 5",
+    "pair": "SELECT i.pop, i.chr, i.i AS a, i.i + 1 + l_linenumber % 5 AS b, CASE WHEN l_quantity > 40 THEN -1 ELSE 1 - l_discount * 5 END AS dp, CASE WHEN l_quantity > 40 THEN -1 ELSE 1 - l_tax * 6 END AS rsq FROM lineitem JOIN idx i ON l_partkey = rs",
     "placed": "SELECT p.* FROM pair p JOIN idx j ON j.pop = p.pop AND j.chr = p.chr AND j.i = p.b",
     "step": "SELECT pop, chr, idx, CASE WHEN other > idx THEN 1 ELSE -1 END AS side, abs(other - idx) AS distance, max(dp) AS dprime, max(rsq) AS rsq FROM (SELECT pop, chr, a AS idx, b AS other, dp, rsq FROM placed UNION ALL SELECT pop, chr, b, a, dp, rsq FROM placed) GROUP BY ALL",
     "cutoff": "SELECT unnest(['dprime', 'dprime', 'rsq']) AS metric, unnest([0.9, 0.7, 0.8])::DOUBLE AS cutoff",
@@ -36,7 +36,7 @@ def index(spark, d):
 
 def steps(spark, d):
     i = index(spark, d)
-    x = v.read(spark, d, "lineitem").filter("l_linenumber <= 5").join(i, F.col("l_partkey") == F.col("rs"))
+    x = v.read(spark, d, "lineitem").join(i, F.col("l_partkey") == F.col("rs"))
     gone = F.col("l_quantity") > 40
     pairs = x.select("pop", "chr", F.col("pos").alias("pos1"), (F.col("idx") + 1 + F.col("l_linenumber") % 5).alias("_j"), F.when(gone, -1.0).otherwise(1 - F.col("l_discount") * 5).alias("dprime"), F.when(gone, -1.0).otherwise(1 - F.col("l_tax") * 6).alias("rsq"))
     ends = i.select("pop", "chr", F.col("idx").alias("_j"), F.col("pos").alias("pos2"))

@@ -119,9 +119,9 @@ def join_identifier_lookup(spark, d):
     return k.identified(asked, own, s.select(key.alias("id"), F.col("s_name").alias("label")))
 
 
-@query("join_entity_by_id", sql("SELECT l_partkey AS extra, s_suppkey AS id, 'gene' AS type, s_name AS label, n_name AS description FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_linenumber = 1"))
+@query("join_entity_by_id", sql("SELECT l_partkey AS extra, s_suppkey AS id, 'gene' AS type, s_name AS label, n_name AS description FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"))
 def join_entity_by_id(spark, d):
-    asked = v.read(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("extra"))
+    asked = v.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("extra"))
     genes = v.regions(spark, d).join(v.groups(spark, d).select(F.col("group_id").alias("nation"), F.col("name").alias("description")), "nation")
     return asked.join(genes.select(F.col("region_id").alias("id"), F.lit("gene").alias("type"), F.col("name").alias("label"), "description"), "id").select("extra", "id", "type", "label", "description")
 

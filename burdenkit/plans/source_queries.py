@@ -219,12 +219,12 @@ def etl_snp_role_counts(spark, d):
     return _role_parts(spark, d)[1]
 
 
-_CHR = "SELECT l_partkey AS rs, CASE WHEN l_linenumber % 6 = 0 THEN 'X' ELSE (l_partkey % 22 + 1)::VARCHAR END AS chr, CASE WHEN l_linenumber % 6 = 0 AND l_suppkey % 2 = 0 THEN 'PAR' ELSE (l_partkey % 22 + 1)::VARCHAR END AS file_chr, l_partkey * 7919 % 1000000 AS pos, l_tax > 0.02 AND l_partkey % 13 <> 0 AS valid, CASE WHEN l_quantity > 45 OR l_partkey % 7 = 0 THEN NULL WHEN l_quantity > 35 OR l_partkey % 11 = 0 THEN '36' ELSE '37' END AS build FROM lineitem WHERE l_partkey % 3 = 0"
+_CHR = "SELECT l_partkey AS rs, CASE WHEN l_linenumber % 6 = 0 THEN 'X' ELSE (l_partkey % 22 + 1)::VARCHAR END AS chr, CASE WHEN l_linenumber % 6 = 0 AND l_suppkey % 2 = 0 THEN 'PAR' ELSE (l_partkey % 22 + 1)::VARCHAR END AS file_chr, l_partkey * 7919 % 1000000 AS pos, l_tax > 0.02 AND l_partkey % 13 <> 0 AS valid, CASE WHEN l_quantity > 45 OR l_partkey % 7 = 0 THEN NULL WHEN l_quantity > 35 OR l_partkey % 11 = 0 THEN '36' ELSE '37' END AS build FROM lineitem"
 _REASON = "SELECT *, CASE WHEN build IS NULL THEN 4 WHEN build <> '37' THEN 3 WHEN NOT valid THEN 2 WHEN chr <> file_chr AND NOT (file_chr = 'PAR' AND chr IN ('X', 'Y')) THEN 1 ELSE 0 END AS reason FROM cr"
 
 
 def _snp_loci(spark, d):
-    x = v.read(spark, d, "lineitem").filter("l_partkey % 3 = 0")
+    x = v.read(spark, d, "lineitem")
     six, own = F.col("l_linenumber") % 6 == 0, _s(F.col("l_partkey") % 22 + 1)
     rows = x.select(F.col("l_partkey").alias("rs"), F.when(six, "X").otherwise(own).alias("chr"), F.when(six & (F.col("l_suppkey") % 2 == 0), "PAR").otherwise(own).alias("file_chr"), (F.col("l_partkey") * 7919 % 1_000_000).alias("pos"), ((F.col("l_tax") > 0.02) & (F.col("l_partkey") % 13 != 0)).alias("valid"), F.when((F.col("l_quantity") > 45) | (F.col("l_partkey") % 7 == 0), None).when((F.col("l_quantity") > 35) | (F.col("l_partkey") % 11 == 0), "36").otherwise("37").alias("build"))
     return etl.snp_loci(rows, "37", need_valid=True)
