@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,29 +52,57 @@ def followed(chain: DataFrame, most: int = 40) -> DataFrame:
     return now.join(stay, "new", "left_anti").select("old", "new")
 
 
+def _stars(batches, most: int = 1 << 20):
+    """Links a, b in; out the stars of the components that each task's links make, ``most`` nodes at a time."""
+    root: dict = {}
+
+    def top(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    def stars(kind):
+        rows = [(top(x), x) for x in root if top(x) != x]
+        root.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k in (0, 1)], names=["a", "b"])
+
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            root[max(a, b)] = min(a, b)
+        if len(root) > most:
+            yield stars(kind)
+    if root:
+        yield stars(kind)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): node, root (the smallest node reachable), nodes with links only.
 
-    Alternates large-star and small-star contraction, which needs a number of rounds that grows with the
-    logarithm of the component, however long its paths are; every round is written, so nothing is recomputed,
-    and the one before removed.
+    Every task first contracts its own links to stars. Then large-star and small-star contraction alternate, which
+    needs a number of rounds that grows with the logarithm of the component, however long its paths are; every round
+    is written, so nothing is recomputed, and the one before removed. Links with a null end take no part.
     """
-    rounds, before = Scratch(links.sparkSession), None
-    now = rounds.put("now", links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    rounds = Scratch(links.sparkSession)
+    own = links.filter("a <> b").select("a", "b")
+    now = rounds.put("now", own.mapInArrow(_stars, own.schema).distinct())
     while True:
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if state == before or not state["n"]:
+        # done when all are stars: no node has two roots, and no root has one
+        seen = now.select(F.col("b").alias("node"), F.lit(1).alias("below")).unionByName(now.select(F.col("a").alias("node"), F.lit(0).alias("below")))
+        if seen.groupBy("node").agg(F.sum("below").alias("roots"), F.min("below").alias("least")).filter("roots > 1 OR (roots > 0 AND least = 0)").isEmpty():
             break
-        before = state
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b")
         # now each row points from a smaller to a larger node; small-star: the larger node's smaller neighbours
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         lowest = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(lowest, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").union(lowest.select(F.col("m").alias("a"), F.col("u").alias("b")))
         now = rounds.put("now", small.distinct())
-    return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
 def _cliques(near: dict) -> Iterator[list]:
