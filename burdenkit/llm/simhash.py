@@ -279,14 +279,14 @@ def forest_links(met: DataFrame) -> DataFrame:
     return met.filter("parent IS NOT NULL").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b")).distinct()
 
 
-def links_between(met: DataFrame, alike: DataFrame, tested: DataFrame, radius: int, width: int, tries: int = 4, block: int = 8192) -> DataFrame:
-    """Pairs a, b not ``tested`` that meet within the radius and that the links ``alike`` don't connect: ``tries`` a node, the nearest.
+def links_between(met: DataFrame, roots: DataFrame, tested: DataFrame, radius: int, width: int, tries: int = 4, block: int = 8192) -> DataFrame:
+    """Pairs a, b not ``tested`` that meet within the radius and whose pieces (``roots``: node, root) differ: ``tries`` a node, the nearest.
 
     Variants whose rows are all connected (every large group of true copies) end here. Rows of long variants
     are dealt to pairs of blocks of about ``block`` rows, so that no task holds one whole.
     """
     cols = ["key", "node", "root", *_words(width)]
-    pieces = met.select("key", "node", *_words(width), "long").join(components(alike), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pieces = met.select("key", "node", *_words(width), "long").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     long = pieces.filter("long").select(cols).distinct()
     size = long.groupBy("key").agg(F.count("*").alias("_n"))
     blocks = F.ceil(F.col("_n") / block).cast("int")
@@ -296,41 +296,51 @@ def links_between(met: DataFrame, alike: DataFrame, tested: DataFrame, radius: i
     rows = pieces.filter("NOT long").select(cols).union(dealt)
     found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_nearest_outside(radius, tries), "node long, other long, apart long")
     a, b = F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
-    fresh = found.distinct().select("node", "other", "apart", a, b).join(tested, ["a", "b"], "left_anti")
-    best = fresh.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("apart", "other"))).alias("by"))
+    fresh = found.select("node", "other", "apart", a, b).join(tested, ["a", "b"], "left_anti")
+    best = fresh.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("apart", "other"))).alias("by"))
     return best.select("node", F.explode(F.slice("by.other", 1, tries)).alias("other")).select(a, b).distinct()
 
 
-def rounds(met: DataFrame, alike: DataFrame, tested: DataFrame, verify, radius: int, width: int, least: float = 0.02, **how) -> DataFrame:
-    """``alike`` and the links that ``verify`` lets pass of the nearest pairs between the pieces that it leaves.
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further links a, b of nodes: only the pieces that these touch are worked on."""
+    new = links
+    for end in ("a", "b"):
+        new = new.join(roots.select(F.col("node").alias(end), F.col("root").alias("_root")), end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    moved = components(new).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    old = roots.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return old.unionByName(moved.select(F.col("root").alias("node"), F.col("_to").alias("root")).join(roots, "node", "left_anti"))
+
+
+def rounds(met: DataFrame, roots: DataFrame, tested: DataFrame, verify, radius: int, width: int, least: float = 0.02, **how) -> DataFrame:
+    """``roots`` after the links that ``verify`` lets pass of the nearest pairs between the pieces that they leave.
 
     As in Boruvka's forests, rounds go on until none has new pairs, or one in which ``least`` of the pairs or fewer pass:
     the next ones lie farther apart. Where all pairs within the radius are links, no connection is left out.
     """
     scratch = Scratch(met.sparkSession)
     while True:
-        more = scratch.put("more", links_between(met, alike, tested, radius, width, **how))
+        more = scratch.put("more", links_between(met, roots, tested, radius, width, **how))
         if more.isEmpty():
-            return alike
+            return roots
         passed = scratch.put("passed", verify(more))
-        alike, tested = scratch.put("alike", alike.union(passed)), scratch.put("tested", tested.union(more))
+        roots, tested = scratch.put("roots", joined(roots, passed)), scratch.put("tested", tested.union(more))
         if passed.count() <= least * more.count():
-            return alike
+            return roots
 
 
 def connected(met: DataFrame, verify, radius: int, width: int, tries: int = 4) -> DataFrame:
-    """Links that ``verify`` lets pass: of each node's ``tries`` nearest in all forests, then of ``rounds``."""
+    """node, root by the links that ``verify`` lets pass: of each node's ``tries`` nearest in all forests, then of ``rounds``."""
     nearest = met.filter("parent IS NOT NULL").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("apart", "parent"))).alias("by"))
     links = nearest.select("node", F.explode(F.slice("by.parent", 1, tries)).alias("other"))
     scratch = Scratch(met.sparkSession)
     links = scratch.put("links", links.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-    return rounds(met, scratch.put("alike", verify(links)), links, verify, radius, width)
+    return rounds(met, scratch.put("roots", components(verify(links))), links, verify, radius, width)
 
 
-def with_components(rows: DataFrame, alike: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, node, ...) with component_id, the smallest doc_id reachable over links a, b of nodes."""
+def with_components(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, node, ...) with component_id, the smallest doc_id of all rows whose nodes have one root (none: their own)."""
     each = rows.groupBy("node").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_rows"))
-    named = cut(each.join(components(alike), "node", "left").withColumn("_root", F.coalesce("root", "node")).drop("root"))
+    named = cut(each.join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node")).drop("root"))
     top = cut(named.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count("*").alias("_nodes")))
     groups = cut(join_skewed(named, top, ["_root"], "_nodes", "node").select("node", "_rows", "component_id"))
     return join_skewed(rows, groups, ["node"], "_rows", "doc_id").drop("_rows")
@@ -348,9 +358,10 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> Data
     prints = cut(fingerprints(docs, words).withColumn("node", F.col("f0")))
     met = meetings(prints.select("node", "f0").distinct(), masks_leaving_out(radius), radius, 1)
     links = cut(forest_links(met))
+    roots = components(links)
     if not (long := met.filter("long")).isEmpty():
-        links = rounds(long, links, links, lambda x: x, radius, 1)
-    out = with_components(prints, links)
+        roots = rounds(long, cut(roots), links, lambda x: x, radius, 1)
+    out = with_components(prints, roots)
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -389,13 +400,13 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, shingles array<long>")
 
 
-def _alike(docs: DataFrame, rows: DataFrame, links: DataFrame, words: int, similarity: float, scratch: Scratch, most: int = 1_000_000) -> DataFrame:
-    """The links a, b whose shingle sets have Jaccard ``similarity`` or more; ``rows`` has doc_id and node.
+def _alike(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int, similarity: float, scratch: Scratch, most: int = 1_000_000) -> DataFrame:
+    """The links a, b whose shingle sets have Jaccard ``similarity`` or more; ``nodes`` has node and its smallest doc_id.
 
     One document of each linked node is read again: up to ``most`` ids are broadcast, more are joined by shuffling.
     """
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    first = scratch.put("first", rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(ends, "node", "left_semi").select("doc_id").filter("doc_id IS NOT NULL"))
+    first = scratch.put("first", nodes.filter("doc_id IS NOT NULL").join(ends, "node", "left_semi").select("doc_id"))
     some = docs.join(F.broadcast(first) if first.count() <= most else first, "doc_id", "left_semi").union(docs.filter("doc_id IS NULL"))
     sets = scratch.put("sets", _shingle_sets(some, words).join(ends, "node", "left_semi").dropDuplicates(["node"]))
     pairs = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -415,13 +426,13 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(_signatures(docs, words, width))
-    nodes = cut(rows.select("node", *_words(width)).distinct())
+    nodes = cut(rows.groupBy("node", *_words(width)).agg(F.min("doc_id").alias("doc_id")))
     masks, radius = masks_for(similarity, recall, nodes.count(), width)
-    met = meetings(nodes, masks, radius, width)
+    met = meetings(nodes.drop("doc_id"), masks, radius, width)
     scratch = Scratch(docs.sparkSession)
-    alike = connected(met, lambda links: _alike(docs, rows, links, words, similarity, scratch), radius, width)
+    roots = connected(met, lambda links: _alike(docs, nodes, links, words, similarity, scratch), radius, width)
     scratch.drop("first", "sets")
-    return with_components(rows.select("doc_id", "node"), alike).select("doc_id", "component_id")
+    return with_components(rows.select("doc_id", "node"), roots).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
