@@ -296,8 +296,10 @@ def links_between(met: DataFrame, roots: DataFrame, tested: DataFrame, radius: i
     rows = pieces.filter("NOT long").select(cols).union(dealt)
     found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_nearest_outside(radius, tries), "node long, other long, apart long")
     a, b = F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
-    fresh = found.select("node", "other", "apart", a, b).join(tested, ["a", "b"], "left_anti")
-    best = fresh.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("apart", "other"))).alias("by"))
+    # a pair meets under many variants: it becomes one row, with the ends that propose it, before it is compared with those tested
+    pairs = found.groupBy(a, b).agg(F.min("apart").alias("apart"), F.collect_set("node").alias("by"))
+    fresh = pairs.join(tested, ["a", "b"], "left_anti").select("apart", "a", "b", F.explode("by").alias("node"))
+    best = fresh.withColumn("other", F.when(F.col("node") == F.col("a"), F.col("b")).otherwise(F.col("a"))).groupBy("node").agg(F.sort_array(F.collect_set(F.struct("apart", "other"))).alias("by"))
     return best.select("node", F.explode(F.slice("by.other", 1, tries)).alias("other")).select(a, b).distinct()
 
 
