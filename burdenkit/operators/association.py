@@ -1,189 +1,187 @@
-"""Association tests with covariates: linear, logistic and the two kernel tests, per phenotype and bin.
+"""Association tests of bins: linear, logistic, rank-sum and the two kernel tests, for all phenotypes and bins at once.
 
-One contract: ``run_test`` returns pheno, kind, bin, test, n, p_value, p_value_coded, status. The null model
-(trait on covariates) is fitted once per phenotype on the driver and broadcast: a row per sample, so its size
-is bounded by the cohort and checked. Bins are groups of carriers; zeros are filled in inside the task.
+One registry, one result: pheno, kind, bin, test, n, p_value, margin (how far p may be off), p_coded, status. Burden tests
+need sums over carriers only; all other samples enter through the null models and their totals. The logistic
+test goes in Newton rounds, each one sum per bin. The kernel tests are in ``kernel``.
 """
 
 from __future__ import annotations
 
-import math
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tails import t_two_sided, weighted_chi2_tail
+from ..functions.storage import Scratch, cut
+from ..functions.tails import NORMAL_MARGIN, T_MARGIN, normal_tail, t_tail
+from . import burden as u
+from .kernel import kernel_test
+from .null_models import LEAST_WEIGHT, ROUNDS, STEP, Null, dot, form, linear_null, logistic, logistic_null, solved
 
-MOST_VALUES = 50_000_000
-OUT = "pheno string, kind string, bin string, test string, n long, p_value double, p_value_coded double, status string"
+KEY = u.KEY
+OUT = [*KEY, "test", "n", "p_value", "margin", "p_coded", "status"]
 
 
 @dataclass
-class Null:
-    """Samples in order, outcome, covariates with intercept (collinear columns dropped), and the fitted null."""
-
-    ids: np.ndarray
-    y: np.ndarray
-    x: np.ndarray
-    mu: np.ndarray
-    usable: bool
-
-
-def independent(x: np.ndarray) -> np.ndarray:
-    """Columns of x that aren't linear combinations of earlier ones."""
-    kept: list[int] = []
-    basis = np.empty((len(x), 0))
-    for k in range(x.shape[1]):
-        rest = x[:, k] - basis @ (basis.T @ x[:, k])
-        rest -= basis @ (basis.T @ rest)
-        if (size := np.linalg.norm(rest)) > 1e-8 * max(1.0, np.linalg.norm(x[:, k])):
-            kept.append(k)
-            basis = np.column_stack([basis, rest / size])
-    return x[:, kept]
-
-
-def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Coefficients, their covariance, and whether Newton's method converged in ``rounds``."""
-    beta = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        mu = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
-        w = np.maximum(mu * (1 - mu), 1e-12)
-        cov = np.linalg.pinv((x * w[:, None]).T @ x)
-        step = cov @ (x.T @ (y - mu))
-        beta = beta + step
-        if np.abs(step).max() < np.finfo(np.float32).eps:
-            return beta, cov, bool(np.isfinite(beta).all() and np.abs(beta).max() < 30)
-    return beta, cov, False
-
-
-def fit_nulls(outcomes: DataFrame, covariates: DataFrame, logistic: bool) -> dict[str, Null]:
-    """Null models by phenotype. ``outcomes``: pheno, sample_id, y. ``covariates``: sample_id, covariate, value.
-
-    Samples with a missing outcome or covariate are left out. More than MOST_VALUES numbers are an error.
-    """
-    names = sorted(r[0] for r in covariates.select("covariate").distinct().collect())
-    wide = covariates.groupBy("sample_id").pivot("covariate", names).agg(F.first("value")).dropna()
-    rows = outcomes.filter("y IS NOT NULL").join(wide, "sample_id")
-    if (n := rows.count()) * (len(names) + 2) > MOST_VALUES:
-        raise ValueError(f"{n} samples and phenotypes are too many to broadcast")
-    nulls = {}
-    for pheno, part in rows.toPandas().groupby("pheno"):
-        part = part.sort_values("sample_id")
-        y = part["y"].to_numpy(float)
-        x = independent(np.column_stack([np.ones(len(part)), part[names].to_numpy(float)]))
-        usable = len(y) > x.shape[1] and (not logistic or 0 < y.sum() < len(y))
-        if not usable:
-            mu = np.full(len(y), y.mean() if len(y) else 0.0)
-        elif logistic:
-            beta, _, usable = logistic_fit(x, y)
-            mu = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
-        else:
-            mu = x @ np.linalg.lstsq(x, y, rcond=None)[0]
-        nulls[str(pheno)] = Null(part["sample_id"].to_numpy(), y, x, mu, bool(usable))
-    return nulls
-
-
-def linear_p(null: Null, burden: np.ndarray, reference_df: bool = False) -> float:
-    q, _ = np.linalg.qr(null.x)
-    x = burden - q @ (q.T @ burden)
-    y = null.y - q @ (q.T @ null.y)
-    if (xx := x @ x) < 1e-12:
-        return 1.0
-    beta = x @ y / xx
-    df = len(y) - null.x.shape[1] - 1
-    rss = ((y - beta * x) ** 2).sum()
-    return t_two_sided(beta / math.sqrt(rss / df / xx), df + reference_df) if df > 0 and rss > 0 else 1.0
-
-
-def logistic_p(null: Null, burden: np.ndarray, reference_df: bool = False) -> float:
-    if np.ptp(burden) < 1e-12:
-        return 1.0
-    x = np.column_stack([null.x, burden])
-    beta, cov, _ = logistic_fit(x, null.y)
-    return t_two_sided(beta[-1] / math.sqrt(max(cov[-1, -1], 1e-300)), len(null.y) - x.shape[1] + reference_df)
-
-
-def kernel_p(null: Null, genotypes: np.ndarray, logistic: bool) -> tuple[float, float, str]:
-    """p, coded p and status of the kernel test; ``genotypes``: samples x loci, weighted."""
-    if not genotypes.shape[1]:
-        return 1.0, 1.0, "no loci"
-    r = null.y - null.mu
-    v = null.mu * (1 - null.mu) if logistic else np.ones(len(r))
-    score = genotypes.T @ r
-    stat = 0.5 * score @ score / (1.0 if logistic else r @ r / (len(r) - null.x.shape[1]))
-    gv = genotypes * v[:, None]
-    middle = gv.T @ genotypes - gv.T @ null.x @ np.linalg.pinv((null.x * v[:, None]).T @ null.x) @ (null.x.T @ gv)
-    values = np.linalg.eigvalsh(middle / 2)
-    values = values[values > 1.2e-7]
-    if not len(values):
-        return 1.0, -1.0, "no eigenvalues"
-    p, fault = weighted_chi2_tail(stat, values)
-    return (p, p, "ok") if not fault else (p, 1.0 + fault, "fault")
-
-
-def prepared_loci(calls: pd.DataFrame, ids: np.ndarray, most_missing: float = 0.15) -> np.ndarray:
-    """Dense weighted genotypes of (sample_id, locus_id, dosage, weight): null dosages become the mean.
-
-    Loci with over ``most_missing`` missing or fewer than two genotypes are dropped; samples without a row are 0.
+class Study:
+    """What the tests read. Null models are fitted once, when the first test asks for them.
+
+    ``bins``: pheno, kind, bin, locus_id. ``burdens``: pheno, kind, bin, sample_id, burden above 0. ``doses``: locus_id,
+    sample_id, dosage (null: missing; absent: 0). ``weights``: pheno, locus_id, weight. ``status``: pheno, sample_id, is_case.
+    ``outcomes``: pheno, sample_id, y. ``covariates``: sample_id, covariate, value (null: missing), or None.
     """
-    at = np.searchsorted(ids, calls["sample_id"].to_numpy())
-    at = np.minimum(at, len(ids) - 1)
-    calls = calls.assign(at=at)[ids[at] == calls["sample_id"].to_numpy()]
-    cols = []
-    for _, own in calls.groupby("locus_id", sort=True):
-        g = np.zeros(len(ids))
-        g[own["at"].to_numpy()] = own["dosage"].to_numpy(float)
-        missing = np.isnan(g)
-        if missing.mean() > most_missing or len(np.unique(g[~missing])) < 2:
-            continue
-        g[missing] = g[~missing].mean()
-        cols.append(g * own["weight"].iloc[0])
-    return np.column_stack(cols) if cols else np.empty((len(ids), 0))
-
-
-def run_test(rows: DataFrame, nulls: dict[str, Null], test: str, reference_df: bool = False) -> DataFrame:
-    """Run linear, logistic (rows: burdens) or skat_linear, skat_logistic (rows: genotypes) over all bins.
-
-    Burden rows: pheno, kind, bin, sample_id, burden. Genotype rows: pheno, kind, bin, sample_id, locus_id,
-    dosage (null: missing), weight. Phenotypes without a usable null model give p 1.
+
+    bins: DataFrame
+    burdens: DataFrame
+    doses: DataFrame
+    weights: DataFrame
+    status: DataFrame
+    outcomes: DataFrame
+    covariates: DataFrame | None = None
+    reference_df: bool = False
+
+    @cached_property
+    def linear(self) -> Null:
+        return linear_null(self.outcomes, self.covariates)
+
+    @cached_property
+    def logistic(self) -> Null:
+        return logistic_null(self.status.select("pheno", "sample_id", F.col("is_case").cast("double").alias("y")), self.covariates)
+
+    @cached_property
+    def names(self) -> DataFrame:
+        """pheno, kind, bin of all bins."""
+        return cut(self.bins.select(*KEY).distinct())
+
+
+def burden_sums(burdens: DataFrame, null: Null) -> DataFrame:
+    """pheno, kind, bin and sums over the null model's samples: bb of burden squared, br with the residual, b0, b1, ... with the covariates, all weighted by v."""
+    b, v = F.col("burden"), F.col("v")
+    met = burdens.join(null.design, ["pheno", "sample_id"])
+    return met.groupBy(*KEY).agg(F.sum(b * b * v).alias("bb"), F.sum(b * F.col("r")).alias("br"), *[F.sum(b * v * F.col(c)).alias(f"b{k}") for k, c in enumerate(null.x)])
+
+
+def linear_effects(burdens: DataFrame, names: DataFrame, null: Null, reference_df: bool = False) -> DataFrame:
+    """pheno, kind, bin, n, beta, se, t, df of y on covariates and burden; beta is null where the burden depends on the covariates."""
+    x = names.join(null.models, "pheno").join(burden_sums(burdens, null), KEY, "left")
+    left = F.col("bb") - form(F.col("inverse"), [F.col(f"b{k}") for k in range(len(null.x))])
+    x = x.withColumn("_xx", F.when(F.col("usable") & (left > 1e-9 * F.col("bb")), left)).withColumn("df", F.col("n") - F.col("rank") - 1 + int(reference_df))
+    x = x.withColumn("beta", F.col("br") / F.col("_xx"))
+    se = F.sqrt((F.col("rss") - F.col("beta") * F.col("br")) / (F.col("n") - F.col("rank") - 1) / F.col("_xx"))
+    x = x.withColumn("se", F.when(F.col("n") > F.col("rank") + 1, se))
+    return x.select(*KEY, "n", "beta", "se", F.when(F.col("se") > 0, F.col("beta") / F.col("se")).alias("t"), "df", "usable")
+
+
+def logistic_effects(burdens: DataFrame, names: DataFrame, null: Null, reference_df: bool = False, few: int = 200_000, salts: int = 32) -> DataFrame:
+    """pheno, kind, bin, n, beta, se, t, df, way of case status on covariates and burden.
+
+    ``way``: constant (the burden depends on the covariates, or nobody carries), separated (all carriers are cases, or
+    all are controls: the effect is infinite), none (no null model), converged, or stopped after ROUNDS rounds.
+
+    Every Newton round is one sum per bin. Samples at burden zero differ in their covariates only, so they are counted
+    by distinct covariates once (cells); a bin sums over all cells as if nobody carried, and over its carriers the
+    difference that the burden makes. Cells are broadcast when there are at most ``few``; else they are dealt to
+    ``salts`` copies, each of which meets a share of the bins.
     """
-    if test not in ("linear", "logistic", "skat_linear", "skat_logistic"):
-        raise ValueError(f"no test {test}")
-    shared = rows.sparkSession.sparkContext.broadcast(nulls)
-
-    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        null = shared.value.get(key[0])
-        p, coded, status = 1.0, 1.0, "no null model"
-        if null is not None and null.usable:
-            if test.startswith("skat"):
-                p, coded, status = kernel_p(null, prepared_loci(pdf, null.ids), test == "skat_logistic")
-            else:
-                burden = np.zeros(len(null.ids))
-                at = np.minimum(np.searchsorted(null.ids, pdf["sample_id"].to_numpy()), len(null.ids) - 1)
-                own = null.ids[at] == pdf["sample_id"].to_numpy()
-                burden[at[own]] = pdf["burden"].to_numpy(float)[own]
-                p = (linear_p if test == "linear" else logistic_p)(null, burden, reference_df)
-                coded, status = p, "ok"
-        return pd.DataFrame([(*key, test, 0 if null is None else len(null.ids), float(p), float(coded), status)], columns=["pheno", "kind", "bin", "test", "n", "p_value", "p_value_coded", "status"])
-
-    return rows.groupBy("pheno", "kind", "bin").applyInPandas(of, OUT)
-
-
-def run_tests(burdens: DataFrame, linear_nulls: dict[str, Null], logistic_nulls: dict[str, Null], names: list[str]) -> DataFrame:
-    """Several burden tests at once; repeats are ignored, unknown names are warned of and skipped."""
-    import warnings
-
-    ways = {"linear": linear_nulls, "logistic": logistic_nulls}
-    found = None
+    k = len(null.x)
+    x = [F.col(c) for c in null.x]
+    usable = null.models.filter("usable").select("pheno", "n", "rank", F.col("beta").alias("null_beta"))
+    scratch = Scratch(names.sparkSession)
+    cells = scratch.put("cells", null.design.groupBy("pheno", *null.x).agg(F.count("*").alias("cell_n"), F.sum("y").alias("cell_y")))
+    small = cells.count() <= few
+    carriers = scratch.put("carriers", burdens.filter("burden <> 0").join(null.design.select("pheno", "sample_id", "y", *null.x), ["pheno", "sample_id"]))
+    met = carriers.groupBy(*KEY).agg(F.min("y").alias("_low"), F.max("y").alias("_high"), F.count("*").alias("_carriers"))
+    start = names.join(usable, "pheno", "left").join(met, KEY, "left")
+    way = F.when(F.col("n").isNull(), "none").when(F.col("_carriers").isNull(), "constant").when(F.col("_low") == F.col("_high"), "separated").otherwise("open")
+    zero = F.lit(None).cast("double")
+    state = scratch.put("state", start.select(*KEY, "n", "rank", F.concat("null_beta", F.array(F.lit(0.0))).alias("beta"), zero.alias("variance"), way.alias("way")))
+    eta = dot(F.col("beta"), x)
+    mu0, mu = logistic(eta), logistic(eta + F.col("beta")[k] * F.col("burden"))
+    v0, v = (F.greatest(m * (1 - m), F.lit(LEAST_WEIGHT)) for m in (mu0, mu))
+    upper = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    total = [f"s{m}" for m in range(len(upper) + k + 1)]
+    for _ in range(ROUNDS):
+        active = state.filter("way = 'open'").select(*KEY, "beta")
+        if active.isEmpty():
+            break
+        if small:
+            pairs = active.join(F.broadcast(cells), "pheno")
+        else:
+            dealt = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            pairs = active.withColumn("_salt", F.pmod(F.xxhash64(*KEY), F.lit(salts)).cast("int")).join(dealt, ["pheno", "_salt"])
+        n, y = F.col("cell_n"), F.col("cell_y")
+        of = [n * v0 * x[i] * x[j] if j < k else F.lit(0.0) for i, j in upper] + [x[i] * (y - n * mu0) for i in range(k)] + [F.lit(0.0)]
+        all_zero = pairs.groupBy(*KEY).agg(*[F.sum(e).alias(t) for e, t in zip(of, total, strict=True)])
+        b = F.col("burden")
+        of = [x[i] * x[j] * (v - v0) if j < k else x[i] * b * v if i < k else b * b * v for i, j in upper] + [x[i] * (mu0 - mu) for i in range(k)] + [b * (F.col("y") - mu)]
+        own = carriers.join(active, KEY).groupBy(*KEY).agg(*[F.sum(e).alias(t) for e, t in zip(of, total, strict=True)])
+        sums = all_zero.unionByName(own).groupBy(*KEY).agg(*[F.sum(t).alias(t) for t in total])
+        sums = sums.select(*KEY, F.array(*total[: len(upper)]).alias("xx"), F.array(*total[len(upper) :]).alias("xr"))
+        moved = solved(sums, k + 1).select(*KEY, F.zip_with("xr", "step", lambda _, s: s).alias("_step"), F.col("inverse")[(k + 1) ** 2 - 1].alias("_variance"))
+        now = state.join(moved, KEY, "left")
+        size = F.array_max(F.transform("_step", F.abs))
+        after = F.when(F.col("_step").isNull(), F.col("way")).when(F.col("_variance") <= 0, "constant").when(size < STEP, "converged").otherwise("open")
+        state = scratch.put("state", now.select(*KEY, "n", "rank", F.when(F.col("_step").isNotNull(), F.zip_with("beta", "_step", lambda a, s: a + s)).otherwise(F.col("beta")).alias("beta"), F.coalesce("_variance", "variance").alias("variance"), after.alias("way")))
+    found = state.withColumn("_b", F.when(F.col("way").isin("converged", "open") & (F.col("variance") > 0), F.col("beta")[k])).withColumn("se", F.when(F.col("_b").isNotNull(), F.sqrt("variance")))
+    last = F.when(F.col("way") == "open", "stopped").otherwise(F.col("way"))
+    return cut(found.select(*KEY, "n", F.col("_b").alias("beta"), "se", (F.col("_b") / F.col("se")).alias("t"), (F.col("n") - F.col("rank") - 1 + int(reference_df)).alias("df"), last.alias("way")))
+
+
+def rank_sums(burdens: DataFrame, names: DataFrame, status: DataFrame, reference_ties: bool = False) -> DataFrame:
+    """pheno, kind, bin, n, w, z of all bins; where all samples tie at zero w is its mean and z null."""
+    totals = status.groupBy("pheno").agg(F.count_if(~F.col("is_case")).alias("n0"), F.count_if("is_case").alias("n1"))
+    found = u.rank_sum(u.with_status(burdens, status), totals, reference_ties)
+    n0, n = F.col("n0"), F.col("n0") + F.col("n1")
+    return names.join(F.broadcast(totals), "pheno").join(found, KEY, "left").select(*KEY, n.alias("n"), F.coalesce("w", n0 * (n + 1) / 2).alias("w"), "z")
+
+
+def _result(x: DataFrame, test: str, p, margin, status, coded=None) -> DataFrame:
+    return x.select(*KEY, F.lit(test).alias("test"), F.col("n").cast("long").alias("n"), p.alias("p_value"), margin.alias("margin"), (p if coded is None else coded).alias("p_coded"), status.alias("status"))
+
+
+def _linear(s: Study) -> DataFrame:
+    x = linear_effects(s.burdens, s.names, s.linear, s.reference_df)
+    known = F.col("t").isNotNull()
+    return _result(x, "linear", F.when(known, t_tail(F.col("t"), F.col("df"))).otherwise(1.0), F.when(known, T_MARGIN).otherwise(0.0), F.when(~F.col("usable"), "no null model").when(known, "ok").otherwise("constant burden"))
+
+
+def _logistic(s: Study) -> DataFrame:
+    x = logistic_effects(s.burdens, s.names, s.logistic, s.reference_df)
+    known, way = F.col("t").isNotNull(), F.col("way")
+    status = F.when(way == "none", "no null model").when(way == "constant", "constant burden").when(way == "converged", "ok").otherwise(way)
+    return _result(x, "logistic", F.when(known, t_tail(F.col("t"), F.col("df"))).otherwise(1.0), F.when(known, T_MARGIN).otherwise(0.0), status)
+
+
+def _wilcoxon(s: Study) -> DataFrame:
+    x = rank_sums(s.burdens, s.names, s.status)
+    known = F.col("z").isNotNull()
+    return _result(x, "wilcoxon", F.when(known, normal_tail(F.col("z"))).otherwise(1.0), F.when(known, NORMAL_MARGIN).otherwise(0.0), F.when(known, "ok").otherwise("all tied"))
+
+
+def _kernel(test: str, binary: bool) -> Callable[[Study], DataFrame]:
+    def run(s: Study) -> DataFrame:
+        x = kernel_test(s.bins, s.doses, s.weights, s.names, s.logistic if binary else s.linear, binary)
+        return _result(x, test, F.col("p_value"), F.col("accuracy"), F.col("status"), F.col("p_coded"))
+
+    return run
+
+
+#: All tests by name.
+TESTS: dict[str, Callable[[Study], DataFrame]] = {"linear": _linear, "logistic": _logistic, "wilcoxon": _wilcoxon, "skat-linear": _kernel("skat-linear", False), "skat-logistic": _kernel("skat-logistic", True)}
+
+
+def run_tests(study: Study, names: list[str]) -> DataFrame:
+    """The tests of these names over all bins of the study; repeats are ignored, unknown names are warned of and skipped."""
+    known = []
     for name in dict.fromkeys(names):
-        if name not in ways:
+        if name in TESTS:
+            known.append(TESTS[name](study))
+        else:
             warnings.warn(f"no test {name}", stacklevel=2)
-            continue
-        one = run_test(burdens, ways[name], name)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return burdens.sparkSession.createDataFrame([], OUT)
-    return found
+    if not known:
+        schema = "pheno string, kind string, bin string, test string, n long, p_value double, margin double, p_coded double, status string"
+        return study.burdens.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, known)

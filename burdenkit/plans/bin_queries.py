@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import genotype as g
+from ..functions.tails import normal_tail, t_tail
 from ..operators import bins as b
 from ..operators import burden as u
 from ..operators import genotypes as ops
@@ -239,9 +240,9 @@ def _rank_sums(spark, d):
     return found.union(none.select(*u.KEY, (F.col("n0") * (F.col("n0") + F.col("n1") + 1) / 2).alias("w"), F.lit(None).cast("double").alias("z")))
 
 
-@query("test_wilcoxon", bsql("SELECT pheno, kind, bin, round(w, 6) AS w, round(z, 6) AS z FROM wz", ranked=_RANKED, mid=_MID, ties=_TIES, wz=_WZ))
+@query("test_wilcoxon", bsql("SELECT pheno, kind, bin, round(w, 6) AS w, round(z, 6) AS z, round(coalesce(" + v.normal_tail_sql("wz.z") + ", 1), 6) AS p_value FROM wz", ranked=_RANKED, mid=_MID, ties=_TIES, wz=_WZ))
 def test_wilcoxon(spark, d):
-    return _rank_sums(spark, d).select("pheno", "kind", "bin", F.round("w", 6).alias("w"), F.round("z", 6).alias("z"))
+    return _rank_sums(spark, d).select("pheno", "kind", "bin", F.round("w", 6).alias("w"), F.round("z", 6).alias("z"), F.round(F.coalesce(normal_tail(F.col("z")), F.lit(1.0)), 6).alias("p_value"))
 
 
 @query("win_midrank", bsql("SELECT DISTINCT pheno, kind, bin, burden, r AS midrank FROM mid WHERE burden > 0", ranked=_RANKED, mid=_MID))
@@ -283,10 +284,14 @@ def agg_test_sufficient(spark, d):
     return _sufficient(spark, d).select("pheno", "kind", "bin", "n", "sx", "sxx", F.round("sy", 2).alias("sy"), F.round("sxy", 2).alias("sxy"))
 
 
-@query("test_linear", bsql("""SELECT pheno, kind, bin, n, round(CASE WHEN vx > 1e-9 THEN beta END, 4) AS beta, round(CASE WHEN vx > 1e-9 THEN beta / sqrt((vy - beta * cxy) / (n - 2) / vx) END, 4) AS t FROM (
-  SELECT *, cxy / CASE WHEN vx > 1e-9 THEN vx END AS beta FROM (SELECT *, sxx - sx * sx / n AS vx, syy - sy * sy / n AS vy, sxy - sx * sy / n AS cxy FROM suff))""", suff=_SUFF))
+_SLOPES = """SELECT pheno, kind, bin, n, n - 2 AS df, CASE WHEN vx > 1e-9 THEN beta END AS beta, CASE WHEN vx > 1e-9 THEN beta / sqrt((vy - beta * cxy) / (n - 2) / vx) END AS t0 FROM (
+  SELECT *, cxy / CASE WHEN vx > 1e-9 THEN vx END AS beta FROM (SELECT *, sxx - sx * sx / n AS vx, syy - sy * sy / n AS vy, sxy - sx * sy / n AS cxy FROM suff))"""
+
+
+@query("test_linear", bsql(f"SELECT pheno, kind, bin, n, round(beta, 4) AS beta, round(t0, 4) AS t, round(coalesce({v.t_tail_sql('t0', 'df')}, 1), 6) AS p_value FROM slopes", suff=_SUFF, slopes=_SLOPES))
 def test_linear(spark, d):
-    return u.linear(_sufficient(spark, d)).select("pheno", "kind", "bin", "n", F.round("beta", 4).alias("beta"), F.round("t", 4).alias("t"))
+    p = F.coalesce(t_tail(F.col("t"), F.col("n") - 2), F.lit(1.0))
+    return u.linear(_sufficient(spark, d)).select("pheno", "kind", "bin", "n", F.round("beta", 4).alias("beta"), F.round("t", 4).alias("t"), F.round(p, 6).alias("p_value"))
 
 
 @query("topk_residual", bsql("SELECT pheno, kind, bin, round(abs(freq0 - freq1) / sqrt(2), 6) AS residual FROM bin_freqs WHERE freq0 >= 0 AND freq1 >= 0 ORDER BY abs(freq0 - freq1) / sqrt(2) DESC, pheno, kind, bin LIMIT 30"))

@@ -35,6 +35,12 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pheno", "sample_id", is_case.alias("is_case"))
 
 
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pheno, sample_id, y: the main phenotype as measured (the trait), the others as 0 and 1."""
+    x = status(spark, sf_dir).join(samples(spark, sf_dir).select("sample_id", "trait"), "sample_id")
+    return x.select("pheno", "sample_id", F.when(F.col("pheno") == "main", F.col("trait").cast("double")).otherwise(F.col("is_case").cast("double")).alias("y"))
+
+
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
@@ -112,3 +118,19 @@ def sql(body: str, **more: str) -> str:
                 todo.append(every[v])
     used = [f"{v} AS ({every[v]})" for v in every if v in need]
     return ("WITH " + ",\n".join(used) + "\n" if used else "") + body
+
+
+def normal_tail_sql(z: str) -> str:
+    """DuckDB: two-sided tail of the normal distribution; series up to 3, continued fraction beyond."""
+    x = f"abs({z})"
+    density = f"(exp(-{x} * {x} / 2) / sqrt(2 * pi()))"
+    inner = f"list_reduce([1.0::DOUBLE] || [k::DOUBLE FOR k IN range(60, 0, -1)], lambda a, k: 1 + a * {x} * {x} / (2 * k + 1))"
+    outer = f"list_reduce([{x}::DOUBLE] || [k::DOUBLE FOR k IN range(90, 0, -1)], lambda a, k: {x} + k / a)"
+    return f"(CASE WHEN {x} <= 3 THEN 1 - 2 * {density} * {x} * {inner} WHEN {x} > 38 THEN 0 ELSE 2 * {density} / {outer} END)"
+
+
+def t_tail_sql(t: str, df: str) -> str:
+    """DuckDB: two-sided tail of Student's t with over 30 degrees of freedom, by the expansion about the normal distribution."""
+    y, b = f"(({df} - 0.5) * ln(1 + {t} * {t} / {df}))", f"(48.0 * ({df} - 0.5) * ({df} - 0.5))"
+    z = f"((((((-0.4 * {y} - 3.3) * {y} - 24) * {y} - 85.5) / (0.8 * {y} * {y} + 100 + {b}) + {y} + 3) / {b} + 1) * sqrt({y}))"
+    return f"(SELECT {normal_tail_sql('q')} FROM (SELECT {z} AS q))"
