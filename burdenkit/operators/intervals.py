@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 ZONE = 100_000
 
 
@@ -28,16 +30,16 @@ def points_in_regions(points: DataFrame, regions: DataFrame, zone: int = ZONE, h
     return joined.select(*[f"p.{c}" for c in points.columns], *[f"r.{c}" for c in regions.columns if c not in points.columns])
 
 
-def merged_intervals(intervals: DataFrame, keys: tuple[str, ...] = ("chr",), low: str = "pos_min", high: str = "pos_max") -> DataFrame:
+def merged_intervals(intervals: DataFrame, keys: tuple[str, ...] = ("chr",), low: str = "pos_min", high: str = "pos_max", bands: int | None = None) -> DataFrame:
     """Overlapping or touching intervals of a key merged into one.
 
-    Islands start where an interval begins beyond all earlier ends (running maximum); one shuffle on the keys.
+    Islands start where an interval begins beyond all earlier ends. Both the running maximum and the number of islands
+    are scans over range partitions, so a long key is many tasks.
     """
-    order = Window.partitionBy(*keys).orderBy(low, high)
-    before = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.select(*keys, low, high).withColumn("_new", F.when(before.isNull() | (F.col(low) > before), 1).otherwise(0))
-    island = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_island")
+    order = [low, high]
+    x = scan.maximum_before(scan.banded(intervals.select(*keys, low, high), keys, low, bands), keys, order, high, "_end")
+    x = scan.running_sum(x, keys, order, F.when(F.col("_end").isNull() | (F.col(low) > F.col("_end")), 1).otherwise(0), "_island")
+    return x.groupBy(*keys, "_island").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_island")
 
 
 def envelopes(regions: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
 from .intervals import ZONE, points_in_regions
 
 
-def neighbour_index(snps: DataFrame) -> DataFrame:
+def neighbour_index(snps: DataFrame, bands: int | None = None) -> DataFrame:
     """(pop, chr, rs, pos) with idx: place by position on the chromosome, from 0."""
-    order = Window.partitionBy("pop", "chr").orderBy("pos")
-    return snps.withColumn("idx", F.dense_rank().over(order) - 1)
+    x = scan.dense_ranks(scan.banded(snps, ("pop", "chr"), "pos", bands), ("pop", "chr"), "pos", "idx")
+    return x.select(*snps.columns, (F.col("idx") - 1).cast("long").alias("idx"))
 
 
 def directed(pairs: DataFrame, index: DataFrame) -> DataFrame:
@@ -62,30 +63,30 @@ def widened(regions: DataFrame, index: DataFrame, snp_bounds: DataFrame, zone: i
     return x.groupBy("region_id", "pop", "metric", "cutoff", "chr").agg(F.least(F.min("pos_min"), F.min("low")).alias("pos_min"), F.greatest(F.max("pos_max"), F.max("high")).alias("pos_max"))
 
 
-def runs(scores: DataFrame, keys: tuple[str, ...], threshold: float) -> DataFrame:
+def runs(scores: DataFrame, keys: tuple[str, ...], threshold: float, bands: int | None = None) -> DataFrame:
     """Consecutive positions in the same state: keys, high, start, end, total, n. Gaps in pos break runs.
 
-    ``scores``: keys, pos, value. Gaps and islands over one sort by the keys; long keys should have a band column.
+    ``scores``: keys, pos, value; a position comes once. A run that goes on over the edge of a band is one run: the
+    position before a band's first comes from the band before, and so does the number of runs.
     """
-    order = Window.partitionBy(*keys).orderBy("pos")
-    x = scores.withColumn("high", F.col("value") >= threshold)
-    fresh = F.when((F.lag("pos").over(order) == F.col("pos") - 1) & (F.lag("high").over(order) == F.col("high")), 0).otherwise(1)
-    island = F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    x = x.withColumn("_fresh", fresh).withColumn("_island", island)
+    x = scan.banded(scores.select(*keys, "pos", "value").withColumn("high", F.col("value") >= threshold), keys, "pos", bands)
+    x = scan.previous(x, keys, ["pos"], ["pos", "high"], "_last")
+    fresh = F.when((F.col("_last.pos") == F.col("pos") - 1) & (F.col("_last.high") == F.col("high")), 0).otherwise(1)
+    x = scan.running_sum(x, keys, ["pos"], fresh, "_island")
     return x.groupBy(*keys, "_island", "high").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.sum("value").alias("total"), F.count("*").alias("n")).drop("_island")
 
 
-def merged_segments(segments: DataFrame, keys: tuple[str, ...], average: float = 0.7, gap: int = 50, least: int = 100) -> DataFrame:
+def merged_segments(segments: DataFrame, keys: tuple[str, ...], average: float = 0.7, gap: int = 50, least: int = 100, bands: int | None = None) -> DataFrame:
     """Greedy merge of high runs: keys, start, end of regions of ``least`` positions or more.
 
     From the left, a region takes in the next low and high run while its running average, that low run
     included, stays at ``average``. A low run of over ``gap`` positions, or a break between runs, ends a
     region for certain, so rows are first cut there and each batch is a small group of its own.
     """
-    order = Window.partitionBy(*keys).orderBy("start")
-    apart = (F.lag("end").over(order) != F.col("start") - 1) | (~F.col("high") & (F.col("n") > gap)) | F.lag("_long").over(order)
-    x = segments.withColumn("_long", ~F.col("high") & (F.col("n") > gap))
-    x = x.withColumn("_new", F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).withColumn("batch", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    x = scan.banded(segments.withColumn("_long", ~F.col("high") & (F.col("n") > gap)), keys, "start", bands)
+    x = scan.previous(x, keys, ["start"], ["end", "_long"], "_last")
+    apart = (F.col("_last.end") != F.col("start") - 1) | F.col("_long") | F.col("_last._long")
+    x = scan.running_sum(x, keys, ["start"], F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0), "batch")
     schema = ", ".join(f"{c} {segments.schema[c].dataType.simpleString()}" for c in keys) + ", start long, end long"
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import linkage as ld
+from ..operators import scan
 from . import views as v
 from .registry import query
 from .views import sql
@@ -102,11 +103,27 @@ _FRESH = "SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(high) OVER w = h
 _RUNS = "SELECT user_id, high, min(pos) AS start, max(pos) AS \"end\", CAST(round(sum(value) * 4000) AS BIGINT) AS total, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM fr) GROUP BY user_id, island, high"
 
 
-def _runs(spark, d):
-    from pyspark.sql import Window
+#: A region after each of its high runs (k counts runs of a batch from its first high one, so high runs are even).
+_BATCHES = """SELECT *, row_number() OVER (PARTITION BY user_id, batch ORDER BY start) - 1 AS k FROM (SELECT *, min(start) FILTER (high) OVER b AS low_edge FROM (
+  SELECT *, sum(CASE WHEN before IS NULL OR before <> start - 1 OR was_long OR is_long THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS batch
+  FROM (SELECT *, lag("end") OVER w AS before, lag(is_long) OVER w AS was_long FROM (SELECT *, NOT high AND n > 5 AS is_long FROM exact_runs) WINDOW w AS (PARTITION BY user_id ORDER BY start)))
+  WHERE NOT is_long WINDOW b AS (PARTITION BY user_id, batch)) WHERE start >= low_edge"""
+_MERGES = """SELECT user_id, batch, k, start, "end" AS last, total, n FROM batches WHERE k = 0
+  UNION ALL
+  SELECT m.user_id, m.batch, h.k, CASE WHEN (m.total + l.total) / (m.n + l.n) >= 0.7 THEN m.start ELSE h.start END, h."end",
+    CASE WHEN (m.total + l.total) / (m.n + l.n) >= 0.7 THEN m.total + l.total + h.total ELSE h.total END, CASE WHEN (m.total + l.total) / (m.n + l.n) >= 0.7 THEN m.n + l.n + h.n ELSE h.n END
+  FROM merges m JOIN batches l ON l.user_id = m.user_id AND l.batch = m.batch AND l.k = m.k + 1 JOIN batches h ON h.user_id = m.user_id AND h.batch = m.batch AND h.k = m.k + 2"""
+_EXACT = _RUNS.replace("CAST(round(sum(value) * 4000) AS BIGINT)", "sum(value)")
+
+
+def _segments_sql(body: str) -> str:
+    text = sql(body, sc=_SCORES, stt=_STATE, fr=_FRESH, exact_runs=_EXACT, batches=_BATCHES, merges=_MERGES, merged_regions="SELECT user_id, start, max(last) AS \"end\" FROM merges GROUP BY user_id, batch, start")
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
 
-    r = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    x = v.read(spark, d, "events").withColumn("r", r).select("user_id", (F.col("r") + F.floor(F.col("r") / 17)).alias("pos"), (F.col("value") / 40).alias("value"))
+
+def _runs(spark, d):
+    x = scan.row_numbers(scan.banded(v.read(spark, d, "events").select("user_id", "event_id", "value"), ("user_id",), "event_id"), ("user_id",), ["event_id"], "r")
+    x = x.select("user_id", (F.col("r") + F.floor(F.col("r") / 17)).alias("pos"), (F.col("value") / 40).alias("value"))
     return ld.runs(x, ("user_id",), 0.7)
 
 
@@ -115,12 +132,12 @@ def seg_runs(spark, d):
     return _runs(spark, d).select("user_id", "high", "start", "end", F.round(F.col("total") * 4000).cast("long").alias("total"), "n")
 
 
-@query("seg_merge")
+@query("seg_merge", _segments_sql('SELECT user_id, start, "end" FROM merged_regions WHERE "end" - start + 1 >= 3'))
 def seg_merge(spark, d):
     return ld.merged_segments(_runs(spark, d), ("user_id",), average=0.7, gap=5, least=3)
 
 
-@query("etl_conserved_regions")
+@query("etl_conserved_regions", _segments_sql('SELECT user_id, start, "end", "end" - start + 1 AS positions FROM merged_regions WHERE "end" - start + 1 >= 5'))
 def etl_conserved_regions(spark, d):
     """Conserved regions per user: runs, merged greedily, with their lengths."""
     x = ld.merged_segments(_runs(spark, d), ("user_id",), average=0.7, gap=5, least=5)
