@@ -288,20 +288,39 @@ def graph_id_chain(spark, d):
 
 
 def _links(spark, d):
-    return v.read(spark, d, "lineitem").filter("l_quantity > 49 AND l_linenumber = 1").select((F.col("l_suppkey") * 2 + 1).alias("a"), (F.col("l_partkey") * 2).alias("b")).distinct()
+    """Orders (odd) linked with what their lines hold: part, quantity and place (even)."""
+    x = v.read(spark, d, "lineitem")
+    return x.select((F.col("l_orderkey") * 2 + 1).alias("a"), (((F.col("l_partkey") * 64 + F.col("l_quantity").cast("long")) * 8 + F.col("l_linenumber")) * 2).cast("long").alias("b")).distinct()
 
 
-@query("graph_components", "WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey * 2 + 1 AS a, l_partkey * 2 AS b FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 1), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), c AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, c.root FROM c JOIN e ON c.node = e.a AND c.root < e.b) SELECT node, min(root) AS root FROM c GROUP BY node")
+@query("graph_components", "WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey * 2 + 1 AS a, ((l_partkey * 64 + l_quantity::BIGINT) * 8 + l_linenumber) * 2 AS b FROM lineitem), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), c AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, c.root FROM c JOIN e ON c.node = e.a AND c.root < e.b) SELECT node, min(root) AS root FROM c GROUP BY node")
 def graph_components(spark, d):
     return graph.components(_links(spark, d))
 
 
-@query("graph_cliques")
+#: Orders are linked that hold a part in the same quantity. A clique grows by larger common neighbours only; without any common neighbour it is maximal.
+_CLIQUES = """WITH RECURSIVE e AS (SELECT DISTINCT x.l_orderkey AS a, y.l_orderkey AS b FROM lineitem x JOIN lineitem y ON x.l_partkey = y.l_partkey AND x.l_quantity = y.l_quantity AND x.l_orderkey <> y.l_orderkey),
+  adj AS (SELECT a, list(b) AS near FROM e GROUP BY a), c AS (SELECT [a] AS members, near FROM adj UNION ALL SELECT list_append(c.members, n.b), list_intersect(c.near, adj.near) FROM c, unnest(c.near) AS n(b), adj WHERE n.b > c.members[-1] AND adj.a = n.b),
+  """
+
+
+def order_links(spark, d):
+    """Pairs of orders that hold a part in the same quantity."""
+    x = v.read(spark, d, "lineitem").select("l_partkey", "l_quantity", F.col("l_orderkey").alias("a")).distinct()
+    return x.join(x.withColumnRenamed("a", "b"), ["l_partkey", "l_quantity"]).filter("a < b").select("a", "b").distinct()
+
+
+@query("graph_cliques", _CLIQUES + "r AS (SELECT a AS node, a AS root FROM adj UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a AND r.root < e.b), roots AS (SELECT node, min(root) AS root FROM r GROUP BY 1) SELECT root AS component, len(members) AS size, array_to_string(members, ',') AS members FROM c JOIN roots ON node = members[1] WHERE len(near) = 0")
 def graph_cliques(spark, d):
-    """Maximal cliques of suppliers of the same small order."""
-    x = v.read(spark, d, "lineitem").filter("l_quantity > 35 AND l_partkey % 15 = 0").select("l_orderkey", "l_suppkey")
-    y = x.select("l_orderkey", F.col("l_suppkey").alias("other"))
-    return graph.cliques(x.join(y, "l_orderkey").filter("l_suppkey < other").select(F.col("l_suppkey").alias("a"), F.col("other").alias("b")))
+    """Maximal sets of orders of which any two hold a part in the same quantity."""
+    return graph.cliques(order_links(spark, d))
+
+
+@query("graph_disjoint_cliques")
+def graph_disjoint_cliques(spark, d):
+    """The same pairs of orders, covered once by cliques."""
+    x = graph.edge_disjoint_cliques(order_links(spark, d))
+    return x.select(F.size("members").cast("long").alias("size"), F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 @query("list_sources", "SELECT CAST(r_regionkey AS BIGINT) AS source_id, lower(r_name) AS source FROM region")
