@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.skew import join_skewed  # noqa: F401
 from ..functions.storage import cut  # noqa: F401
 
 #: A word is a run of anything but space and the control characters 09 to 0D.
@@ -25,6 +29,21 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Columns that the operators read by name.
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def any_names(operator: Callable) -> Callable:
+    """For operators that return the columns of ``docs``: other columns have plain names inside, so theirs may hold dots, backticks or spaces."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **how) -> DataFrame:
+        plain = docs.toDF(*[c if c in CORE else f"extra_{k}" for k, c in enumerate(docs.columns)])
+        return operator(plain, *args, **how).toDF(*docs.columns)
+
+    return run
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as empty. One pass, without an array of words."""
     marks = F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x"), _SPACES, "")
@@ -39,18 +58,3 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def hash_share(key: str) -> Column:
     """A number in [0, 1) from the key's hash, the same in every run."""
     return F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
-
-
-def join_skewed(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, how: str = "inner", salts: int = 64) -> DataFrame:
-    """Join ``rows`` with ``groups`` (one row per key, ``size`` = its number of rows) however skewed the keys are.
-
-    Keys that hold over a thousandth of all rows are fewer than a thousand, so the list of them is
-    broadcast; their rows are dealt by the hash of ``spread`` to ``salts`` copies of the group's row.
-    ``groups`` is read three times and should be cut first.
-    """
-    least = groups.agg((F.coalesce(F.sum(size), F.lit(0)) / 1000).alias("least")).first()["least"]
-    heavy = groups.filter(F.col(size) > max(float(least), 1000.0)).select(*keys, F.lit(True).alias("_heavy"))
-    dealt = F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    right = groups.join(F.broadcast(heavy), keys, "left").withColumn("_salt", dealt).drop("_heavy")
-    left = rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_heavy")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")

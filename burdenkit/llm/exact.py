@@ -14,8 +14,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import cut, join_skewed, table, unused
+from .common import any_names, cut, join_skewed, table, unused
 
 
 class RadixTrie:
@@ -147,10 +148,14 @@ def text_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``with_text`` adds the text as binary; ``carry`` adds columns p0, p1, ... with those of the row that stays.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *[F.col(c).alias(f"p{i}") for i, c in enumerate(carry)])
-    more = "".join(f", p{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    parts = rows.mapInArrow(_partials(keep, budget), "text binary, best long, rows long" + more)
+    more = [StructField(f"p{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
+
+    def fields(ddl: str) -> StructType:
+        return StructType([*StructType.fromDDL(ddl), *more])
+
+    parts = rows.mapInArrow(_partials(keep, budget), fields("text binary, best long, rows long"))
     dealt = parts.select(F.octet_length("text").cast("long").alias("len"), F.xxhash64("text").alias("hash"), *parts.columns).repartition("len", "hash")
-    out = "len long, sha binary, best long, rows long" + ", text binary" * with_text + more
+    out = fields("len long, sha binary, best long, rows long" + ", text binary" * with_text)
     return dealt.sortWithinPartitions("len", "hash").mapInArrow(_owners(keep, budget, with_text), out)
 
 
@@ -174,6 +179,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("doc_id", "keep_id", "group_size", (F.col("_row") == F.col("_stays")).alias("kept"), "text_sha256")
 
 
+@any_names
 def drop_exact_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
     """``docs`` (with doc_id and text) without the rows whose text another row owns; all columns as before.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_skewed, table, unused
+from .common import any_names, cut, join_skewed, table, unused
 
 #: Both tile any text: each character belongs to one unit.
 UNITS = {"sentence": r"[^\n.!?]+[.!?]*\n?|[.!?]+\n?|\n", "line": r"[^\n]+\n?|\n"}
@@ -56,6 +56,7 @@ def repeated_units(docs: DataFrame, min_words: int = 6, unit: str = "sentence")
     return met.select("doc_id", "unit", "start", "end", F.col("_first.doc_id").alias("keep_doc_id"), F.col("_first.unit").alias("keep_unit"), F.lower(F.hex("digest")).alias("digest"))
 
 
+@any_names
 def without_repeats(docs: DataFrame, min_words: int = 6, unit: str = "sentence") -> DataFrame:
     """``docs`` with their repeated units cut out of the text; columns as before, whatever their names.
 

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .common import cut, table, unused, word_count
+from .common import any_names, cut, table, unused, word_count
 
 
 def weights_for(sources: list[str | None], cycle: tuple[float, ...] = (3, 1, 2)) -> dict[str | None, float]:
@@ -188,6 +189,7 @@ def _rewrite(epoch: int):
     return of
 
 
+@any_names
 def mixed_documents(docs: DataFrame, most: float = 2.0, **how) -> DataFrame:
     """The mix as documents: per document and pass (``most`` at most), the words that the mix takes; columns as in ``docs``.
 
@@ -215,7 +217,7 @@ def mixed_documents(docs: DataFrame, most: float = 2.0, **how) -> DataFrame:
             texts = [[x for e in range(1, max(p["times"] for p in pieces) + 1) if (x := ways[e](text, pieces)) is not None] for text, pieces in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.list_(pa.string()))], names=[*batch.schema.names[:-2], found])
 
-    out = "".join(f"`{c}` {read.schema[c].dataType.simpleString()}, " for c in names) + f"`{found}` array<string>"
+    out = StructType([*[StructField(c, read.schema[c].dataType) for c in names], StructField(found, ArrayType(StringType()))])
     done = read.mapInArrow(cut_text, out).withColumn(one, F.explode(found))
     as_text = {"text": F.col(one), "n_chars": F.length(one).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return done.select(*[(as_text[c] if c in as_text else F.col(c)).alias(c) for c in docs.columns])

@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_mod, hash_share, table, unused
+from .common import any_names, crc_mod, hash_share, table, unused
 
 _KIND = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 punctuation, 5 space, 6 beyond ASCII
 _KIND[[*range(97, 123)]], _KIND[[*range(65, 91)]], _KIND[[*range(48, 58)]] = 1, 2, 3
@@ -276,7 +277,7 @@ def scored(docs: DataFrame, model: LineCrf, text_col: str = "text", name: str =
                 at = end
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], name])
 
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in cols) + f"`{name}` double"
+    schema = StructType([*docs.schema, StructField(name, DoubleType())])
     return docs.select(*cols, F.col(text_col).cast("binary").alias(unused(docs, "text_bytes"))).mapInArrow(run, schema)
 
 
@@ -286,6 +287,7 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = 1500) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
+@any_names
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = 1500) -> DataFrame:
     """``docs`` without those that the classifier rejects (score below 0.5); columns as before, whatever their names.
 

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import Scratch
 from ..operators.graph import components
-from .common import cut, join_skewed, table, unused
+from .common import any_names, cut, join_skewed, table, unused
+from .prefixes import candidates, first_shingles, frequent_shingles
 
 _SALTS = np.random.default_rng(0).integers(0, 1 << 63, 64, dtype=np.uint64)
 
@@ -330,13 +331,47 @@ def rounds(met: DataFrame, roots: DataFrame, tested: DataFrame, verify, radius:
             return roots
 
 
-def connected(met: DataFrame, verify, radius: int, width: int, tries: int = 4) -> DataFrame:
-    """node, root by the links that ``verify`` lets pass: of each node's ``tries`` nearest in all forests, then of ``rounds``."""
+def connected(met: DataFrame, verify, scratch: Scratch, tries: int = 4) -> tuple[DataFrame, DataFrame]:
+    """node, root by the links that ``verify`` lets pass of each node's ``tries`` nearest in all forests, and the links a, b tried."""
     nearest = met.filter("parent IS NOT NULL").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("apart", "parent"))).alias("by"))
     links = nearest.select("node", F.explode(F.slice("by.parent", 1, tries)).alias("other"))
-    scratch = Scratch(met.sparkSession)
     links = scratch.put("links", links.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-    return rounds(met, scratch.put("roots", components(verify(links))), links, verify, radius, width)
+    return scratch.put("roots", components(verify(links))), links
+
+
+def _unlike(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, share) with ra, rb, the roots of their ends, where these differ."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+    return pairs.filter("ra <> rb")
+
+
+def completed(roots: DataFrame, pairs: DataFrame, verify, scratch: Scratch, rounds: int = 4) -> DataFrame:
+    """``roots`` after all links among ``pairs`` (a, b, share) that ``verify`` lets pass.
+
+    First the likeliest pair between any two pieces is verified, for ``rounds`` rounds while some pass, so that large groups
+    come together by few pairs; then every pair that still lies between two pieces. No pair is left out.
+    """
+    left = scratch.put("pairs", pairs)
+    for k in range(rounds + 1):
+        open_ = _unlike(left, roots)
+        left = scratch.put("pairs", open_.select("a", "b", "share"))
+        if left.isEmpty():
+            return roots
+        if k < rounds:
+            low, high = F.least("ra", "rb").alias("low"), F.greatest("ra", "rb").alias("high")
+            best = _unlike(left, roots).groupBy(low, high).agg(F.max(F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b")
+            chosen = scratch.put("chosen", best)
+            left = scratch.put("pairs", left.join(chosen, ["a", "b"], "left_anti"))
+        else:
+            chosen = left.select("a", "b")
+        passed = scratch.put("passed", verify(chosen))
+        if not passed.isEmpty():
+            roots = scratch.put("roots", joined(roots, passed))
+        elif k < rounds:  # nothing comes together: what is left is verified at once
+            passed = scratch.put("passed", verify(left.select("a", "b")))
+            return roots if passed.isEmpty() else scratch.put("roots", joined(roots, passed))
+    return roots
 
 
 def with_components(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -375,19 +410,28 @@ def _node_id(shingles: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, words: int, width: int) -> DataFrame:
-    """doc_id, node (digest of the distinct shingles) and their fingerprint f0, f1, ... of each row."""
+    """doc_id, node (digest of the distinct shingles), their fingerprint f0, f1, ... of each row, and frequent.
+
+    ``frequent``, at the last row of a batch, lists the shingles of three or more of its texts, each with their number.
+    """
 
     def run(batches):
         for batch in batches:
-            found = []
+            found, every = [], []
             for text in batch.column(1).to_pylist():
                 shingles = np.unique(shingle_hashes(text or b"", words))
                 found.append((_node_id(shingles), *fingerprint(shingles, width)))
+                every.append(shingles)
+            if not found:
+                continue
             cols = np.array(found, np.uint64).reshape(-1, 1 + width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in cols.T)], names=["doc_id", "node", *_words(width)])
+            hashes, number = np.unique(np.concatenate(every), return_counts=True)
+            often = np.stack([hashes[number > 2].view(np.int64), number[number > 2]], 1).reshape(-1)
+            frequent = pa.array([None] * (len(found) - 1) + [often], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in cols.T), frequent], names=["doc_id", "node", *_words(width), "frequent"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{c} long" for c in _words(width)))
+    return rows.mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{c} long" for c in _words(width)) + ", frequent array<long>")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -408,7 +452,7 @@ def _alike(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int, simi
     One document of each linked node is read again: up to ``most`` ids are broadcast, more are joined by shuffling.
     """
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    first = scratch.put("first", nodes.filter("doc_id IS NOT NULL").join(ends, "node", "left_semi").select("doc_id"))
+    first = scratch.put("ends", nodes.filter("doc_id IS NOT NULL").join(ends, "node", "left_semi").select("doc_id"))
     some = docs.join(F.broadcast(first) if first.count() <= most else first, "doc_id", "left_semi").union(docs.filter("doc_id IS NULL"))
     sets = scratch.put("sets", _shingle_sets(some, words).join(ends, "node", "left_semi").dropDuplicates(["node"]))
     pairs = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -419,10 +463,10 @@ def _alike(docs: DataFrame, nodes: DataFrame, links: DataFrame, words: int, simi
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.9, width: int = 3) -> DataFrame:
     """doc_id and component_id over documents whose ``words``-word shingle sets have Jaccard ``similarity`` or more.
 
-    Documents of one shingle set are one node (by a 64-bit digest). A pair at exactly ``similarity`` meets under one of
-    the masks with probability ``recall``, a closer one more often. Meetings are verified on the sets: first the
-    links of their nearest forests, then the nearest pairs between the pieces that these leave, until hardly any
-    passes. Fewer words than
+    Documents of one shingle set are one node (by a 64-bit digest). First fingerprints are linked by ball hashing, under as
+    many masks as let a pair at exactly ``similarity`` meet with probability ``recall``, and the nearest of each node verified
+    on the sets. That joins most copies; then pairs between the pieces left are proposed by the prefixes of their sets, which
+    miss no pair, and verified, so all links are found however many texts share a template. Fewer words than
     ``words`` are one shingle; null and empty texts are one group. Null ids, repeated rows, long texts, other
     columns and empty tables as in ``simhash_components``.
     """
@@ -432,11 +476,20 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     masks, radius = masks_for(similarity, recall, nodes.count(), width)
     met = meetings(nodes.drop("doc_id"), masks, radius, width)
     scratch = Scratch(docs.sparkSession)
-    roots = connected(met, lambda links: _alike(docs, nodes, links, words, similarity, scratch), radius, width)
-    scratch.drop("first", "sets")
+
+    def verify(links: DataFrame) -> DataFrame:
+        return _alike(docs, nodes, links, words, similarity, scratch)
+
+    roots, tried = connected(met, verify, scratch)
+    frequent = frequent_shingles(rows.select("frequent"))
+    first = first_shingles(docs.select(F.col("text").cast("binary").alias("text")), lambda t: np.unique(shingle_hashes(t, words)), _node_id, frequent, similarity)
+    pairs = candidates(first, roots, similarity, scratch).join(tried, ["a", "b"], "left_anti")
+    roots = completed(roots, pairs, verify, scratch)
+    scratch.drop("first", "ends", "sets", "links", "mixed", "pairs", "chosen", "passed")
     return with_components(rows.select("doc_id", "node"), roots).select("doc_id", "component_id")
 
 
+@any_names
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each group of near copies, the smallest doc_id; columns as before, whatever their names.
 
