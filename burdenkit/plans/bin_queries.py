@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import genotype as g
-from ..functions.tails import normal_tail, t_tail
+from ..functions.tails import NORMAL_MARGIN, T_MARGIN, normal_tail, t_tail
 from ..operators import bins as b
 from ..operators import burden as u
 from ..operators import genotypes as ops
 from ..operators import intervals as iv
+from ..operators import reports
 from . import views as v
 from .registry import query
 from .views import sql
@@ -323,21 +324,64 @@ def sort_bins(spark, d):
     return x.orderBy("pheno", "place", key[0].cast("long"), F.try_element_at(key, F.lit(2)).cast("long"))
 
 
-@query("sink_bins", bsql("SELECT b.pheno, replace(kind || ' ' || bin, ' ', '_') AS name, b.sample_id, round(burden, 6) AS value FROM burdens b JOIN status USING (pheno, sample_id) WHERE b.sample_id IN (SELECT sample_id FROM samples WHERE trait IS NOT NULL AND nation <> 3)"))
-def sink_bins(spark, d):
-    """The long report: carriers only, of samples with a status and complete covariates."""
+#: Tests in the reports: those whose p-values SQL can give too.
+TESTS = ["wilcoxon", "linear"]
+_RESULTS = f"""SELECT pheno, kind, bin, 'wilcoxon' AS test, coalesce({v.normal_tail_sql("z")}, 1) AS p_value, CASE WHEN z IS NULL THEN 0 ELSE 1e-13 END AS margin FROM wz
+  UNION ALL SELECT pheno, kind, bin, 'linear', coalesce({v.t_tail_sql("t0", "df")}, 1), CASE WHEN t0 IS NULL THEN 0 ELSE 1e-10 END FROM slopes"""
+_TESTED = {"suff": _SUFF, "slopes": _SLOPES, "ranked": _RANKED, "mid": _MID, "ties": _TIES, "wz": _WZ, "results": _RESULTS}
+
+
+def _results(c, spark, d):
+    """Long results of TESTS on plain burdens: pheno, kind, bin, test, p_value, margin."""
+    w = _rank_sums(spark, d).select(*u.KEY, F.lit("wilcoxon").alias("test"), F.coalesce(normal_tail(F.col("z")), F.lit(1.0)).alias("p_value"), F.when(F.col("z").isNull(), 0.0).otherwise(NORMAL_MARGIN).alias("margin"))
+    x = u.linear(_sufficient(spark, d))
+    p = F.coalesce(t_tail(F.col("t"), F.col("n") - 2), F.lit(1.0))
+    return w.unionByName(x.select(*u.KEY, F.lit("linear").alias("test"), p.alias("p_value"), F.when(F.col("t").isNull(), 0.0).otherwise(T_MARGIN).alias("margin")))
+
+
+_GENES = "SELECT group_id::VARCHAR AS bin, string_agg(name, '|' ORDER BY name) AS genes FROM group_regions JOIN regions USING (region_id) GROUP BY 1"
+_FACTS = """SELECT s.*, coalesce(genes, '') AS genes, row_number() OVER (PARTITION BY pheno ORDER BY CASE kind WHEN 'group' THEN 0 WHEN 'region' THEN 1 ELSE 2 END, split_part(s.bin, ':', 1)::BIGINT, coalesce(TRY_CAST(split_part(s.bin, ':', 2) AS BIGINT), -1), s.bin) - 1 AS k
+  FROM sizes s LEFT JOIN gene_names g ON kind = 'group' AND s.bin = g.bin WHERE size >= """ + str(LEAST)
+_PEOPLE = "SELECT pheno, sample_id, replace(name, ',', '_') AS name, CAST(is_case AS INT)::VARCHAR AS status FROM status JOIN samples USING (sample_id) WHERE nation <> 3"
+_HEADS = ["size", "loci", "size0", "size1", "capacity0", "capacity1", "genes"]
+_FACT = " UNION ALL ".join(["SELECT pheno, kind, bin, k, 0 AS place, replace(kind || ':' || bin, ',', '_') AS value FROM facts", *[f"SELECT pheno, kind, bin, k, {i + 1}, {c}::VARCHAR FROM facts" for i, c in enumerate(_HEADS)],
+  *[f"SELECT f.pheno, f.kind, f.bin, k, {8 + 2 * t + m}, printf('%.6f', {c}) FROM facts f JOIN results r ON r.pheno = f.pheno AND r.kind = f.kind AND r.bin = f.bin AND test = '{n}'" for t, n in enumerate(TESTS) for m, c in enumerate(("p_value", "margin"))]])
+_LABELS = ["ID", *reports.labels(TESTS)]
+_REPORT = {"gene_names": _GENES, "facts": _FACTS, "people": _PEOPLE, "fact_values": _FACT}
+_WIDE = f"""SELECT pheno, place, ({_LABELS!r})[place + 1] || ',' || CASE place WHEN 0 THEN pheno ELSE 'nan' END || ',' || string_agg(value, ',' ORDER BY k) AS line FROM (
+    SELECT f.pheno, p.place::BIGINT AS place, f.k, coalesce(value, '') AS value FROM facts f CROSS JOIN range({len(_LABELS)}) p(place) LEFT JOIN fact_values x ON x.pheno = f.pheno AND x.k = f.k AND x.place = p.place) GROUP BY pheno, place
+  UNION ALL SELECT p.pheno, 1000 + p.sample_id, any_value(p.name) || ',' || any_value(p.status) || ',' || string_agg(coalesce(burden, 0)::VARCHAR, ',' ORDER BY k)
+  FROM people p JOIN facts f ON f.pheno = p.pheno LEFT JOIN plain_burdens b ON b.pheno = p.pheno AND b.kind = f.kind AND b.bin = f.bin AND b.sample_id = p.sample_id GROUP BY p.pheno, p.sample_id"""
+_TALL = f"""SELECT pheno, 0::BIGINT AS place, '{",".join(["Bin Name", *_LABELS[1:]])},' || string_agg(name, ',' ORDER BY sample_id) AS line FROM people GROUP BY 1
+  UNION ALL SELECT pheno, 1, 'Status{",nan" * (len(_LABELS) - 1)},' || string_agg(status, ',' ORDER BY sample_id) FROM people GROUP BY 1
+  UNION ALL SELECT h.pheno, 1000 + h.k, head || ',' || cells FROM (SELECT pheno, k, string_agg(value, ',' ORDER BY place) AS head FROM fact_values GROUP BY ALL) h
+  JOIN (SELECT f.pheno, f.k, string_agg(coalesce(burden, 0)::VARCHAR, ',' ORDER BY p.sample_id) AS cells FROM people p JOIN facts f ON f.pheno = p.pheno LEFT JOIN plain_burdens b ON b.pheno = p.pheno AND b.kind = f.kind AND b.bin = f.bin AND b.sample_id = p.sample_id GROUP BY f.pheno, f.k) c ON c.pheno = h.pheno AND c.k = h.k"""
+
+
+def _with_genes(c, x):
+    genes = c.group_regions.join(c.regions.select("region_id", "name"), "region_id").groupBy(F.lit("group").alias("kind"), F.col("group_id").cast("string").alias("bin")).agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("genes"))
+    return x.join(genes, ["kind", "bin"], "left").withColumn("genes", F.coalesce("genes", F.lit("")))
+
+
+def report(spark, d, made):
+    """A report over all phenotypes: bins of LEAST contributions or more, samples with a status and complete covariates."""
     c = Cohort(spark, d)
-    whole = v.samples(spark, d).filter("trait IS NOT NULL AND nation <> 3").select("sample_id")
-    x = u.with_status(c.burdens(), c.status).join(whole, "sample_id", "left_semi")
-    return x.select("pheno", g.escaped(F.concat_ws(" ", "kind", "bin"), " ").alias("name"), "sample_id", F.round("burden", 6).alias("value"))
+    facts = _with_genes(c, b.bin_sizes(c.bins(), c.counts).filter(F.col("size") >= LEAST))
+    people = c.status.join(v.samples(spark, d).filter("nation <> 3").select("sample_id", "name"), "sample_id").select("pheno", "sample_id", "name", F.col("is_case").cast("int").cast("string").alias("status"))
+    cells = c.plain_burdens().select(*u.KEY, "sample_id", F.col("burden").cast("long").cast("string").alias("value"))
+    return made(facts, cells, people, _results(c, spark, d), TESTS, lambda x: g.escaped(x, ","))
+
+
+@query("sink_bins", bsql(_WIDE, **_TESTED, **_REPORT))
+def sink_bins(spark, d):
+    """The bin report of each phenotype: header lines with totals, capacities, genes, p-values and margins, then a line per sample."""
+    return report(spark, d, reports.wide_report)
 
 
-@query("sink_bins_transposed", bsql("SELECT pheno, kind, bin, " + ", ".join(f"sum(burden) FILTER (nation = {k})::BIGINT AS n{k}" for k in range(25)) + " FROM plain_burdens JOIN samples USING (sample_id) GROUP BY ALL"))
+@query("sink_bins_transposed", bsql(_TALL, **_TESTED, **_REPORT))
 def sink_bins_transposed(spark, d):
-    """A row per bin and a column per sample; here samples are pooled by nation, which bounds the columns."""
-    x = Cohort(spark, d).plain_burdens().join(v.samples(spark, d).select("sample_id", "nation"), "sample_id")
-    wide = x.groupBy("pheno", "kind", "bin").pivot("nation", list(range(25))).agg(F.sum("burden").cast("long"))
-    return wide.select("pheno", "kind", "bin", *[F.col(str(k)).alias(f"n{k}") for k in range(25)])
+    """The same turned round: a line per bin and a field per sample."""
+    return report(spark, d, reports.transposed_report)
 
 
 @query("sink_locus_report", bsql("""SELECT l.chr, l.pos, l.id, coalesce(genes, '') AS genes, coalesce(main_bins, '') AS main_bins FROM loci l
@@ -369,10 +413,10 @@ def sink_allele_freq(spark, d):
     return c.counts.join(per, ["pheno", "locus_id"], "left").select("pheno", "locus_id", f[0].alias("control_nmaf"), f[1].alias("case_nmaf"), rare.alias("rare"), F.coalesce("bins", F.lit(0)).alias("bins"))
 
 
-@query("sink_summary", bsql("SELECT s.*, k1 AS cases, k0 AS controls, 1 + CAST(kind = 'group' AS BIGINT) * ((SELECT count(DISTINCT region_id) FROM group_regions g WHERE g.group_id::VARCHAR = bin) - 1) AS genes FROM sizes s JOIN totals USING (pheno) WHERE kind <> 'intergenic'"))
+@query("sink_summary", bsql("""SELECT s.pheno, s.kind, s.bin, loci, size0, size1, capacity0, capacity1, size, k1 AS cases, k0 AS controls, coalesce(genes, '') AS genes, round(w.p_value, 6) AS p_wilcoxon, round(l.p_value, 6) AS p_linear FROM sizes s JOIN totals USING (pheno)
+  LEFT JOIN gene_names g ON s.kind = 'group' AND s.bin = g.bin LEFT JOIN results w ON w.pheno = s.pheno AND w.kind = s.kind AND w.bin = s.bin AND w.test = 'wilcoxon' LEFT JOIN results l ON l.pheno = s.pheno AND l.kind = s.kind AND l.bin = s.bin AND l.test = 'linear'""", **_TESTED, gene_names=_GENES))
 def sink_summary(spark, d):
-    """Rare-variant burden per gene and group: bin sizes, capacities, genes, and the phenotype's cases and controls."""
+    """Rare-variant burden per bin of all kinds: sizes, capacities, genes, the phenotype's cases and controls, and a p-value per test."""
     c = Cohort(spark, d)
-    genes = c.group_regions.groupBy(F.col("group_id").cast("string").alias("bin")).agg(F.count_distinct("region_id").alias("_genes")).withColumn("kind", F.lit("group"))
-    x = b.bin_sizes(c.region().union(c.group()), c.counts).join(F.broadcast(c.totals), "pheno").join(genes, ["kind", "bin"], "left")
-    return x.select("pheno", "kind", "bin", "loci", "size0", "size1", "capacity0", "capacity1", "size", F.col("n1").alias("cases"), F.col("n0").alias("controls"), F.coalesce("_genes", F.lit(1)).alias("genes"))
+    x = reports.summary(_with_genes(c, b.bin_sizes(c.bins(), c.counts)), c.totals, _results(c, spark, d), TESTS)
+    return x.select(*[F.round(n, 6).alias(n) if n.startswith("p_") else n for n in x.columns])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import genotype as g
+from ..functions.storage import shared_folder
 from ..sources import etl, text, vcf
 from ..operators import intervals as iv
 from . import views as v
@@ -17,7 +20,7 @@ def _s(c):
 
 
 def vcf_lines(spark, d):
-    """Variant lines: a line per locus and a call (GT:DP:FT) per nation, that of its first customer; plus header lines."""
+    """Variant lines: a line per locus and a call (GT:DP:FT) per nation, that of its first customer; plus header lines; n is the line's place."""
     c = v.calls(spark, d).join(v.samples(spark, d).select("sample_id", "nation"), "sample_id")
     first = c.groupBy("locus_id", "nation").agg(F.min(F.struct("sample_id", "a1", "a2")).alias("x"))
     gt = F.when(F.col("x.a1").isNull(), "./.").otherwise(F.concat(_s("x.a1"), F.lit("|"), _s("x.a2")))
@@ -26,11 +29,11 @@ def vcf_lines(spark, d):
     part = v.read(spark, d, "part").select(F.col("p_partkey").alias("locus_id"), F.when(F.col("p_size") % 5 == 0, "q10").when(F.col("p_size") % 5 == 1, ".").otherwise("PASS").alias("mark"))
     x = v.loci(spark, d).join(part, "locus_id").join(per, "locus_id", "left")
     calls = F.expr("array_join(transform(sequence(0, 24), i -> coalesce(try_element_at(m, cast(i as bigint)), '.')), '\t')")
-    body = x.select(F.concat_ws("\t", F.concat(F.lit("chr"), _s("chr")), _s("pos"), F.when(F.col("locus_id") % 4 == 0, ".").otherwise(F.col("id")), "ref", "alt", F.lit("."), "mark", F.lit("."), F.lit("GT:DP:FT"), calls).alias("value"))
+    body = x.select(F.concat_ws("\t", F.concat(F.lit("chr"), _s("chr")), _s("pos"), F.when(F.col("locus_id") % 4 == 0, ".").otherwise(F.col("id")), "ref", "alt", F.lit("."), "mark", F.lit("."), F.lit("GT:DP:FT"), calls).alias("value"), (F.col("locus_id") + 1000).alias("n"))
     n = v.read(spark, d, "nation")
-    contig = n.select(F.concat(F.lit("##contig=<ID=chr"), _s(F.col("n_nationkey") + 1), F.lit(",length=1,assembly=GRCh"), _s(37 + F.col("n_regionkey") % 2), F.lit(">")).alias("value"))
+    contig = n.select(F.concat(F.lit("##contig=<ID=chr"), _s(F.col("n_nationkey") + 1), F.lit(",length=1,assembly=GRCh"), _s(37 + F.col("n_regionkey") % 2), F.lit(">")).alias("value"), v.long("n_nationkey").alias("n"))
     names = n.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda z: z["n_name"]), "\t").alias("_n"))
-    head = names.select(F.concat(F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"), "_n").alias("value"))
+    head = names.select(F.concat(F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"), "_n").alias("value"), F.lit(100).cast("long").alias("n"))
     return contig.union(head).union(body)
 
 
@@ -58,12 +61,16 @@ def src_vcf_calls(spark, d):
     return vcf.long_calls(vcf.variants(vcf_lines(spark, d)))
 
 
-@query("src_vcf_codec", "SELECT CASE WHEN p_partkey % 4 < 2 THEN 'gzip' WHEN p_partkey % 4 = 2 THEN 'bzip2' ELSE 'none' END AS codec, count(*) AS files FROM part GROUP BY 1")
+@query("src_vcf_codec", sql("SELECT chr, pos, CASE WHEN locus_id % 4 = 0 THEN '.' ELSE id END AS id, CAST(25 AS INT) AS calls FROM loci UNION ALL SELECT -1, -1, '#', count(*)::INT + 1 FROM nation"))
 def src_vcf_codec(spark, d):
-    """How many files of each compression there would be, were parts files with the known extensions in turn."""
-    ext = F.element_at(F.array(*[F.lit(x) for x in ("gz", "z", "bz", "vcf")]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    kinds = F.create_map(*[F.lit(x) for e in ("gz", "z", "bz", "vcf") for x in (e, vcf.codec(f"x.{e}") or "none")])
-    return v.read(spark, d, "part").groupBy(kinds[ext].alias("codec")).agg(F.count("*").alias("files"))
+    """The variant lines written as block gzip (.z), a file of which many tasks read in ranges, and parsed; a row counts the header lines."""
+    folder = f"{shared_folder(spark)}/calls-{uuid.uuid4().hex}"
+    vcf.write_block_gzip(vcf_lines(spark, d).repartition(2), folder)
+    x = vcf.lines(spark, f"{folder}/*.z", chunk=1 << 16)
+    f = F.split("value", "\t")
+    rows = x.filter(~F.col("value").startswith("#")).select(g.chromosome_code(f[0]).cast("long").alias("chr"), f[1].try_cast("bigint").alias("pos"), f[2].alias("id"), (F.size(f) - 9).alias("calls"))
+    heads = x.filter(F.col("value").startswith("#")).agg(F.count("*").cast("int").alias("calls"))
+    return rows.unionByName(heads.select(F.lit(-1).cast("long").alias("chr"), F.lit(-1).cast("long").alias("pos"), F.lit("#").alias("id"), "calls"))
 
 
 @query("src_trait_file", "SELECT c_name AS name, 'balance' AS trait, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS value FROM customer WHERE c_custkey % 9 <> 0 UNION ALL SELECT c_name, 'nation', c_nationkey::DOUBLE FROM customer WHERE c_custkey % 9 <> 0")
@@ -376,14 +383,17 @@ def join_exon_overlap(spark, d):
     return iv.points_in_regions(v.loci(spark, d).select("locus_id", "chr", "pos"), iv.merged_intervals(exons(spark, d)), how="left_semi")
 
 
-@query("filter_vcf_lines", sql("SELECT count(*) AS lines, sum(l.pos)::BIGINT AS positions FROM loci l SEMI JOIN mg ON l.chr = mg.chr AND l.pos BETWEEN mg.pos_min AND mg.pos_max", ex=_EXON, isl=_ISLANDS, mg=_MERGED))
+_LINES = """SELECT n_nationkey::BIGINT AS n, '##contig=<ID=chr' || (n_nationkey + 1) || ',length=1,assembly=GRCh' || (37 + n_regionkey % 2) || '>' AS value FROM nation
+  UNION ALL SELECT 100, concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT') || chr(9) || string_agg(n_name, chr(9) ORDER BY n_nationkey) FROM nation
+  UNION ALL SELECT 1000 + l.locus_id, concat_ws(chr(9), 'chr' || any_value(l.chr), any_value(l.pos), CASE WHEN l.locus_id % 4 = 0 THEN '.' ELSE any_value(l.id) END, any_value(ref), any_value(alt), '.', CASE any_value(p_size) % 5 WHEN 0 THEN 'q10' WHEN 1 THEN '.' ELSE 'PASS' END, '.', 'GT:DP:FT') || chr(9)
+    || string_agg(CASE WHEN fv.x IS NULL THEN '.' ELSE CASE WHEN fv.x.a1 IS NULL THEN './.' ELSE fv.x.a1 || '|' || fv.x.a2 END || ':9:' || CASE WHEN fv.x.s % 11 = 0 THEN 'q10' ELSE 'PASS' END END, chr(9) ORDER BY n_nationkey)
+    FROM loci l SEMI JOIN mg ON l.chr = mg.chr AND l.pos BETWEEN mg.pos_min AND mg.pos_max JOIN part ON p_partkey = l.locus_id CROSS JOIN nation LEFT JOIN fv ON fv.locus_id = l.locus_id AND fv.nation = n_nationkey GROUP BY l.locus_id"""
+
+
+@query("filter_vcf_lines", sql("SELECT n, value FROM kept_lines", ex=_EXON, isl=_ISLANDS, mg=_MERGED, fv=_VCF, kept_lines=_LINES))
 def filter_vcf_lines(spark, d):
-    """Variant lines inside merged exons, header lines kept; here summed up."""
-    x = vcf_lines(spark, d)
-    f = F.split("value", "\t")
-    body = x.filter(~F.col("value").startswith("#")).select("value", g.chromosome_code(f[0]).cast("long").alias("chr"), f[1].try_cast("bigint").alias("pos"))
-    kept = iv.points_in_regions(body, iv.merged_intervals(exons(spark, d)), how="left_semi")
-    return kept.agg(F.count("*").alias("lines"), F.sum("pos").alias("positions"))
+    """Header lines and the variant lines inside merged exons, whole and with their places in the file; ``reports.write_lines`` writes them."""
+    return vcf.inside(vcf_lines(spark, d), iv.merged_intervals(exons(spark, d)), "n")
 
 
 @query("etl_build_map", "SELECT s_suppkey AS source, CASE s_suppkey % 4 WHEN 0 THEN 36 WHEN 1 THEN 37 WHEN 2 THEN 38 ELSE 99 END AS grch, CASE s_suppkey % 4 WHEN 0 THEN 18 WHEN 1 THEN 19 WHEN 2 THEN 38 END AS hg, 38 AS target, s_suppkey % 4 <> 3 AS known FROM supplier")

@@ -6,11 +6,14 @@ a gzip file is one task, so its lines are dealt out before they are parsed.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotype as g
+from ..operators.intervals import points_in_regions
 
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 
@@ -20,31 +23,164 @@ def codec(path: str) -> str | None:
     return {"gz": "gzip", "z": "gzip", "bz": "bzip2", "bz2": "bzip2"}.get(path.rsplit("/", 1)[-1].rsplit(".", 1)[-1])
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file or folder. Spark reads gz and bz2; z and bz are unpacked in a task each, line by line."""
-    kind = codec(path)
-    if kind is None or path.endswith((".gz", ".bz2")):
-        text = spark.read.text(path)
-        return text.repartition(spark.sparkContext.defaultParallelism * 4) if path.endswith(".gz") else text
+def lines(spark: SparkSession, path: str, chunk: int = 32 << 20) -> DataFrame:
+    """Lines of a text file or folder, in no order. Plain text and bz2 split; so does block gzip (.z, .gz), in ranges of ``chunk`` bytes.
 
-    def unpack(batches):
-        import bz2
-        import gzip
-        import io
+    Other gzip files and .bz ones are a task a file, which unpacks them as it reads.
+    """
+    kind = codec(path)
+    if kind is None or path.endswith(".bz2"):
+        return spark.read.text(path)
+    files = [(r["path"], r["length"]) for r in spark.read.format("binaryFile").load(path).select("path", "length").collect()]  # a row per file; contents aren't read
+    ranges = [(f, at, min(n, at + chunk), n) for f, n in files for at in range(0, max(n, 1), chunk)]
+    parts = spark.createDataFrame(ranges, "path string, start long, end long, length long").repartition(max(1, len(ranges)), "path", "start")
 
+    def read(batches):
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                opened = (gzip if kind == "gzip" else bz2).open(io.BytesIO(content), "rt", encoding="utf-8")
-                part = []
-                for line in opened:
-                    part.append(line.rstrip("\n"))
-                    if len(part) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(part)], names=["value"])
-                        part = []
-                if part:
-                    yield pa.RecordBatch.from_arrays([pa.array(part)], names=["value"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "value string")
+            for path, start, end, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = _range_lines(path, start, end, length) if kind == "gzip" else _whole_lines(path, start)
+                while part := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["value"])
+
+    return parts.mapInArrow(read, "value string")
+
+
+#: A block of block gzip starts with these bytes; two more, behind a field named BC, hold its length less one.
+_MAGIC = b"\x1f\x8b\x08\x04"
+
+
+def _opened(path: str):
+    """A file that tasks can read from any place: a local path or an address of a file system that pyarrow knows."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}")
+    return system.open_input_file(name)
+
+
+def block_length(head: bytes) -> int | None:
+    """Length of the block that starts with these bytes; None where none does."""
+    if len(head) < 18 or not head.startswith(_MAGIC):
+        return None
+    at, end = 12, 12 + int.from_bytes(head[10:12], "little")
+    while at + 4 <= min(end, len(head)):
+        size = int.from_bytes(head[at + 2 : at + 4], "little")
+        if head[at : at + 2] == b"BC" and size == 2:
+            return int.from_bytes(head[at + 4 : at + 6], "little") + 1
+        at += 4 + size
+    return None
+
+
+def _first_block(source, start: int, length: int) -> int:
+    """Where the first block at or behind ``start`` begins: its header is real if another one, or the end, follows it."""
+    window = 1 << 18  # blocks are under 64 KB
+    data = source.read_at(min(window, length - start), start)
+    at = data.find(_MAGIC)
+    while at >= 0:
+        size = block_length(data[at : at + 64])
+        if size and (start + at + size == length or block_length(source.read_at(min(64, length - start - at - size), start + at + size)) is not None):
+            return start + at
+        at = data.find(_MAGIC, at + 1)
+    return length
+
+
+def _range_lines(path: str, start: int, end: int, length: int):
+    """Lines that begin in blocks starting in [start, end). Every range but the first leaves out what stands before its first
+    line end, as the range before it goes on to the end of its last line. A file without blocks is read whole by its first range."""
+    import zlib
+
+    with _opened(path) as source:
+        if block_length(source.read_at(min(64, length), 0)) is None:
+            if start == 0:
+                yield from _whole_lines(path, 0)
+            return
+        at = _first_block(source, start, length) if start else 0
+        if at >= end:
+            return
+        rest, skip = b"", start > 0
+        while at < length:
+            size = block_length(source.read_at(min(64, length - at), at))
+            if size is None:
+                raise ValueError(f"no block at {at} of {path}")
+            data = zlib.decompress(source.read_at(size, at), 31)
+            if at >= end:  # the line that has begun, or begins right here, and no more
+                if skip:
+                    return
+                line, found, _ = data.partition(b"\n")
+                rest += line
+                if found:
+                    break
+                at += size
+                continue
+            if skip:
+                _, found, data = data.partition(b"\n")
+                skip = not found
+                if skip:
+                    at += size
+                    continue
+            *whole, rest = (rest + data).split(b"\n")
+            yield from (x.decode() for x in whole)
+            at += size
+        if rest or (not skip and at < length):
+            yield rest.decode()
+
+
+def _whole_lines(path: str, start: int):
+    import bz2
+    import gzip
+
+    if start:
+        return
+    with _opened(path) as source:
+        opened = (gzip if codec(path) == "gzip" else bz2).open(source, "rt", encoding="utf-8")
+        for line in opened:
+            yield line.rstrip("\n")
+
+
+def blocks(data: bytes, size: int = 60_000):
+    """Block gzip of some bytes: independent members that say how long they are."""
+    import zlib
+
+    for at in range(0, len(data), size):
+        part = data[at : at + size]
+        packed = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = packed.compress(part) + packed.flush()
+        yield _MAGIC + bytes(4) + b"\x00\xff\x06\x00BC\x02\x00" + (len(body) + 25).to_bytes(2, "little") + body + zlib.crc32(part).to_bytes(4, "little") + len(part).to_bytes(4, "little")
+
+
+def write_block_gzip(text: DataFrame, folder: str, extension: str = "z") -> int:
+    """Write lines (column value) as block gzip, a file per partition, and return their number. A task's file gets its name when it is complete."""
+
+    def write(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        system, at = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+        system.create_dir(at, recursive=True)
+        name, n, rest = f"{at}/part-{task.partitionId():05d}.{extension}", 0, b""
+        with system.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
+            for batch in batches:
+                values = batch.column(0).to_pylist()
+                n, rest = n + len(values), rest + "".join(f"{x}\n" for x in values).encode()
+                if len(rest) > 1 << 20:
+                    out.write(b"".join(blocks(rest)))
+                    rest = b""
+            out.write(b"".join(blocks(rest)))
+        system.move(f"{name}.{task.taskAttemptId()}.tmp", name)
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    return text.select("value").mapInArrow(write, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+
+
+def inside(text: DataFrame, intervals: DataFrame, order: str) -> DataFrame:
+    """``order``, value: header lines and the variant lines at positions within ``intervals`` (chr, pos_min, pos_max, disjoint), as they were.
+
+    ``text``: value and ``order``, the line's place in its file, which ``reports.write_lines`` writes by.
+    """
+    head = text.filter(F.col("value").startswith("#")).select(order, "value")
+    f = F.split("value", "\t", 3)
+    body = text.filter(~F.col("value").startswith("#")).select(order, "value", g.chromosome_code(f[0]).cast("long").alias("chr"), f[1].try_cast("bigint").alias("pos"))
+    return head.unionByName(points_in_regions(body, intervals, how="left_semi").select(order, "value"))
 
 
 def builds(text: DataFrame) -> DataFrame:
