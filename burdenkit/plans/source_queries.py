@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype as g
 from ..functions.storage import shared_folder
-from ..sources import etl, text, vcf
+from ..sources import etl, knowledge_file, text, vcf
 from ..operators import intervals as iv
 from . import views as v
 from .registry import query
@@ -128,10 +128,66 @@ def src_group_archive(spark, d):
     return text.archive(top.union(heads).union(body))
 
 
-@query("src_knowledge_tables", "SELECT 'gene' AS what, count(*) AS rows FROM supplier UNION ALL SELECT 'group', count(*) FROM nation UNION ALL SELECT 'snp', count(*) FROM part")
+#: Every knowledge table made of the given ones, in SQL that Spark and DuckDB share.
+_KNOWLEDGE = {
+    "setting": "SELECT r_name AS setting, CAST(r_regionkey AS STRING) AS value FROM {region}",
+    "grch_ucschg": "SELECT r_regionkey + 36 AS grch, r_regionkey + 17 AS ucschg FROM {region}",
+    "ldprofile": "SELECT r_regionkey AS ldprofile_id, r_name AS ldprofile, 'made' AS description, 'rsq' AS metric, 0.5 AS value FROM {region}",
+    "namespace": "SELECT n_nationkey AS namespace_id, n_name AS namespace, n_nationkey % 2 AS polygenic FROM {nation}",
+    "relationship": "SELECT r_regionkey AS relationship_id, lower(r_name) AS relationship FROM {region}",
+    "role": "SELECT n_nationkey AS role_id, n_name AS role, n_name AS description, n_nationkey % 2 AS coding, n_nationkey % 3 AS exon FROM {nation}",
+    "source": "SELECT n_nationkey AS source_id, n_name AS source, CAST(NULL AS STRING) AS updated, 'v1' AS version, 37 AS grch, 19 AS ucschg, 19 AS current_ucschg FROM {nation}",
+    "source_option": "SELECT n_nationkey AS source_id, n_name AS option, CAST(n_regionkey AS STRING) AS value FROM {nation}",
+    "source_file": "SELECT n_nationkey AS source_id, n_name AS filename, n_regionkey * 1000 AS size, CAST(NULL AS STRING) AS modified FROM {nation}",
+    "type": "SELECT r_regionkey AS type_id, r_name AS type FROM {region}",
+    "warning": "SELECT s_suppkey AS warning_id, s_nationkey AS source_id, s_name AS warning FROM {supplier} WHERE s_suppkey % 9 = 0",
+    "snp_merge": "SELECT p_partkey * 2 AS rsMerged, p_partkey AS rsCurrent, 1 AS source_id FROM {part}",
+    "snp_locus": "SELECT l_partkey AS rs, l_partkey % 22 + 1 AS chr, l_orderkey AS pos, l_linenumber % 2 AS validated, 1 AS source_id FROM {lineitem}",
+    "snp_entrez_role": "SELECT l_partkey AS rs, l_suppkey AS entrez_id, l_linenumber AS role_id, 2 AS source_id FROM {lineitem}",
+    "snp_biopolymer_role": "SELECT l_partkey AS rs, l_suppkey + 1 AS biopolymer_id, l_linenumber AS role_id, 2 AS source_id FROM {lineitem}",
+    "biopolymer": "SELECT s_suppkey AS biopolymer_id, 1 AS type_id, s_name AS label, CAST(NULL AS STRING) AS description, s_nationkey AS source_id FROM {supplier}",
+    "biopolymer_name": "SELECT s_suppkey AS biopolymer_id, s_nationkey AS namespace_id, s_name AS name, 3 AS source_id FROM {supplier}",
+    "biopolymer_name_name": "SELECT s_nationkey AS namespace_id, s_name AS name, 1 AS type_id, 2 AS new_namespace_id, lower(s_name) AS new_name, 3 AS source_id FROM {supplier}",
+    "biopolymer_region": "SELECT s_suppkey AS biopolymer_id, 0 AS ldprofile_id, s_suppkey % 22 + 1 AS chr, s_suppkey * 100 AS posMin, s_suppkey * 100 + 99 AS posMax, 3 AS source_id FROM {supplier}",
+    "biopolymer_zone": "SELECT s_suppkey AS biopolymer_id, s_suppkey % 22 + 1 AS chr, s_suppkey % 7 AS zone FROM {supplier}",
+    "group": "SELECT n_nationkey AS group_id, 2 AS type_id, n_name AS label, n_name AS description, n_regionkey AS source_id FROM {nation}",
+    "group_name": "SELECT n_nationkey AS group_id, n_regionkey AS namespace_id, n_name AS name, 4 AS source_id FROM {nation}",
+    "group_group": "SELECT n_nationkey AS group_id, n_regionkey + 100 AS related_group_id, 1 AS relationship_id, 1 AS direction, CAST(NULL AS INT) AS contains, 4 AS source_id FROM {nation}",
+    "group_biopolymer": "SELECT s_nationkey AS group_id, s_suppkey AS biopolymer_id, 100 AS specificity, s_suppkey % 101 AS implication, s_suppkey % 50 AS quality, 4 AS source_id FROM {supplier}",
+    "group_member_name": "SELECT c_nationkey AS group_id, c_custkey AS member, 1 AS type_id, 2 AS namespace_id, c_name AS name, 4 AS source_id FROM {customer}",
+    "gwas": "SELECT o_orderkey AS gwas_id, o_custkey AS rs, o_custkey % 22 + 1 AS chr, o_orderkey * 3 AS pos, o_orderstatus AS trait, CAST(NULL AS STRING) AS snps, '1.5' AS orbeta, CAST(NULL AS STRING) AS riskAfreq, o_custkey + 7 AS pubmed_id, 5 AS source_id FROM {orders}",
+    "chain": "SELECT s_suppkey AS chain_id, 18 AS old_ucschg, s_suppkey % 22 + 1 AS old_chr, s_suppkey * 10 AS old_start, s_suppkey * 10 + 9 AS old_end, 19 AS new_ucschg, s_suppkey % 22 + 1 AS new_chr, s_suppkey * 11 AS new_start, s_suppkey * 11 + 9 AS new_end, s_suppkey * 3 AS score, s_suppkey % 2 AS is_fwd, 6 AS source_id FROM {supplier}",
+    "chain_data": "SELECT s_suppkey AS chain_id, s_suppkey * 10 AS old_start, s_suppkey * 10 + 4 AS old_end, s_suppkey * 11 AS new_start FROM {supplier}",
+}
+_BASE = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem")
+
+
+def _fields(name: str) -> list[str]:
+    return [f'{c.split(" ")[0]}' for c in knowledge_file.TABLES[name].split(", ")]
+
+
+def _knowledge_sql() -> str:
+    each = []
+    for name, made in _KNOWLEDGE.items():
+        text = " || '|' || ".join(f"coalesce(\"{c}\"::VARCHAR, '')" for c in _fields(name))
+        each.append(f"SELECT '{name}' AS name, count(*) AS rows, sum(('0x' || left(md5({text}), 8))::BIGINT)::BIGINT AS digest FROM ({made.format(**{t: t for t in _BASE})})")
+    return " UNION ALL ".join(each)
+
+
+@query("src_knowledge_tables", _knowledge_sql())
 def src_knowledge_tables(spark, d):
-    a = v.regions(spark, d).agg(F.lit("gene").alias("what"), F.count("*").alias("rows"))
-    return a.union(v.groups(spark, d).agg(F.lit("group"), F.count("*"))).union(v.loci(spark, d).agg(F.lit("snp"), F.count("*")))
+    """All knowledge tables, written as SQLite files and read again by ranges of rows with their types: rows and a digest of each."""
+    base = {t: v.read(spark, d, t) for t in _BASE}
+    folder = f"{shared_folder(spark)}/knowledge-{uuid.uuid4().hex}"
+    found = None
+    for name, made in _KNOWLEDGE.items():
+        used = {t: x for t, x in base.items() if "{" + t + "}" in made}
+        knowledge_file.write(spark.sql(made, **used), folder, name)
+        x = knowledge_file.table(spark, f"{folder}/{name}-*.db", name, rows=50_000)
+        text = F.concat_ws("|", *[F.coalesce(_s(f"`{c}`"), F.lit("")) for c in _fields(name)])
+        part = x.select(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long").alias("d")).agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.sum("d").alias("digest"))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def chain_stanzas(spark, d):
