@@ -79,29 +79,41 @@ def _stars(batches, most: int = 1 << 20):
         yield stars(kind)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few: int = 1_000_000) -> DataFrame:
     """Connected components of links (a, b): node, root (the smallest node reachable), nodes with links only.
 
     Every task first contracts its own links to stars. Then large-star and small-star contraction alternate, which
     needs a number of rounds that grows with the logarithm of the component, however long its paths are; every round
-    is written, so nothing is recomputed, and the one before removed. A node's links are dealt to many tasks where it
-    has many: its smallest neighbour, all that they need, goes with them. Links with a null end take no part.
+    is written, so nothing is recomputed, and the one before removed. Of more than ``few`` links, a node's are dealt to many
+    tasks where it has many: its smallest neighbour, all that they need, goes with them. (Fewer are no load for one task, and
+    the tables that this takes would cost more.) Links with a null end take no part.
     """
     rounds = Scratch(links.sparkSession)
     own = links.filter("a <> b").select("a", "b")
     now = rounds.put("now", own.mapInArrow(_stars, own.schema).distinct())
+
+    def with_least(rows: DataFrame, key: str, other: str, name: str, own: bool) -> tuple[DataFrame, DataFrame]:
+        """``rows`` with m, the least ``other`` of their ``key`` (with ``own`` the key too), and the table key, m."""
+        m = F.min(other).alias("m")
+        least = rows.groupBy(key).agg(m, F.count("*").alias("_n")).select(key, F.least(key, "m").alias("m") if own else "m", "_n")
+        if not spread:
+            return rows.join(least.drop("_n"), key), least
+        least = rounds.put(name, least)
+        return join_skewed(rows, least, [key], "_n", other), least
+
     while True:
         # done when all are stars: no node has two roots, and no root has one
         seen = now.select(F.col("b").alias("node"), F.lit(1).alias("below")).unionByName(now.select(F.col("a").alias("node"), F.lit(0).alias("below")))
         if seen.groupBy("node").agg(F.sum("below").alias("roots"), F.min("below").alias("least")).filter("roots > 1 OR (roots > 0 AND least = 0)").isEmpty():
             break
+        spread = now.count() > few
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = rounds.put("least", both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).select("a", F.least("a", "m").alias("m"), "_n"))
-        large = rounds.put("large", join_skewed(both, least, ["a"], "_n", "b").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct())
+        large = with_least(both, "a", "b", "least", True)[0].filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b")
+        if spread:
+            large = rounds.put("large", large.distinct())
         # now each row points from a smaller to a larger node; small-star: the larger node's smaller neighbours
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        lowest = rounds.put("lowest", down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")))
-        small = join_skewed(down, lowest, ["u"], "_n", "v").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").union(lowest.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        small, lowest = with_least(large.select(F.col("b").alias("u"), F.col("a").alias("v")), "u", "v", "lowest", False)
+        small = small.select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").union(lowest.select(F.col("m").alias("a"), F.col("u").alias("b")))
         now = rounds.put("now", small.distinct())
     rounds.drop("least", "large", "lowest")
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
