@@ -76,6 +76,23 @@ def first_shingles(texts: DataFrame, shingles_of, node_of, frequent: tuple[np.nd
     return texts.mapInArrow(run, "key long, node long, size long, pos long")
 
 
+def _shared(batches):
+    """Rows key, node, ... sorted by both in; each node of a key once, and only of keys that two nodes have."""
+    last, told = None, False  # the last row, and whether it has come out
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+        if not len(rows):
+            continue
+        rows = rows if last is None else np.concatenate([last, rows])
+        rows = rows[np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1)))]
+        same = rows[1:, 0] == rows[:-1, 0]
+        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        out = keep.copy()
+        out[0] &= not told  # the row that was carried here
+        last, told = rows[-1:], bool(keep[-1]) or (told and len(rows) == 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[out].T], names=batch.schema.names)
+
+
 def cross_pairs(rows: np.ndarray, t: float, block: int = 512):
     """Pairs of rows (key, node, size, pos, root) of one key whose roots differ and whose sets may share enough behind it.
 
@@ -146,8 +163,8 @@ def candidates(first: DataFrame, roots: DataFrame, t: float, scratch: Scratch, b
     ``first``: rows of ``first_shingles``. A shingle whose sets are all connected has nothing to propose, and one of many
     sets is dealt to pairs of blocks, so that no task holds it whole.
     """
-    once = first.groupBy("key", "node").agg(F.first("size").alias("size"), F.first("pos").alias("pos"))
-    rows = scratch.put("first", once.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    met = first.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, first.schema)
+    rows = scratch.put("first", met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     mixed = rows.groupBy("key").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("key", "_n")
     met = join_skewed(rows, scratch.put("mixed", mixed), ["key"], "_n", "node")
     blocks = F.ceil(F.col("_n") / block).cast("int")

@@ -346,7 +346,7 @@ def _unlike(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter("ra <> rb")
 
 
-def completed(roots: DataFrame, pairs: DataFrame, verify, scratch: Scratch, rounds: int = 4) -> DataFrame:
+def completed(roots: DataFrame, pairs: DataFrame, verify, scratch: Scratch, rounds: int = 2) -> DataFrame:
     """``roots`` after all links among ``pairs`` (a, b, share) that ``verify`` lets pass.
 
     First the likeliest pair between any two pieces is verified, for ``rounds`` rounds while some pass, so that large groups
