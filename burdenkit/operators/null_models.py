@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import Scratch, cut
 
-#: Newton rounds at most, and the step that ends them.
-ROUNDS, STEP = 30, float(np.finfo(np.float32).eps)
+#: Newton rounds at most, and the step that ends them: small enough for the variance, which is one round behind.
+ROUNDS, STEP = 30, 1e-10
 #: Weights of the logistic model are kept from zero.
 LEAST_WEIGHT = 1e-12
 

@@ -243,7 +243,8 @@ def _rank_sums(spark, d):
 
 @query("test_wilcoxon", bsql("SELECT pheno, kind, bin, round(w, 6) AS w, round(z, 6) AS z, round(coalesce(" + v.normal_tail_sql("wz.z") + ", 1), 6) AS p_value FROM wz", ranked=_RANKED, mid=_MID, ties=_TIES, wz=_WZ))
 def test_wilcoxon(spark, d):
-    return _rank_sums(spark, d).select("pheno", "kind", "bin", F.round("w", 6).alias("w"), F.round("z", 6).alias("z"), F.round(F.coalesce(normal_tail(F.col("z")), F.lit(1.0)), 6).alias("p_value"))
+    x = _rank_sums(spark, d).withColumn("p_value", F.coalesce(normal_tail(F.col("z")), F.lit(1.0)))  # before z is rounded
+    return x.select("pheno", "kind", "bin", *[F.round(c, 6).alias(c) for c in ("w", "z", "p_value")])
 
 
 @query("win_midrank", bsql("SELECT DISTINCT pheno, kind, bin, burden, r AS midrank FROM mid WHERE burden > 0", ranked=_RANKED, mid=_MID))
@@ -291,8 +292,8 @@ _SLOPES = """SELECT pheno, kind, bin, n, n - 2 AS df, CASE WHEN vx > 1e-9 THEN b
 
 @query("test_linear", bsql(f"SELECT pheno, kind, bin, n, round(beta, 4) AS beta, round(t0, 4) AS t, round(coalesce({v.t_tail_sql('t0', 'df')}, 1), 6) AS p_value FROM slopes", suff=_SUFF, slopes=_SLOPES))
 def test_linear(spark, d):
-    p = F.coalesce(t_tail(F.col("t"), F.col("n") - 2), F.lit(1.0))
-    return u.linear(_sufficient(spark, d)).select("pheno", "kind", "bin", "n", F.round("beta", 4).alias("beta"), F.round("t", 4).alias("t"), F.round(p, 6).alias("p_value"))
+    x = u.linear(_sufficient(spark, d)).withColumn("p_value", F.coalesce(t_tail(F.col("t"), F.col("n") - 2), F.lit(1.0)))
+    return x.select("pheno", "kind", "bin", "n", F.round("beta", 4).alias("beta"), F.round("t", 4).alias("t"), F.round("p_value", 6).alias("p_value"))
 
 
 @query("topk_residual", bsql("SELECT pheno, kind, bin, round(abs(freq0 - freq1) / sqrt(2), 6) AS residual FROM bin_freqs WHERE freq0 >= 0 AND freq1 >= 0 ORDER BY abs(freq0 - freq1) / sqrt(2) DESC, pheno, kind, bin LIMIT 30"))
