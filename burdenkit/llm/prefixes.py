@@ -93,7 +93,7 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[out].T], names=batch.schema.names)
 
 
-def cross_pairs(rows: np.ndarray, t: float, block: int = 512):
+def cross_pairs(rows: np.ndarray, t: float, block: int = 32):
     """Pairs of rows (key, node, size, pos, root) of one key whose roots differ and whose sets may share enough behind it.
 
     Yields a, b (nodes, a < b) and the largest possible share, in blocks of rows.
