@@ -128,6 +128,8 @@ def _pairs(t: float):
                 for a, b, share in cross_pairs(group, t):
                     found.append(np.stack([a, b, share], 1))
                     held += len(a)
+                    if held > 1 << 18:  # within a key too, as unlike sets of one key can propose many
+                        yield out()
 
         def out():
             nonlocal held
@@ -145,12 +147,10 @@ def _pairs(t: float):
                 continue
             ends = np.flatnonzero(rest[1:, 0] != rest[:-1, 0]) + 1
             for a, b in zip([0, *ends[:-1]], ends, strict=False):
-                of(rest[a:b])
-                if held > 1 << 18:
-                    yield out()
+                yield from of(rest[a:b])
             rest = rest[ends[-1] :] if len(ends) else rest
         if rest is not None and len(rest):
-            of(rest)
+            yield from of(rest)
         if held:
             yield out()
 
