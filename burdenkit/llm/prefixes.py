@@ -3,6 +3,8 @@
 All sets are ordered alike, rare shingles first. Two sets of Jaccard t or more share a shingle among the first ones of
 both: among |x| - ceil(t |x|) + 1 of the larger one and |x| - ceil(2 t |x| / (1 + t)) + 1 of the smaller one. Any order gives
 every pair; which shingles count as frequent (text that many documents share) only decides how few others come with them.
+A sketch of each set, whether it has an odd number of shingles in each of 512 classes, bounds from below in how many shingles
+two sets differ, so that most pairs that are too far apart are never proposed (sets of up to about a thousand shingles).
 """
 
 from __future__ import annotations
@@ -28,6 +30,15 @@ def indexed(size: int, t: float) -> int:
     return size - math.ceil(2 * t / (1 + t) * size - 1e-9) + 1
 
 
+SKETCH = [f"p{k}" for k in range(8)]
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Eight words of 64 bits: which classes of the (distinct) shingles have an odd number of them."""
+    odd = np.bincount((shingles & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
 def frequent_shingles(counts: DataFrame, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """The ``most`` most frequent shingles, sorted, and the logarithm of their number; ``counts``: array of shingle, number, shingle, ...
 
@@ -94,8 +105,9 @@ def _shared(batches):
 
 
 def cross_pairs(rows: np.ndarray, t: float, block: int = 32):
-    """Pairs of rows (key, node, size, pos, root) of one key whose roots differ and whose sets may share enough behind it.
+    """Pairs of rows (key, node, size, pos, root, sketch) of one key whose roots differ and whose sets may share enough.
 
+    As far as the shingles behind the key and the classes that are odd in one set only tell (sketch: any number of words).
     Yields a, b (nodes, a < b) and the largest possible share, in blocks of rows.
     """
     size, pos, root = rows[:, 2], rows[:, 3], rows[:, 4]
@@ -110,6 +122,11 @@ def cross_pairs(rows: np.ndarray, t: float, block: int = 32):
         most = np.minimum(sx - pos[x][:, None], sy - pos[y][None, :])
         ok = (sx <= sy) & (sx >= t * sy - 1e-9) & (most >= need) & (root[x][:, None] != root[y][None, :])
         i, j = np.nonzero(ok)
+        if len(i) and rows.shape[1] > 5:
+            odd = rows[:, 5:].view(np.uint64)
+            differ = np.bitwise_count(odd[x[i]] ^ odd[y[j]]).sum(1, dtype=np.int64)
+            near = differ <= (sx + sy - 2 * need)[i, j]
+            i, j = i[near], j[near]
         if len(i):
             a, b = rows[x[i], 1], rows[y[j], 1]
             share = (1000 * most[i, j] / (sx + sy - most)[i, j]).astype(np.int64)
@@ -157,11 +174,12 @@ def _pairs(t: float):
     return run
 
 
-def candidates(first: DataFrame, roots: DataFrame, t: float, scratch: Scratch, block: int = 8192) -> DataFrame:
+def candidates(first: DataFrame, roots: DataFrame, t: float, scratch: Scratch, block: int = 8192, sketches: DataFrame | None = None) -> DataFrame:
     """Pairs a, b, share of nodes with unlike roots (``roots``: node, root; others stand alone) that may have Jaccard ``t``.
 
     ``first``: rows of ``first_shingles``. A shingle whose sets are all connected has nothing to propose, and one of many
-    sets is dealt to pairs of blocks, so that no task holds it whole.
+    sets is dealt to pairs of blocks, so that no task holds it whole. ``sketches``: node and its ``parities`` as p0, p1, ...,
+    which join only the rows of shingles that have something to propose.
     """
     met = first.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, first.schema)
     rows = scratch.put("first", met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -172,5 +190,7 @@ def candidates(first: DataFrame, roots: DataFrame, t: float, scratch: Scratch, b
     pair = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(mine, k).alias("i"), F.greatest(mine, k).alias("j"))))
     dealt = met.withColumn("_pair", pair).withColumn("key", F.when(F.col("_n") > block, F.xxhash64("key", "_pair.i", "_pair.j")).otherwise(F.col("key")))
     cols = ["key", "node", "size", "pos", "root"]
+    if sketches is not None:
+        dealt, cols = dealt.join(sketches, "node"), [*cols, *SKETCH]
     found = dealt.select(cols).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pairs(t), "a long, b long, share long")
     return found.groupBy("a", "b").agg(F.max("share").alias("share"))

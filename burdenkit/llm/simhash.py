@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.storage import Scratch
 from ..operators.graph import components
 from .common import any_names, cut, join_skewed, table, unused
-from .prefixes import candidates, first_shingles, frequent_shingles
+from .prefixes import SKETCH, candidates, first_shingles, frequent_shingles, parities
 
 _SALTS = np.random.default_rng(0).integers(0, 1 << 63, 64, dtype=np.uint64)
 
@@ -410,7 +410,7 @@ def _node_id(shingles: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, words: int, width: int) -> DataFrame:
-    """doc_id, node (digest of the distinct shingles), their fingerprint f0, f1, ... of each row, and frequent.
+    """doc_id, node (digest of the distinct shingles), their fingerprint f0, f1, ... and parities p0, p1, ... of each row, and frequent.
 
     ``frequent``, at the last row of a batch, lists the shingles of three or more of its texts, each with their number.
     """
@@ -420,18 +420,18 @@ def _signatures(docs: DataFrame, words: int, width: int) -> DataFrame:
             found, every = [], []
             for text in batch.column(1).to_pylist():
                 shingles = np.unique(shingle_hashes(text or b"", words))
-                found.append((_node_id(shingles), *fingerprint(shingles, width)))
+                found.append((_node_id(shingles), *fingerprint(shingles, width), *parities(shingles).tolist()))
                 every.append(shingles)
             if not found:
                 continue
-            cols = np.array(found, np.uint64).reshape(-1, 1 + width).view(np.int64)
+            cols = np.array(found, np.uint64).view(np.int64)
             hashes, number = np.unique(np.concatenate(every), return_counts=True)
             often = np.stack([hashes[number > 2].view(np.int64), number[number > 2]], 1).reshape(-1)
             frequent = pa.array([None] * (len(found) - 1) + [often], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in cols.T), frequent], names=["doc_id", "node", *_words(width), "frequent"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in cols.T), frequent], names=["doc_id", "node", *_words(width), *SKETCH, "frequent"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{c} long" for c in _words(width)) + ", frequent array<long>")
+    return rows.mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{c} long" for c in [*_words(width), *SKETCH]) + ", frequent array<long>")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -472,9 +472,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(_signatures(docs, words, width))
-    nodes = cut(rows.groupBy("node", *_words(width)).agg(F.min("doc_id").alias("doc_id")))
+    nodes = cut(rows.groupBy("node", *_words(width), *SKETCH).agg(F.min("doc_id").alias("doc_id")))
     masks, radius = masks_for(similarity, recall, nodes.count(), width)
-    met = meetings(nodes.drop("doc_id"), masks, radius, width)
+    met = meetings(nodes.select("node", *_words(width)), masks, radius, width)
     scratch = Scratch(docs.sparkSession)
 
     def verify(links: DataFrame) -> DataFrame:
@@ -483,7 +483,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     roots, tried = connected(met, verify, scratch)
     frequent = frequent_shingles(rows.select("frequent"))
     first = first_shingles(docs.select(F.col("text").cast("binary").alias("text")), lambda t: np.unique(shingle_hashes(t, words)), _node_id, frequent, similarity)
-    pairs = candidates(first, roots, similarity, scratch).join(tried, ["a", "b"], "left_anti")
+    pairs = candidates(first, roots, similarity, scratch, sketches=nodes.select("node", *SKETCH)).join(tried, ["a", "b"], "left_anti")
     roots = completed(roots, pairs, verify, scratch)
     scratch.drop("first", "ends", "sets", "links", "mixed", "pairs", "chosen", "passed")
     return with_components(rows.select("doc_id", "node"), roots).select("doc_id", "component_id")
