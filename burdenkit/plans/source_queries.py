@@ -488,6 +488,6 @@ def src_incremental_sources(spark, d):
     from ..streaming.incremental import changed
 
     k = F.col("s_suppkey")
-    now = v.read(spark, d, "supplier").select(k.alias("source"), F.concat(F.lit("v"), _s("s_nationkey")).alias("version"), F.md5(F.concat("s_name", _s(F.round("s_acctbal").cast("int"))).cast("binary")).alias("digest"))
+    now = v.read(spark, d, "supplier").select(k.alias("source"), F.concat(F.lit("v"), _s("s_nationkey")).alias("version"), F.md5(F.concat("s_name", _s(F.rint("s_acctbal").cast("int"))).cast("binary")).alias("digest"))
     before = now.filter("source % 5 <> 0").withColumn("digest", F.when(F.col("source") % 7 == 0, "old").otherwise(F.col("digest")))
     return changed(now, before)
