@@ -11,6 +11,7 @@ it has as many masks as its recall asks for, on 192-bit fingerprints of the dist
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -107,9 +108,8 @@ def masks_for(similarity: float, recall: float, nodes: int, width: int = 3, seed
     return masks, radius
 
 
-def _emit(masks: list[list[int]]):
-    """number and fingerprint words in; key and number out, a row for each variant of each mask."""
-    span = max(map(len, masks))
+def _emit(masks: list[list[int]], span: int, first: int = 0):
+    """number and fingerprint words in; key and number out, a row for each variant of each mask; masks have up to ``span`` bits and are numbered from ``first``."""
     place = [np.int64(1) << np.arange(len(m), dtype=np.int64) for m in masks]
     flips = [np.concatenate((np.zeros(1, np.int64), p)) for p in place]
 
@@ -120,7 +120,7 @@ def _emit(masks: list[list[int]]):
                 part = rows[at : at + 1024]
                 bits = np.unpackbits(np.ascontiguousarray(part[:, 1:]).view(np.uint8), axis=1, bitorder="little")
                 cells = [(bits[:, m] @ p)[:, None] ^ f for m, p, f in zip(masks, place, flips, strict=True)]
-                key = np.concatenate([(k << span) + c for k, c in enumerate(cells)], 1)
+                key = np.concatenate([(k << span) + c for k, c in enumerate(cells, first)], 1)
                 yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(part[:, 0], key.shape[1]))], names=["key", "number"])
 
     return run
@@ -261,18 +261,27 @@ def _named(width: int) -> str:
     return ", ".join(f"{c} long" for c in ["key", "node", *_words(width)])
 
 
-def meetings(nodes: DataFrame, masks: list[list[int]], radius: int, width: int, most: int = 512) -> DataFrame:
+def meetings(nodes: DataFrame, masks: list[list[int]], radius: int, width: int, most: int = 512, scratch: Scratch | None = None, at_once: int = 4) -> DataFrame:
     """Of ``nodes`` (node, f0, ...; distinct): the rows of all variants that meet others, see ``_meet``.
 
     Variants travel with the node's number alone; fingerprints join those that two nodes or more share. A forest takes in ``most`` rows of a variant; a longer one goes on in pieces that share a row.
+    The variants of ``at_once`` masks are shuffled together, and those of earlier ones are gone by then: only what nodes share is kept. With ``scratch`` the result
+    is its table met, which can be dropped, instead of a checkpoint.
     """
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // 50_000)
     # numbers of nodes, written once, are short where digests don't compress
     named = cut(nodes.repartition(parts, "node").withColumn("number", F.monotonically_increasing_id()))
-    variants = named.select("number", *_words(width)).mapInArrow(_emit(masks), "key long, number long")
-    shared = variants.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, number long").join(named, "number")
+    own, parts = scratch or Scratch(nodes.sparkSession), []
+    for k in range(0, len(masks), at_once):
+        variants = named.select("number", *_words(width)).mapInArrow(_emit(masks[k : k + at_once], max(map(len, masks)), k), "key long, number long")
+        shared = variants.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, number long")
+        parts.append(own.put(f"shared{k}", shared) if len(masks) > at_once else shared)
+    shared = reduce(DataFrame.union, parts).join(named, "number")
     met = shared.select("key", "node", *_words(width)).repartition("key").sortWithinPartitions("key", *_words(width))
-    return cut(met.mapInArrow(_meet(width, radius, most), _named(width) + ", parent long, apart int, long boolean"))
+    met = met.mapInArrow(_meet(width, radius, most), _named(width) + ", parent long, apart int, long boolean")
+    met = scratch.put("met", met) if scratch else cut(met)
+    own.drop(*[f"shared{k}" for k in range(0, len(masks), at_once)])
+    return met
 
 
 def forest_links(met: DataFrame) -> DataFrame:
@@ -474,18 +483,21 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
     rows = cut(_signatures(docs, words, width))
     nodes = cut(rows.groupBy("node", *_words(width), *SKETCH).agg(F.min("doc_id").alias("doc_id")))
     masks, radius = masks_for(similarity, recall, nodes.count(), width)
-    met = meetings(nodes.select("node", *_words(width)), masks, radius, width)
     scratch = Scratch(docs.sparkSession)
+    met = meetings(nodes.select("node", *_words(width)), masks, radius, width, scratch=scratch)
 
     def verify(links: DataFrame) -> DataFrame:
         return _alike(docs, nodes, links, words, similarity, scratch)
 
     roots, tried = connected(met, verify, scratch)
+    scratch.drop("met", "ends", "sets")
     frequent = frequent_shingles(rows.select("frequent"))
     first = first_shingles(docs.select(F.col("text").cast("binary").alias("text")), lambda t: np.unique(shingle_hashes(t, words)), _node_id, frequent, similarity)
     pairs = candidates(first, roots, similarity, scratch, sketches=nodes.select("node", *SKETCH)).join(tried, ["a", "b"], "left_anti")
+    pairs = scratch.put("proposed", pairs)
+    scratch.drop("first", "mixed", "links")
     roots = completed(roots, pairs, verify, scratch)
-    scratch.drop("first", "ends", "sets", "links", "mixed", "pairs", "chosen", "passed")
+    scratch.drop("proposed", "first", "ends", "sets", "links", "mixed", "pairs", "chosen", "passed")
     return with_components(rows.select("doc_id", "node"), roots).select("doc_id", "component_id")
 
 
